@@ -2,18 +2,35 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that a Python task holds as one numpy batch.
 CHUNK_BYTES = 2 << 20
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers where they can't find it themselves."""
+    root = Path(__file__).resolve().parents[2]
+    known = {Path(p).resolve() for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()] if p}
+    context = spark.sparkContext
+    if root in known or getattr(context, "_logspark_shipped", False):
+        return
+    packed = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "logspark"), "zip", root, "logspark")
+    context.addPyFile(packed)
+    context._logspark_shipped = True
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -60,3 +77,9 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = C
             size += n
         if len(raw) > first:
             yield batch.slice(first), raw[first:]
+
+
+def schema_of(df: DataFrame, more: str = "") -> T.StructType:
+    """df's columns, all nullable, and those of the DDL text `more`."""
+    fields = [T.StructField(f.name, f.dataType, True) for f in df.schema.fields]
+    return T.StructType(fields + list(T._parse_datatype_string(more).fields if more else []))

@@ -21,9 +21,29 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(common.documents(spark, sf_dir), tokenizer_path())
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logspark.llm import quality_fm
+
+    docs = common.documents(spark, sf_dir)
+    machine = quality_fm.fit(docs, common.labels(spark, sf_dir))
+    scored = quality_fm.score(docs, machine, keep=["doc_id"])
+    return scored.select("doc_id", (common.fold_bucket("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logspark.llm import toxicity
+
+    docs = common.documents(spark, sf_dir)
+    grammar = toxicity.fit(docs, common.labels(spark, sf_dir))
+    scored = toxicity.score(docs, grammar, keep=["doc_id"])
+    return scored.select("doc_id", (common.fold_bucket("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_bpe": op4_bpe,
+        "op5_quality_classifier": op5_quality_classifier,
+        "op8_toxicity": op8_toxicity,
     }
 
 
