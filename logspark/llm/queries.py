@@ -15,6 +15,13 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logspark.llm import quality_rules
+
+    judged = quality_rules.judge(common.documents(spark, sf_dir).select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logspark.llm import bpe
 
@@ -41,6 +48,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_rules": op1_quality_rules,
         "op4_bpe": op4_bpe,
         "op5_quality_classifier": op5_quality_classifier,
         "op8_toxicity": op8_toxicity,
@@ -48,4 +56,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from logspark.llm import quality_rules
+
+    return {
+        "op1_quality_rules": quality_rules.ORACLE,
+    }
