@@ -22,6 +22,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logspark.llm import langid
+
+    docs = common.documents(spark, sf_dir)
+    held_out = common.fold_bucket("doc_id", 4) == 2
+    return langid.predict(docs, langid.learn(docs, ~held_out)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logspark.llm import bpe
 
@@ -49,6 +57,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op3_language_id": op3_language_id,
         "op4_bpe": op4_bpe,
         "op5_quality_classifier": op5_quality_classifier,
         "op8_toxicity": op8_toxicity,
