@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from logspark.llm import common
 
@@ -54,6 +55,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (common.fold_bucket("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logspark.llm import licenses
+
+    found = licenses.scan(common.documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licences", ",").alias("licences"), F.size("sentence_ids").cast("long").alias("n_sentences"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -61,12 +69,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_bpe": op4_bpe,
         "op5_quality_classifier": op5_quality_classifier,
         "op8_toxicity": op8_toxicity,
+        "op9_license_scan": op9_license_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from logspark.llm import quality_rules
+    from logspark.llm import licenses, quality_rules
 
     return {
         "op1_quality_rules": quality_rules.ORACLE,
+        "op9_license_scan": licenses.oracle(),
     }
