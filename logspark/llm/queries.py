@@ -23,6 +23,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logspark.llm import fingerprints as fp
+
+    rows = fp.edited(fp.with_next(common.documents(spark, sf_dir)))
+    texts = {"fingerprint": fp.as_text(F.col("sketch")), "edited_fingerprint": fp.as_text(F.col("edited_sketch"))}
+    return rows.withColumns(texts).select("doc_id", "n_chars", "edited_sha256", *texts, "near_edited", "near_next", fp.shingle_count(F.col("sketch")).alias("n_shingles"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logspark.llm import langid
 
@@ -65,6 +73,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_fingerprints": op2_fingerprints,
         "op3_language_id": op3_language_id,
         "op4_bpe": op4_bpe,
         "op5_quality_classifier": op5_quality_classifier,
