@@ -54,6 +54,12 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (common.fold_bucket("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logspark.llm import neardup
+
+    return neardup.near_duplicates(common.documents(spark, sf_dir), width=2, similarity=80)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logspark.llm import toxicity
 
@@ -77,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language_id": op3_language_id,
         "op4_bpe": op4_bpe,
         "op5_quality_classifier": op5_quality_classifier,
+        "op6_near_dedup": op6_near_dedup,
         "op8_toxicity": op8_toxicity,
         "op9_license_scan": op9_license_scan,
     }
