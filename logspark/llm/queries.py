@@ -76,6 +76,12 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licences", ",").alias("licences"), F.size("sentence_ids").cast("long").alias("n_sentences"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logspark.llm import suffix_dedup
+
+    return suffix_dedup.digests(common.documents(spark, sf_dir)).drop("spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -86,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_near_dedup": op6_near_dedup,
         "op8_toxicity": op8_toxicity,
         "op9_license_scan": op9_license_scan,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 
