@@ -60,6 +60,12 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(common.documents(spark, sf_dir), width=2, similarity=80)
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logspark.llm import packing
+
+    return packing.pack(common.documents(spark, sf_dir), tokenizer_path(), with_ids=False)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logspark.llm import toxicity
 
@@ -90,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_bpe": op4_bpe,
         "op5_quality_classifier": op5_quality_classifier,
         "op6_near_dedup": op6_near_dedup,
+        "op7_packing": op7_packing,
         "op8_toxicity": op8_toxicity,
         "op9_license_scan": op9_license_scan,
         "op10_suffix_dedup": op10_suffix_dedup,
