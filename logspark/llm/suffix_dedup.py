@@ -7,7 +7,7 @@ Documents are whole UTF-8 texts; strings never cross documents.
 A suffix array is sorted here only as far as the answer needs: to LENGTH
 bytes, and only where buckets hold more than one suffix.
 
-* Initial buckets: suffixes of Q bytes (Q divides LENGTH), numbered by their
+* Initial buckets: suffixes of Q bytes numbered by their
   hash.  A window (a suffix of LENGTH bytes) is filed under the least bucket
   number among its Q-grams, which depends on its bytes alone; successive
   windows with the same one are a run, filed once, with the hash of the
@@ -20,11 +20,12 @@ bytes, and only where buckets hold more than one suffix.
 * Open windows are refined (`refine`): the bucket of 2Q bytes at p is the pair
   of the buckets of Q bytes at p and at p + Q, the bucket of 4Q bytes the pair
   of the refined buckets at p and p + 2Q, and so on until LENGTH bytes are
-  told apart, each step using the buckets that the last one made.  Windows in
-  one final bucket are equal: all but the earliest are repeated.
+  told apart, each step using the buckets that the last one made (the last
+  step overlaps as far as LENGTH demands).  Windows in one final bucket are
+  equal: all but the earliest are repeated.
 
-Shuffled are packed arrays of runs (about one in 38 bytes of text) and of
-open windows, dealt by bucket number.  Equal spans and windows of one batch
+Shuffled are packed and compressed arrays of runs (about one in 35 bytes of
+text) and of open windows, dealt by bucket number.  Equal spans and windows of one batch
 of texts are merged before; a bucket with more than HOT spans in one batch is
 dealt by span and left open, so that no bucket's runs meet in one task.
 Texts move only where the list of their spans is too large to broadcast
@@ -33,7 +34,7 @@ Texts move only where the list of their spans is too large to broadcast
 Hashes have 64 bits over equal-length spans; buckets of hashes stand for
 buckets of strings.  Null texts are empty.  Rows with a null id come after
 all others.  Rows with equal id and text are one document, each gets its
-result; equal ids with different texts are ordered by the text's CRC.
+result; equal ids with different texts are ordered by the text's CRC, which is looked at only if ids repeat.
 """
 
 from __future__ import annotations
@@ -44,6 +45,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,25 +53,26 @@ from logspark.llm import common
 from logspark.llm.wordscan import _VALUE, mix, powers
 
 LENGTH = 100
-Q = 25
+Q = 32
 HOT = 32
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 64 << 20
 _FACTOR = np.uint64(0xD6E8FEB86659FD93)
 _LAST_ID = np.iinfo(np.int64).max
 RUN = np.dtype([("v", "<u4"), ("span", "<u8"), ("doc", "<i8"), ("crc", "<u4"), ("at", "<u4"), ("n", "<u4"), ("kind", "<u1")])
 WINDOW = np.dtype([("bucket", "<u8"), ("doc", "<i8"), ("crc", "<u4"), ("at", "<u4")])
+RANGE = np.dtype([("doc", "<i8"), ("crc", "<u4"), ("at", "<u4"), ("n", "<u4")])
 PLAIN, OPEN, MARK = 0, 1, 2
 
 
 class Texts:
     """Texts of one batch in one buffer; all arrays are by byte of the buffer."""
 
-    def __init__(self, texts: list[bytes | None]):
+    def __init__(self, texts: list[bytes | None], with_crc: bool = True):
         raw = [t or b"" for t in texts]
         self.buf = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
         self.sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         self.start = np.concatenate(([0], np.cumsum(self.sizes + 1)))
-        self.crc = np.fromiter(map(zlib.crc32, raw), np.int64, len(raw)).astype(np.uint32)
+        self.crc = np.fromiter(map(zlib.crc32, raw) if with_crc else [0] * len(raw), np.int64, len(raw)).astype(np.uint32)
         up, self.down = powers(len(self.buf) + 1)
         self.sum = np.zeros(len(self.buf) + 1, np.uint64)
         np.cumsum(_VALUE[self.buf] * up[: len(self.buf)], out=self.sum[1:])
@@ -141,36 +144,32 @@ def _dealt(rows: np.ndarray, part: np.ndarray) -> Iterator[tuple[int, bytes]]:
 
 
 def _planes(rows: np.ndarray) -> bytes:
-    """Field after field, which compresses better than row after row."""
-    return b"".join(np.ascontiguousarray(rows[name]).tobytes() for name in rows.dtype.names)
+    """Byte after byte of all rows, field after field: bytes that hardly change lie together and are compressed away."""
+    planes = b"".join(np.ascontiguousarray(rows[name]).view(np.uint8).reshape(len(rows), -1).T.tobytes() for name in rows.dtype.names)
+    return zstandard.ZstdCompressor(level=1).compress(planes)
 
 
 def _rows(raw: bytes, kind: np.dtype) -> np.ndarray:
-    n, at = len(raw) // kind.itemsize, 0
+    planes = zstandard.ZstdDecompressor().decompress(raw)
+    n, at = len(planes) // kind.itemsize, 0
     out = np.empty(n, kind)
     for name in kind.names:
-        size = kind[name].itemsize * n
-        out[name] = np.frombuffer(raw[at : at + size], kind[name])
-        at += size
+        size = kind[name].itemsize
+        out[name] = np.ascontiguousarray(np.frombuffer(planes[at : at + size * n], np.uint8).reshape(size, n).T).view(kind[name]).reshape(n)
+        at += size * n
     return out
 
 
-_OUT = "part int, packed binary, doc long, crc long, at long"
+def _batch(packed: list[tuple[int, bytes]], doc: np.ndarray, crc: np.ndarray, at: np.ndarray, n: np.ndarray, spread: int) -> pa.RecordBatch:
+    """Packed rows for the next step; repeated ranges go along under a part below 0."""
+    if len(doc):
+        ranges = np.empty(len(doc), RANGE)
+        ranges["doc"], ranges["crc"], ranges["at"], ranges["n"] = doc, crc, at, n
+        packed = [*packed, (-1 - int(ranges["doc"][0]) % spread, _planes(ranges))]
+    return pa.RecordBatch.from_arrays([pa.array([p for p, _ in packed], pa.int32()), pa.array([raw for _, raw in packed], pa.binary())], names=["part", "packed"])
 
 
-def _batch(packed: list[tuple[int, bytes]], doc: np.ndarray, crc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    """Packed rows for the next step, and repeated ranges (doc, crc, first << 32 | windows)."""
-    n, m = len(packed), len(doc)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([p for p, _ in packed] + [None] * m, pa.int32()),
-            pa.array([raw for _, raw in packed] + [None] * m, pa.binary()),
-            pa.array(np.concatenate([np.zeros(n, np.int64), doc])),
-            pa.array(np.concatenate([np.zeros(n, np.int64), crc.astype(np.int64)])),
-            pa.array(np.concatenate([np.zeros(n, np.int64), at])),
-        ],
-        names=["part", "packed", "doc", "crc", "at"],
-    )
+_OUT = "part int, packed binary"
 
 
 def _range(at: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -186,12 +185,12 @@ def _later(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
     return np.concatenate(([False], same)) if len(order) else np.zeros(0, bool)
 
 
-def first_pass(docs: DataFrame, parts: int, length: int, q: int) -> DataFrame:
+def first_pass(docs: DataFrame, parts: int, length: int, q: int, with_crc: bool = True) -> DataFrame:
     """Packed runs by part of their bucket, and ranges that a batch of texts shows to be repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw in common.chunks(batches):
-            texts = Texts(raw)
+            texts = Texts(raw, with_crc)
             text, first, n, v, twice = texts.runs(length, q)
             if not len(first):
                 continue
@@ -215,31 +214,42 @@ def first_pass(docs: DataFrame, parts: int, length: int, q: int) -> DataFrame:
             _, one = np.unique(v[hot], return_index=True)
             rows["kind"][hot] = OPEN
             part[hot] = (mix(v[hot] ^ rows["span"][hot]) % np.uint64(parts)).astype(np.int64)
-            yield _batch(list(_dealt(np.concatenate([rows, marks[one]]), np.concatenate([part, marks_part[one]]))), gone["doc"], gone["crc"], _range(gone["at"], gone["n"]))
+            yield _batch(list(_dealt(np.concatenate([rows, marks[one]]), np.concatenate([part, marks_part[one]]))), gone["doc"], gone["crc"], gone["at"], gone["n"], parts)
 
     return docs.select("doc_id", "text").mapInArrow(run, _OUT)
 
 
-def _parts(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[np.ndarray]:
-    """All rows of one part after the other; input sorted by part."""
+def _parts(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[tuple[bool, np.ndarray]]:
+    """(whether they are repeated ranges, all rows) of one part after the other; input sorted by part."""
     held: list[bytes] = []
-    last = None
+    last = 0
+
+    def joined() -> tuple[bool, np.ndarray]:
+        return last < 0, np.concatenate([_rows(r, RANGE if last < 0 else kind) for r in held])
+
     for batch in batches:
         for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if part != last and held:
-                yield np.concatenate([_rows(r, kind) for r in held])
+                yield joined()
                 held = []
             last = part
             held.append(raw)
     if held:
-        yield np.concatenate([_rows(r, kind) for r in held])
+        yield joined()
+
+
+def _dealt_by_part(filed: DataFrame) -> DataFrame:
+    return filed.repartition("part").sortWithinPartitions("part")
 
 
 def settle(filed: DataFrame) -> DataFrame:
     """(doc, crc, at, open): repeated ranges, and ranges left open, of all buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _parts(batches, RUN):
+        for known, rows in _parts(batches, RUN):
+            if known:
+                yield pa.RecordBatch.from_arrays([pa.array(rows["doc"]), pa.array(rows["crc"].astype(np.int64)), pa.array(_range(rows["at"], rows["n"])), pa.array(np.zeros(len(rows), bool))], names=["doc", "crc", "at", "open"])
+                continue
             order = np.lexsort((rows["at"], rows["crc"], rows["doc"], rows["span"], rows["v"]))
             rows = rows[order]
             order = np.arange(len(rows))
@@ -254,8 +264,7 @@ def settle(filed: DataFrame) -> DataFrame:
             out = again | stays
             yield pa.RecordBatch.from_arrays([pa.array(rows["doc"][out]), pa.array(rows["crc"][out].astype(np.int64)), pa.array(_range(rows["at"], rows["n"])[out]), pa.array(stays[out])], names=["doc", "crc", "at", "open"])
 
-    dealt = filed.where(F.col("part").isNotNull()).select("part", "packed").repartition("part").sortWithinPartitions("part")
-    return dealt.mapInArrow(run, "doc long, crc long, at long, open boolean")
+    return _dealt_by_part(filed).mapInArrow(run, "doc long, crc long, at long, open boolean")
 
 
 def _by_document(ranges: DataFrame) -> DataFrame:
@@ -276,20 +285,24 @@ def _by_document(ranges: DataFrame) -> DataFrame:
     return ranges.groupBy("doc", "crc").agg(F.collect_set("at").alias("at")).mapInArrow(run, "doc long, crc long, ranges binary")
 
 
-def _with_ranges(docs: DataFrame, ranges: DataFrame, how: str, most: int) -> DataFrame:
+def _ids_repeat(docs: DataFrame) -> bool:
+    return not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
+def _with_ranges(docs: DataFrame, ranges: DataFrame, how: str, most: int, with_crc: bool) -> DataFrame:
     """docs beside their ranges; broadcast if the ranges have `most` bytes at most, else by a shuffle."""
     size = ranges.agg(F.sum(F.length("ranges") + 32).alias("n")).first()["n"] or 0
     side = ranges.select(F.col("doc").alias("_doc"), F.col("crc").alias("_crc"), "ranges")
-    keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID))).withColumn("_crc", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
+    keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID))).withColumn("_crc", F.crc32(F.coalesce("text", F.lit("")).cast("binary")) if with_crc else F.lit(0).cast("long"))
     return keyed.join(F.broadcast(side) if size <= most else side, ["_doc", "_crc"], how)
 
 
-def refine(open_texts: DataFrame, parts: int, length: int, q: int) -> DataFrame:
+def refine(open_texts: DataFrame, parts: int, length: int, q: int, with_crc: bool = True) -> DataFrame:
     """Repeated ranges among open windows: (doc, crc, at)."""
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw in common.chunks(batches):
-            texts = Texts(raw)
+            texts = Texts(raw, with_crc)
             bucket = texts.refined(length, q)
             ids, found = _ids(batch.column(0)), []
             for k, packed in enumerate(batch.column(2).to_pylist()):
@@ -305,42 +318,41 @@ def refine(open_texts: DataFrame, parts: int, length: int, q: int) -> DataFrame:
             again = _later(order, rows["bucket"])
             gone, rows = rows[order[again]], rows[order[~again]]
             gone = gone[np.lexsort((gone["at"], gone["crc"], gone["doc"]))]
+            rows = rows[np.lexsort((rows["at"], rows["crc"], rows["doc"]))]
             part = (rows["bucket"] % np.uint64(parts)).astype(np.int64)
-            yield _batch(list(_dealt(rows, part)), *_joined(gone))
+            yield _batch(list(_dealt(rows, part)), *_joined(gone), parts)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _parts(batches, WINDOW):
+        for known, rows in _parts(batches, WINDOW):
+            if known:
+                yield pa.RecordBatch.from_arrays([pa.array(rows["doc"]), pa.array(rows["crc"].astype(np.int64)), pa.array(_range(rows["at"], rows["n"]))], names=["doc", "crc", "at"])
+                continue
             order = np.lexsort((rows["at"], rows["crc"], rows["doc"], rows["bucket"]))
             gone = rows[order[_later(order, rows["bucket"])]]
             gone = gone[np.lexsort((gone["at"], gone["crc"], gone["doc"]))]
-            doc, crc, at = _joined(gone)
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(crc.astype(np.int64)), pa.array(at)], names=["doc", "crc", "at"])
+            doc, crc, at, n = _joined(gone)
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(crc.astype(np.int64)), pa.array(_range(at, n))], names=["doc", "crc", "at"])
 
-    filed = common.cut(open_texts.mapInArrow(file, _OUT))
-    local = filed.where(F.col("part").isNull()).select("doc", "crc", "at")
-    dealt = filed.where(F.col("part").isNotNull()).select("part", "packed").repartition("part").sortWithinPartitions("part")
-    return local.union(dealt.mapInArrow(sort, "doc long, crc long, at long"))
+    return _dealt_by_part(open_texts.mapInArrow(file, _OUT)).mapInArrow(sort, "doc long, crc long, at long")
 
 
-def _joined(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows in order as ranges of successive ones."""
+def _joined(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows in order as ranges (doc, crc, first, windows) of successive ones."""
     if not len(rows):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.int64)
     new = np.concatenate(([True], (rows["doc"][1:] != rows["doc"][:-1]) | (rows["crc"][1:] != rows["crc"][:-1]) | (rows["at"][1:].astype(np.int64) != rows["at"][:-1].astype(np.int64) + 1)))
     begin = np.flatnonzero(new)
-    return rows["doc"][begin], rows["crc"][begin], _range(rows["at"][begin], np.diff(np.append(begin, len(rows))))
+    return rows["doc"][begin], rows["crc"][begin], rows["at"][begin], np.diff(np.append(begin, len(rows)))
 
 
-def repeated(docs: DataFrame, length: int = LENGTH, q: int = Q, most: int = BROADCAST_BYTES) -> DataFrame:
+def repeated(docs: DataFrame, length: int, q: int, most: int, with_crc: bool) -> DataFrame:
     """(doc, crc, ranges) of the documents with repeated windows: packed pairs (first window, end of windows)."""
     parts = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    filed = common.cut(first_pass(rows, parts, length, q))
-    local = filed.where(F.col("part").isNull()).select("doc", "crc", "at")
-    settled = common.cut(settle(filed))
+    settled = common.cut(settle(first_pass(rows, parts, length, q, with_crc)))
     open_ranges = common.cut(_by_document(settled.where("open").select("doc", "crc", "at")))
-    open_texts = _with_ranges(rows, open_ranges, "inner", most).select("doc_id", "text", "ranges")
-    found = local.union(settled.where("not open").select("doc", "crc", "at")).union(refine(open_texts, parts, length, q))
+    open_texts = _with_ranges(rows, open_ranges, "inner", most, with_crc).select("doc_id", "text", "ranges")
+    found = settled.where("not open").select("doc", "crc", "at").union(refine(open_texts, parts, length, q, with_crc))
     return common.cut(_by_document(found))
 
 
@@ -375,7 +387,8 @@ def digests(docs: DataFrame, length: int = LENGTH, q: int = Q, most: int = BROAD
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    joined = _with_ranges(rows, repeated(docs, length, q, most), "left", most).select("doc_id", "text", "ranges")
+    with_crc = _ids_repeat(docs)
+    joined = _with_ranges(rows, repeated(docs, length, q, most, with_crc), "left", most, with_crc).select("doc_id", "text", "ranges")
     return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
 
 
@@ -396,5 +409,6 @@ def remove(docs: DataFrame, length: int = LENGTH, q: int = Q, most: int = BROADC
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = docs.withColumn("text", F.col("text").cast("string"))
-    joined = _with_ranges(rows, repeated(docs, length, q, most), "left", most).select(*names, F.col("ranges").alias("_ranges"))
+    with_crc = _ids_repeat(docs)
+    joined = _with_ranges(rows, repeated(docs, length, q, most, with_crc), "left", most, with_crc).select(*names, F.col("ranges").alias("_ranges"))
     return joined.mapInArrow(run, common.schema_of(rows.select(*names)))
