@@ -189,15 +189,16 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", folds: int
     return train(x, sample["label"].to_numpy(dtype=float))
 
 
-def score(docs: DataFrame, machine: Machine, keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """The columns `keep` (by default all) with score double and predicted int; of equal names, the new columns stay."""
-    names = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
-    rows = docs.select(*names, F.col("text").cast("string").alias("_scored_text"))
+def score(docs: DataFrame, machine: Machine, keep: list[str] | None = None, threshold: float = THRESHOLD, out: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The columns `keep` (by default all) with a score double and a prediction int named `out`; of equal names, the new columns stay."""
+    names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in [o.lower() for o in out]]
+    text = common.unused(docs, "scored_text")
+    rows = docs.select(*names, F.col("text").cast("string").alias(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in common.chunks(batches, "_scored_text"):
+        for batch, texts in common.chunks(batches, text):
             s = machine.score(texts)
             columns = [batch.column(k) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*names, *out])
 
-    return rows.mapInArrow(run, common.schema_of(rows.select(*names), "score double, predicted int"))
+    return rows.mapInArrow(run, common.schema_of(rows.select(*names), f"`{out[0]}` double, `{out[1]}` int"))

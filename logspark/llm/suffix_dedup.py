@@ -289,12 +289,14 @@ def _ids_repeat(docs: DataFrame) -> bool:
     return not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
 
 
-def _with_ranges(docs: DataFrame, ranges: DataFrame, how: str, most: int, with_crc: bool) -> DataFrame:
+def _with_ranges(docs: DataFrame, ranges: DataFrame, how: str, most: int, with_crc: bool, name: str = "ranges") -> DataFrame:
     """docs beside their ranges; broadcast if the ranges have `most` bytes at most, else by a shuffle."""
     size = ranges.agg(F.sum(F.length("ranges") + 32).alias("n")).first()["n"] or 0
-    side = ranges.select(F.col("doc").alias("_doc"), F.col("crc").alias("_crc"), "ranges")
-    keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID))).withColumn("_crc", F.crc32(F.coalesce("text", F.lit("")).cast("binary")) if with_crc else F.lit(0).cast("long"))
-    return keyed.join(F.broadcast(side) if size <= most else side, ["_doc", "_crc"], how)
+    doc, crc = common.unused(docs, "_doc"), common.unused(docs, "_crc")
+    side = ranges.select(F.col("doc").alias(doc), F.col("crc").alias(crc), F.col("ranges").alias(name))
+    number = F.crc32(F.coalesce("text", F.lit("")).cast("binary")) if with_crc else F.lit(0).cast("long")
+    keyed = docs.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID))).withColumn(crc, number)
+    return keyed.join(F.broadcast(side) if size <= most else side, [doc, crc], how)
 
 
 def refine(open_texts: DataFrame, parts: int, length: int, q: int, with_crc: bool = True) -> DataFrame:
@@ -410,5 +412,6 @@ def remove(docs: DataFrame, length: int = LENGTH, q: int = Q, most: int = BROADC
 
     rows = docs.withColumn("text", F.col("text").cast("string"))
     with_crc = _ids_repeat(docs)
-    joined = _with_ranges(rows, repeated(docs, length, q, most, with_crc), "left", most, with_crc).select(*names, F.col("ranges").alias("_ranges"))
+    beside = common.unused(docs, "ranges")
+    joined = _with_ranges(rows, repeated(docs, length, q, most, with_crc), "left", most, with_crc, beside).select(*names, beside)
     return joined.mapInArrow(run, common.schema_of(rows.select(*names)))

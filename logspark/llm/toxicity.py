@@ -288,10 +288,11 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, tuple[float, float, f
     return float(beta[0]), tuple(float(b) for b in beta[1:])
 
 
-def score(docs: DataFrame, grammar: Grammar, keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """The columns `keep` (by default all) with score double and predicted int; of equal names, the new columns stay."""
-    names = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
-    rows = docs.select(*names, F.col("text").cast("string").alias("_scored_text"))
+def score(docs: DataFrame, grammar: Grammar, keep: list[str] | None = None, threshold: float = THRESHOLD, out: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The columns `keep` (by default all) with a score double and a prediction int named `out`; of equal names, the new columns stay."""
+    names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in [o.lower() for o in out]]
+    text = common.unused(docs, "scored_text")
+    rows = docs.select(*names, F.col("text").cast("string").alias(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(grammar)
@@ -299,6 +300,6 @@ def score(docs: DataFrame, grammar: Grammar, keep: list[str] | None = None, thre
         for batch in batches:
             found = np.array([matcher.features(t) for t in batch.column(len(names)).to_pylist()]).reshape(-1, 3)
             s = 1 / (1 + np.exp(-np.clip(grammar.bias + found @ slopes, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*names, *out])
 
-    return rows.mapInArrow(run, common.schema_of(rows.select(*names), "score double, predicted int"))
+    return rows.mapInArrow(run, common.schema_of(rows.select(*names), f"`{out[0]}` double, `{out[1]}` int"))
