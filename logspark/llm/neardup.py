@@ -412,6 +412,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: int = SIMIL
 
 
 def deduplicate(docs: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY) -> DataFrame:
-    """docs without the rows that near_duplicates doesn't keep; rows with a null id stay."""
-    gone = near_duplicates(docs.select("doc_id", "text"), width, similarity).where("not kept").select("doc_id").distinct()
+    """docs without the rows that near_duplicates doesn't keep.
+
+    Rows go by id: those with a null id stay, and so do all rows of an id of which one row is kept.
+    """
+    judged = near_duplicates(docs.select("doc_id", "text"), width, similarity)
+    gone = judged.groupBy("doc_id").agg(F.max("kept").alias("stays")).where(~F.col("stays")).select("doc_id")
     return docs.join(gone, "doc_id", "left_anti")
