@@ -7,9 +7,9 @@ has COORDS min-hash values.
 
 Trees (`nodes`): at the root of each of TREES independent trees one or two
 coordinates are chosen (1/similarity on average), and a class goes to the
-node of each chosen coordinate's value.  Nodes with more than SMALL classes
-branch again by coordinates chosen from the node's own number, DEPTH times
-at most.  Two classes with resemblance J meet again at a level with
+node of each chosen coordinate's value.  Nodes are counted first; those with
+more than SMALL classes aren't gathered but branch again, row by row, by
+coordinates chosen from the node's own number, DEPTH times at most.  Two classes with resemblance J meet again at a level with
 expectation J / similarity, so one tree finds a pair with a probability that
 falls slowly with the depth; TREES independent ones miss a pair at the
 threshold less than once in 10,000.
@@ -17,9 +17,10 @@ threshold less than once in 10,000.
 Nodes that are small are compared exhaustively, by the agreement of their
 signatures; of the pairs that agree in NEAR of the coordinates a spanning
 forest is kept.  A node that is still large at the last level holds classes
-that resemble each other: it is compared in runs of SMALL and with the
-leaders of all runs before.  The forests' components (`groups`) hold every
-link that a tree has found.
+that resemble each other: it is dealt out in pieces, and a piece is compared
+in runs of SMALL and with leaders, of which all pieces of a node share some
+(`dense`).  The forests' components (`groups`) hold every link that a tree
+has found.
 
 Exact links (`confirm`): inside each group full sets are compared.  A
 group's classes are cut into blocks of about BLOCK_SHINGLES shingles; a
@@ -61,7 +62,8 @@ TREES = 10
 DEPTH = 4
 SMALL = 128
 NEAR = 0.58
-LEADERS = 64
+PIECE = 2000
+HUB_ROWS = 16
 BLOCK_SHINGLES = 1_000_000
 HUBS = 4
 BROADCAST_ROWS = 500_000
@@ -199,56 +201,76 @@ def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, None, :] == b[None, :, :]).sum(2) >= NEAR * COORDS
 
 
-def branch(nodes: DataFrame, last: bool) -> DataFrame:
-    """One level: rows (a, b, null) are spanning links of nodes, rows (a, null, sig, node) go to the next level."""
+def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    pair = np.array(pairs, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+
+
+def compare(nodes: DataFrame) -> DataFrame:
+    """(a, b): links that span the near classes of each node.  Nodes have SMALL classes at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links: list[tuple[int, int]] = []
-        down: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        leaders: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def flush() -> pa.RecordBatch:
-            below = [np.concatenate([d[k] for d in down]) for k in (0, 1)] if down else [np.zeros(0, np.int64)] * 2
-            sig = np.concatenate([d[2] for d in down]) if down else np.zeros((0, COORDS), np.uint8)
-            n, m = len(links), len(below[0])
-            pair = np.array(links, np.int64).reshape(-1, 2)
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([np.zeros(n, np.int64), below[0]])), pa.array(np.concatenate([pair[:, 0], below[1]])), pa.array([int(x) for x in pair[:, 1]] + [None] * m, pa.int64()), pa.array([None] * n + [s.tobytes() for s in sig], pa.binary())],
-                names=["node", "a", "b", "sig"],
-            )
-            links.clear()
-            down.clear()
-            return out
-
-        for node, cls, sig, first, end in _runs(batches, SMALL):
-            if first and end:
-                links += _forest(cls, _agree(sig, sig))
-            elif not last:
-                h = int(mix(np.array([node], np.int64).view(np.uint64))[0])
-                for c in {h % COORDS} | ({(h >> 8) % COORDS} if (h >> 20) % 4 == 0 else set()):
-                    child = mix(np.full(len(cls), h ^ (c + 1), np.uint64) + sig[:, c] * np.uint64(0x9E3779B97F4A7C15))
-                    down.append((child.astype(np.int64), cls, sig))
-            else:
-                if first:
-                    leaders.clear()
-                links += _forest(cls, _agree(sig, sig))
-                free = np.ones(len(cls), bool)
-                for head, own in leaders:
-                    hit = _agree(own, sig)
-                    row = hit.any(1)
-                    for k in np.flatnonzero(row):
-                        links += [(int(head[k]), int(cls[j])) for j in np.flatnonzero(hit[k])[:1]]
-                    free &= ~hit.any(0)
-                # Classes near no leader lead from now on; one of each run does in any case.
-                lead = np.flatnonzero(free)[:LEADERS] if leaders else np.arange(min(8, len(cls)))
-                if len(lead):
-                    leaders.append((cls[lead], sig[lead]))
-            if len(links) > 50_000 or sum(len(d[0]) for d in down) > 50_000:
-                yield flush()
-        yield flush()
-
-    dealt = nodes.select("node", "cls", "sig").repartition("node").sortWithinPartitions("node")
-    return dealt.mapInArrow(run, "node long, a long, b long, sig binary")
+        for _, cls, sig, _, _ in _runs(batches, SMALL):
+            links += _forest(cls, _agree(sig, sig))
+            if len(links) > 50_000:
+                yield _links(links)
+                links.clear()
+        yield _links(links)
+
+    return nodes.repartition("node").sortWithinPartitions("node", "cls").mapInArrow(run, "a long, b long")
+
+
+def descend(nodes: DataFrame) -> DataFrame:
+    """(node, cls, sig) one level down.  A row goes to its children by itself, so large nodes aren't gathered."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h = mix(batch.column(0).to_numpy().view(np.uint64))
+            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, COORDS)
+            second = np.flatnonzero((h >> np.uint64(20)) % np.uint64(4) == 0)
+            for rows, shift in ((np.arange(len(h)), 0), (second, 8)):
+                c = ((h[rows] >> np.uint64(shift)) % np.uint64(COORDS)).astype(np.int64)
+                child = mix((h[rows] ^ (c + 1 + COORDS * shift).astype(np.uint64)) + sig[rows, c] * np.uint64(0x9E3779B97F4A7C15))
+                if len(rows):
+                    yield pa.RecordBatch.from_arrays([pa.array(child.astype(np.int64)), batch.column(1).take(pa.array(rows)), batch.column(2).take(pa.array(rows))], names=["node", "cls", "sig"])
+
+    return nodes.select("node", "cls", "sig").mapInArrow(run, "node long, cls long, sig binary")
+
+
+def dense(nodes: DataFrame) -> DataFrame:
+    """(a, b): links inside nodes (node, n, cls, sig) that are still large.
+
+    A node is dealt out in pieces of about PIECE classes, each with the node's hubs (some HUB_ROWS classes chosen by
+    hash) at its head.  A piece is compared in runs of SMALL and with its leaders: the hubs, and classes near none.
+    """
+    pieces = F.greatest(F.lit(1), F.ceil(F.col("n") / PIECE)).cast("int")
+    is_hub = F.pmod(F.xxhash64("cls", F.lit(1)), F.greatest(F.lit(1), F.floor(F.col("n") / HUB_ROWS))) == 0
+    own = F.array(F.pmod(F.xxhash64("cls"), pieces).cast("int"))
+    places = F.when(is_hub, F.sequence(F.lit(0), pieces - 1)).otherwise(own)
+    rows = nodes.select("node", "cls", "sig", is_hub.alias("hub"), F.explode(places).alias("piece")).select(F.xxhash64("node", "piece").alias("node"), "cls", "sig", "hub")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links: list[tuple[int, int]] = []
+        head, head_sig = np.zeros(0, np.int64), np.zeros((0, COORDS), np.uint8)
+        for _, cls, sig, first, _ in _runs(batches, SMALL):
+            if first:
+                head, head_sig = cls[:0], sig[:0]
+            both, both_sig = np.concatenate([head, cls]), np.vstack([head_sig, sig])
+            # Leaders stand first, so a link goes to the first leader of its component: the same in all runs and trees.
+            found = _forest(both, _agree(both_sig, both_sig))
+            links += found
+            tied = {b for _, b in found}
+            new = np.array([k for k in range(len(cls)) if (first and k < HUB_ROWS) or int(cls[k]) not in tied], np.int64)
+            head, head_sig = np.concatenate([head, cls[new]]), np.vstack([head_sig, sig[new]])
+            if len(links) > 50_000:
+                yield _links(links)
+                links.clear()
+        yield _links(links)
+
+    return rows.repartition("node").sortWithinPartitions("node", F.desc("hub"), "cls").select("node", "cls", "sig").mapInArrow(run, "a long, b long")
 
 
 def groups(classes: DataFrame) -> DataFrame:
@@ -256,12 +278,19 @@ def groups(classes: DataFrame) -> DataFrame:
     nodes = classes.select(F.explode("roots").alias("node"), "cls", "sig")
     found: DataFrame | None = None
     for level in range(DEPTH + 1):
-        step = common.cut(branch(nodes, last=level == DEPTH))
-        links = step.where(F.col("b").isNotNull()).select("a", "b")
+        # Sizes first, by a count with partial sums: only small nodes are ever gathered.
+        large = common.cut(nodes.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > SMALL))
+        n_large = large.count()
+        marked = nodes.join(F.broadcast(large) if n_large <= BROADCAST_ROWS else large, "node", "left")
+        links = compare(marked.where(F.col("n").isNull()).select("node", "cls", "sig"))
         found = links if found is None else found.union(links)
-        nodes = step.where(F.col("b").isNull() & F.col("sig").isNotNull()).select("node", F.col("a").alias("cls"), "sig")
-        if nodes.isEmpty():
+        if not n_large:
             break
+        rest = marked.where(F.col("n").isNotNull())
+        if level == DEPTH:
+            found = found.union(dense(rest))
+        else:
+            nodes = common.cut(descend(rest))
     return components(found).select(F.col("node").alias("cls"), F.col("root").alias("grp"))
 
 

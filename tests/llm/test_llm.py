@@ -293,6 +293,7 @@ def test_large_group_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 5000)
     monkeypatch.setattr(neardup, "SMALL", 32)
     monkeypatch.setattr(neardup, "DEPTH", 1)
+    monkeypatch.setattr(neardup, "PIECE", 60)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     rows = rows_of(neardup.near_duplicates(docs, width=2))
     want, _ = brute_components(texts, 2)
