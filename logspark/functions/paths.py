@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logspark.functions.patterns import ID_SEGMENT, PATH_ONLY
+from logspark.functions.patterns import ID_BODY, ID_SEGMENT, PATH_ONLY
 
 RAW, STRIP_QUERY, COLLAPSE_IDS = "raw", "strip_query", "collapse_ids"
 MODES = (RAW, STRIP_QUERY, COLLAPSE_IDS)
@@ -48,4 +48,5 @@ def normalize_path(path: Column, mode: str = COLLAPSE_IDS) -> Column:
     bare = strip_query(path)
     if mode == STRIP_QUERY:
         return bare
-    return F.array_join(F.transform(F.split(bare, "/"), lambda s: F.when(is_id(s), ":id").otherwise(s)), "/")
+    # One pass of one pattern; neighbours are looked at, not consumed, so successive ids are all found.
+    return F.regexp_replace(bare, rf"(?<![^/])(?:{ID_BODY})(?![^/])", ":id")

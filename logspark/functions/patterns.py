@@ -22,7 +22,8 @@ CRON_MARK = "[cron]"
 CRON_TIMED = rf"\A([\s\S]*[^ \t])[ \t]+{NUMBER}[ \t]*ms\z"
 EMPTY = r"\A[\x00-\x20]*\z"
 #: A path segment that is an id: 24 hex digits, 6 or more digits, a UUID, or letters-letters-digits.
-ID_SEGMENT = r"\A(?:[0-9a-fA-F]{24}|[0-9]{6,}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[A-Za-z]{2,}-[A-Za-z]{2,}-[0-9]{6,})\z"
+ID_BODY = r"[0-9a-fA-F]{24}|[0-9]{6,}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[A-Za-z]{2,}-[A-Za-z]{2,}-[0-9]{6,}"
+ID_SEGMENT = rf"\A(?:{ID_BODY})\z"
 PATH_ONLY = r"\A[^?#]*"
 #: Lines with more terminal codes than this are no cron lines.
 MOST_CODES = 500
