@@ -1,21 +1,32 @@
 """Packing by lexical retrieval.
 
 Documents become token ids with an end id and are packed into sequences of at
-most WINDOW tokens.  Every task cuts the rows of its input partition, in
-order, into shards of at most SHARD_DOCS documents and about SHARD_TOKENS
-tokens, and indexes a shard by BM25 over token ids (an inverted index with
-weights).  A seed document opens a sequence; the index ranks the shard's
-unused documents against all its tokens, and they fill the sequence in that
-order.  The one that doesn't fit is cut, and what is left of it is the next
-seed.  A document longer than a window fills sequences of its own first.
+most WINDOW tokens.  Document frequencies, the number of documents and their
+mean length are counted once, over all documents.  One shuffle then brings
+related documents together: every document gets KEYS min-hashes of its tokens,
+weighted by idf (two documents share one with the probability of their
+weighted resemblance), and the corpus is dealt out and sorted by them.  Tokens
+of a single document weigh nothing, as they relate it to no other.
+
+Every task cuts its rows, in that order, into shards of at most SHARD_DOCS
+documents and about SHARD_TOKENS tokens, and indexes a shard by BM25 over
+token ids (an inverted index with the corpus's weights).  A seed document
+opens a sequence; the index ranks the shard's unused documents against all its
+tokens, and they fill the sequence in that order.  The one that doesn't fit is
+cut, and what is left of it is the next seed.  A document longer than a window
+fills sequences of its own first.
+
+The search of a seed ends at its shard: related documents whose first
+min-hashes differ are not found.  README.md has the measured share.
 
 What a shard leaves unfinished seeds the next one; what a partition leaves is
 cut into sequences whose lengths are powers of two, the largest first, so
 that none needs padding.
 
-No shuffle: shards lie inside input partitions, so no row moves, a lost
-task is done again alone, and neither hot sources nor groups of copies
-gather anywhere.  A sequence's number holds its partition's.
+Ranges of the keys end in a hash of the row, so that a large group of copies
+is dealt over as many partitions as its size asks for.  Texts are encoded
+once; the ids are kept compressed in the checkpoint folder.  A sequence's
+number holds its partition's.
 
 Tokens are those of the tokenizers library.  Plain texts are encoded by the
 same vocabulary and pattern in tiktoken, which gives equal ids; texts with
@@ -31,6 +42,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -38,6 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logspark.llm import common
 from logspark.llm.bpe import _PLAIN, printable_bytes
 
 WINDOW = 2048
@@ -45,6 +58,8 @@ END = 1
 SHARD_DOCS = 1024
 SHARD_TOKENS = 1_500_000
 K1, B = 1.2, 0.75
+#: Min-hashes by which documents are brought together.
+KEYS = 4
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -75,10 +90,36 @@ def encoder(path: str):
     return encode
 
 
+@dataclass
+class Corpus:
+    """What BM25 needs of all documents: their number, mean length and each token's document frequency."""
+
+    n: int
+    mean: float
+    df: np.ndarray
+
+    @classmethod
+    def of(cls, docs: list[np.ndarray]) -> Corpus:
+        df = np.bincount(np.concatenate([np.unique(ids) for ids in docs]))
+        return cls(len(docs), sum(map(len, docs)) / len(docs), df)
+
+    def idf(self) -> np.ndarray:
+        return np.log1p((self.n - self.df + 0.5) / (self.df + 0.5))
+
+    def places(self) -> np.ndarray:
+        """For each of KEYS orders the place of every token: idf-weighted random draws, tokens of one document last."""
+        draws = np.random.default_rng(1).exponential(size=(KEYS, len(self.df)))
+        weight = np.where(self.df > 1, self.idf(), 0.0)
+        with np.errstate(divide="ignore"):
+            draws = draws / weight
+        return draws.argsort(1, kind="stable").argsort(1, kind="stable").astype(np.int32)
+
+
 class Index:
-    """BM25 weights of a shard's documents by token."""
+    """BM25 weights of a shard's documents by token; df, idf and mean length are the corpus's (by default the shard is all)."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None):
+        corpus = corpus or Corpus.of(docs)
         n = len(docs)
         self.n = n
         self.terms: list[np.ndarray] = []
@@ -91,13 +132,11 @@ class Index:
         owner, term = np.repeat(np.arange(n), sizes), np.concatenate(self.terms).astype(np.int64)
         tf = np.concatenate(counts).astype(float)
         length = np.fromiter(map(len, docs), float, n)
-        df = np.bincount(term)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * length / length.mean())
-        weight = idf[term] * tf * (K1 + 1) / (tf + norm[owner])
+        norm = K1 * (1 - B + B * length / corpus.mean)
+        weight = corpus.idf()[term] * tf * (K1 + 1) / (tf + norm[owner])
         order = np.argsort(term, kind="stable")
         self.owner, self.weight = owner[order].astype(np.int32), weight[order]
-        self.begin = np.concatenate(([0], np.cumsum(df)))
+        self.begin = np.concatenate(([0], np.cumsum(np.bincount(term))))
 
     def scores(self, seed: int) -> np.ndarray:
         a = self.begin[self.terms[seed]]
@@ -109,8 +148,8 @@ class Index:
 class Packer:
     """Pieces (row, start, length, sequence, offset) of one partition, rows numbered as they came."""
 
-    def __init__(self, window: int):
-        self.window = window
+    def __init__(self, window: int, corpus: Corpus | None = None):
+        self.window, self.corpus = window, corpus
         self.sequence, self.filled = 0, 0
         self.open: list[tuple[int, int, int]] = []  # (row, start, length) of the sequence that is being filled
 
@@ -139,7 +178,7 @@ class Packer:
                 start, length, room, offset = start + take, length - take, room - take, offset + take
 
     def shard(self, first_row: int, docs: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int]]:
-        index, free = Index(docs), np.ones(len(docs), bool)
+        index, free = Index(docs, self.corpus), np.ones(len(docs), bool)
         last: int | None = None  # the document that seeds what is open
         for seed in range(len(docs)):
             if not free[seed]:
@@ -174,11 +213,78 @@ def _best_first(scores: np.ndarray, n: int, some: int = 16) -> Iterator[int]:
         yield from (int(k) for k in np.argsort(-scores, kind="stable")[:n])
 
 
+def _ids(packed: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(packed, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint32)
+
+
+def encoded(docs: DataFrame, path: str, end: int = END) -> DataFrame:
+    """(doc_id, n, packed): each row's number of tokens and its ids, compressed; encoded once and kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(path)
+        for batch in batches:
+            n, packed = [], []
+            for text in batch.column(1).to_pylist():
+                ids = np.append(encode(text or ""), np.uint32(end))
+                n.append(len(ids))
+                packed.append(pa.compress(ids.tobytes(), codec="zstd", asbytes=True))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "n", "packed"])
+
+    kind_of_id = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return common.cut(rows.mapInArrow(run, f"doc_id {kind_of_id}, n long, packed binary"))
+
+
+def corpus_of(rows: DataFrame) -> Corpus:
+    """Counted over all rows of encoded(); a number for each token of the vocabulary comes to the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, docs, length = np.zeros(0, np.int64), 0, 0
+        for batch in batches:
+            for n, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                terms = np.unique(_ids(packed, n))
+                if terms[-1] >= len(df):
+                    df = np.concatenate([df, np.zeros(int(terms[-1]) + 1 - len(df), np.int64)])
+                df[terms] += 1
+                docs, length = docs + 1, length + n
+        terms = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(terms, [-1, -2])), pa.array(np.append(df[terms], [docs, length]))], names=["term", "n"])
+
+    sums = rows.select("n", "packed").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    found = {r["term"]: r["n"] for r in sums}
+    n, length = found.pop(-1, 0), found.pop(-2, 0)
+    df = np.zeros(max(found, default=0) + 1, np.int64)
+    df[list(found)] = list(found.values())
+    return Corpus(n, length / max(n, 1), df)
+
+
+def together(rows: DataFrame, corpus: Corpus) -> DataFrame:
+    """Rows of encoded(), dealt out and sorted by min-hashes, so that related documents follow each other."""
+    places = corpus.places()
+    keys = [f"key{k}" for k in range(KEYS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            docs = [_ids(packed, n) for n, packed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            begin = np.concatenate(([0], np.cumsum([len(d) for d in docs])[:-1]))
+            flat = np.concatenate(docs)
+            found = [pa.array(np.minimum.reduceat(place[flat], begin)) for place in places]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=["doc_id", "n", "packed", *keys])
+
+    keyed = rows.mapInArrow(run, common.schema_of(rows, ", ".join(f"{k} int" for k in keys)))
+    order = [*keys, F.xxhash64("doc_id", "packed")]
+    # Some shards to a partition, however small or large the corpus.
+    parts = 1 + int(max(corpus.n // (2 * SHARD_DOCS), corpus.n * corpus.mean // (2 * SHARD_TOKENS)))
+    return keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "n", "packed")
+
+
 def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, with_ids: bool = True) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, its ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = encoder(path), Packer(window)
+        packer = Packer(window, corpus)
         ids: list = []  # of the rows whose pieces may still be given out
         tokens: list[np.ndarray] = []
         base = first = 0  # number of the first row held; of the open shard's first row
@@ -204,10 +310,10 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, with_
         for batch in batches:
             kind = batch.schema.field(0).type
             if batch.num_rows:
-                partition = batch.column(2)[0].as_py()
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                partition = batch.column(3)[0].as_py()
+            for key, n, packed in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 ids.append(key)
-                tokens.append(np.append(encode(text or ""), np.uint32(end)))
+                tokens.append(_ids(packed, n))
                 held += len(tokens[-1])
                 if held >= SHARD_TOKENS or len(ids) - (first - base) >= SHARD_DOCS:
                     pieces = list(packer.shard(first, tokens[first - base :]))
@@ -226,5 +332,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, with_
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
     kind_of_id = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind_of_id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.spark_partition_id().alias("partition"))
+    found = encoded(docs, path, end)
+    corpus = corpus_of(found)
+    rows = together(found, corpus).select("doc_id", "n", "packed", F.spark_partition_id().alias("partition"))
     return rows.mapInArrow(run, schema)

@@ -378,6 +378,30 @@ def test_neighbours_are_related():
         assert {int(k) % 5 for k in best} == {seed % 5}
 
 
+def test_related_documents_meet_from_anywhere(spark, monkeypatch):
+    """Groups are spread over all partitions, one member in each run of rows: they still fill windows together."""
+    monkeypatch.setattr(packing, "SHARD_DOCS", 16)
+    words = [[f"{a}{b}{k}" for a in ("ka", "lo", "mi") for b in ("zu", "re", "to")] for k in range(20)]
+    rng = random.Random(0)
+    docs = spark.createDataFrame([(k, " ".join(rng.choices(words[k % 20], k=60)), ) for k in range(400)], "doc_id long, text string").repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id")
+    rows = packing.pack(docs, queries.tokenizer_path()).collect()
+    assert sum(r["length"] for r in rows) == sum(r["doc_tokens"] for r in rows if r["start"] == 0) and len({r["doc_id"] for r in rows}) == 400
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r["sequence_id"]].append(r["doc_id"] % 20)
+    pairs = [(x, y) for g in by.values() for x, y in zip(g, g[1:])]
+    assert sum(x == y for x, y in pairs) > 0.5 * len(pairs)
+
+
+def test_statistics_are_of_all_documents(spark):
+    docs = common.documents(spark, SF).repartition(5)
+    rows = packing.encoded(docs, queries.tokenizer_path())
+    corpus = packing.corpus_of(rows)
+    texts = [packing._ids(r["packed"], r["n"]) for r in rows.collect()]
+    want = packing.Corpus.of(texts)
+    assert (corpus.n, corpus.mean) == (want.n, pytest.approx(want.mean)) and np.array_equal(corpus.df, want.df)
+
+
 # --- 9 -----------------------------------------------------------------------
 
 
