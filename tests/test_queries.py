@@ -27,6 +27,21 @@ def test_matches_sql(spark, name):
     assert sorted(map(tuple, found.collect()), key=key) == sorted(want, key=key)
 
 
+@pytest.mark.parametrize("name, column, descending", [("o21_sort_all_by_avg_desc", "avg_duration_ms", True), ("o17_sort_all_by_path_asc", "path", False)])
+def test_sorts_return_every_endpoint(spark, name, column, descending):
+    """On enough endpoints that a first page would lose some; the order is checked too."""
+    con = duckdb.connect()
+    for t in TABLES:
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    found = queries.QUERIES[name](spark, SF)
+    rows = [tuple(r) for r in found.collect()]
+    want = con.sql(queries.ORACLES[name])
+    want = want.select(*(f'"{c}"' for c in found.columns)).fetchall()
+    assert len(rows) > 25 and sorted(rows, key=repr) == sorted(want, key=repr)
+    values = [r[found.columns.index(column)] for r in rows]
+    assert values == sorted(values, reverse=descending)
+
+
 def test_flagship(spark):
     rows = queries.flagship(spark, SF)
     calls = [r["total_calls"] for r in rows.collect()]
