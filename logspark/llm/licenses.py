@@ -6,6 +6,11 @@ other than letters and digits one blank, ends trimmed.  A normalised sentence
 equal to a known licence sentence gives that sentence's identifier; a few
 sentence patterns (a copyright line with any owner) give one by expression.
 
+Before the cuts, known sentences that run over several lines, or over a cut
+inside them, are put on one line: between their words any characters other
+than letters and digits may stand (comment marks, too) with one line end at
+most, so that none goes over a blank line.  They begin and end where a cut is.
+
 RULES list a licence with an ordered sequence of identifiers.  A rule
 matches where its identifiers appear one after the other among the
 document's identified sentences; identifiers in GAPS may come between.
@@ -105,12 +110,35 @@ def _hints() -> str:
     return r"(?i)licen|copyright|\(c\)|rights reserved|permission|redistribut|warrant|cc0|public domain|compliance|endorse"
 
 
+def _wide_hints() -> str:
+    """As _hints(), with any characters between two words, for texts that are not yet joined."""
+    return _hints().replace(" ", _WORDS)
+
+
+def _wrapped(sentences: list[str]) -> str:
+    """Any of the sentences, over line ends and cuts, from one cut to the next."""
+    mark = r"[^\p{L}\p{N}\n]"
+    between = rf"(?:{mark}++(?:\n{mark}*+)?|\n{mark}*+)"
+    longest_first = "|".join(s.replace(" ", between) for s in sorted(sentences, key=len, reverse=True))
+    return rf"(?i)(?:(?<![^\n])|(?<=[.!?;])[ \t]+){mark}*(?:{longest_first})(?={mark}*?(?:\n|\z|[.!?;][ \t]))"
+
+
+def joined(text: Column) -> Column:
+    """The text with every known sentence on a line of its own, in normal form."""
+    for sentences in SENTENCES.values():
+        text = F.regexp_replace(text, _wrapped(sentences), f"\n{sentences[0]}\n")
+    return text
+
+
 def identifiers(text: Column) -> Column:
     """The identifiers of a text's sentences, in order."""
-    raw = F.filter(F.split(text, _CUT), lambda s: s.rlike(_hints()))
-    named = F.transform(raw, lambda s: let(normalise(s), _identifier))
+
+    def named(lines: Column) -> Column:
+        raw = F.filter(F.split(lines, _CUT), lambda s: s.rlike(_hints()))
+        return F.filter(F.transform(raw, lambda s: let(normalise(s), _identifier)), lambda x: x.isNotNull())
+
     # Few texts have a sentence to look at; the others are left after one search.
-    return F.when(text.rlike(_hints()), F.filter(named, lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
+    return F.when(text.rlike(_wide_hints()), let(joined(text), named)).otherwise(F.array().cast("array<string>"))
 
 
 def _joined(ids: Column) -> Column:

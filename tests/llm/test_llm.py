@@ -421,6 +421,69 @@ def test_licences(spark, none):
     assert "Python" not in licenses.scan(docs)._jdf.queryExecution().executedPlan().toString()
 
 
+WRAPPED = {
+    "MIT": """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+""",
+    "Apache-2.0": """/*
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with
+ * the License. You may obtain a copy of
+ * the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ */
+code();""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without\r
+modification, are permitted provided that the following conditions\r
+are met:\r
+\r
+3. Neither the name of the copyright holder nor the names of its\r
+   contributors may be used to endorse or promote products derived from\r
+   this software without specific prior written permission.\r
+""",
+    "GPL-3.0-or-later": """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.
+""",
+    "LicenseRef-AllRightsReserved": "A book.\nAll rights\nreserved.",
+    "CC0-1.0": "This work has been dedicated to the public\n  domain.",
+}
+WRAPPED_IDS = {
+    "MIT": ["mit-name", "copyright", "mit-grant", "mit-notice"],
+    "Apache-2.0": ["apache-2-release", "apache-2-comply", "apache-2-copy"],
+    "BSD-3-Clause": ["bsd-redistribution", "bsd-endorse"],
+    "GPL-3.0-or-later": ["gpl-free", "gpl-warranty"],
+    "LicenseRef-AllRightsReserved": ["rights-reserved"],
+    "CC0-1.0": ["cc0-release"],
+}
+
+
+def test_wrapped_licences(spark):
+    docs = spark.createDataFrame([(k, t) for k, t in WRAPPED.items()] + [("blank", "All rights\n\nreserved."), ("inside", "Not all rights\nreserved are his")], "doc_id string, text string")
+    rows = rows_of(licenses.scan(docs))
+    assert {k: rows[k]["sentence_ids"] for k in WRAPPED} == WRAPPED_IDS
+    assert {k: rows[k]["licences"] for k in WRAPPED} == {k: [k] for k in WRAPPED}
+    assert rows["blank"]["licences"] == rows["inside"]["licences"] == []
+
+
 def test_licences_odd(odd):
     assert licenses.scan(odd).count() == len(ODD)
 
