@@ -386,8 +386,7 @@ def h4(spark, sf_dir):
 
 @register("h5_exact_quantile", "select user_id, " + ", ".join(f"list_sort(list(value))[cast(floor({q} * (count(*) - 1)) as int) + 1] as p{round(q * 100)}" for q in histogram.QUANTILES) + " from events group by user_id")
 def h5(spark, sf_dir):
-    grouped = _events(spark, sf_dir).groupBy("user_id").agg(F.collect_list("value").alias("v"))
-    return grouped.select("user_id", *(histogram.exact_quantile(F.col("v"), q).alias(f"p{round(q * 100)}") for q in histogram.QUANTILES))
+    return histogram.exact_quantiles(_events(spark, sf_dir), "user_id", "value", workspace(spark))
 
 
 # --- views ---------------------------------------------------------------------

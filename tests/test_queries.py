@@ -42,6 +42,30 @@ def test_sorts_return_every_endpoint(spark, name, column, descending):
     assert values == sorted(values, reverse=descending)
 
 
+def test_exact_quantiles_gather_no_group(spark, tmp_path):
+    """A hot user, equal, null and odd values: as from the array of all values, but without one."""
+    from pyspark.sql import functions as F
+
+    rows = [(1, float(k * 7919 % 20011)) for k in range(20000)] + [(2, 3.5)] * 900 + [(3, None), (3, -1.0), (None, 2.0), (None, float("nan")), (4, None)]
+    events = spark.createDataFrame(rows + [(k, float(k % 7)) for k in range(5, 400)], "user_id long, value double").repartition(8)
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")  # small parts stay parts
+    try:
+        found = queries.histogram.exact_quantiles(events, "user_id", "value", str(tmp_path / "parts"))
+    finally:
+        spark.conf.set(name, before)
+    whole = events.groupBy("user_id").agg(F.collect_list("value").alias("v"))
+    want = whole.select("user_id", *(queries.histogram.exact_quantile(F.col("v"), q).alias(f"p{round(q * 100)}") for q in queries.histogram.QUANTILES))
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, map(tuple, want.collect())))
+    assert spark.read.parquet(str(tmp_path / "parts")).where("g = 1").select("part").distinct().count() > 1
+
+
+def test_exact_quantile_query_has_no_array_of_a_group(spark):
+    plan = queries.QUERIES["h5_exact_quantile"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan
+
+
 def test_flagship(spark):
     rows = queries.flagship(spark, SF)
     calls = [r["total_calls"] for r in rows.collect()]
