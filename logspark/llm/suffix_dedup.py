@@ -7,34 +7,39 @@ Documents are whole UTF-8 texts; strings never cross documents.
 A suffix array is sorted here only as far as the answer needs: to LENGTH
 bytes, and only where buckets hold more than one suffix.
 
-* Initial buckets: suffixes of Q bytes numbered by their
-  hash.  A window (a suffix of LENGTH bytes) is filed under the least bucket
-  number among its Q-grams, which depends on its bytes alone; successive
-  windows with the same one are a run, filed once, with the hash of the
-  bytes it spans (`first_pass`).
-* Runs filed under one bucket are sorted (`settle`).  A bucket with one run
-  is settled.  Runs that span equal bytes have equal windows: all but the
-  earliest are repeated, whole.  If a bucket holds different spans, the
-  earliest run of each stays open.  So does a run in which its own least
-  Q-gram occurs twice, as its windows may repeat inside it.
-* Open windows are refined (`refine`): the bucket of 2Q bytes at p is the pair
-  of the buckets of Q bytes at p and at p + Q, the bucket of 4Q bytes the pair
-  of the refined buckets at p and p + 2Q, and so on until LENGTH bytes are
-  told apart, each step using the buckets that the last one made (the last
-  step overlaps as far as LENGTH demands).  Windows in one final bucket are
-  equal: all but the earliest are repeated.
-
-Shuffled are packed and compressed arrays of runs (about one in 35 bytes of
-text) and of open windows, dealt by bucket number.  Equal spans and windows of one batch
-of texts are merged before; a bucket with more than HOT spans in one batch is
-dealt by span and left open, so that no bucket's runs meet in one task.
-Texts move only where the list of their spans is too large to broadcast
-(BROADCAST_BYTES); a check decides.
-
-Hashes have 64 bits over equal-length spans; buckets of hashes stand for
-buckets of strings.  Null texts are empty.  Rows with a null id come after
-all others.  Rows with equal id and text are one document, each gets its
-result; equal ids with different texts are ordered by the text's CRC, which is looked at only if ids repeat.
+* Dealing (`first_pass`): a window (a suffix of LENGTH bytes) is filed under
+  the least hash among its Q-grams, which depends on its bytes alone, so
+  equal windows meet.  Successive windows with the same one are a run, sent
+  once with the bytes that it spans.  Long texts are looked at in segments
+  that overlap by LENGTH - 1 bytes.
+* Sorting (`refine`, in the task that has a bucket): runs that span equal
+  bytes have equal windows, so all but the earliest are repeated, whole.
+  The suffixes of what is left are sorted by `bucket_pointers`: buckets of
+  the first bytes are numbered by their last place in the sorted order; each
+  round sorts the members of a bucket by the numbers of the buckets in which
+  the suffixes `depth` bytes later lie and numbers the parts anew within
+  their parent's places.  Numbers that a round has made are read by the next,
+  so the depth doubles; suffixes alone in their bucket are final and are not
+  sorted again.  It is exact: all numbers come from bytes.
+* Windows that are still in one bucket at LENGTH bytes are equal: all but the
+  earliest are repeated.
+
+Shuffled are packed and compressed runs (one in about 30 bytes of text, some
+130 bytes each before compression), dealt by the filing hash, then the texts
+beside their ranges; the same plan at every size.
+
+Hot buckets (`hot_buckets`): filing hashes with more than HOT_RUNS different
+spans (or a 65,536th of all runs, if that is more: so they are 65,536 at
+most, half a megabyte) are found on a sixteenth of all pieces of text.  Their
+windows are dealt one by one, by two 64-bit hashes of their LENGTH bytes
+together, after equal ones of one buffer are merged; so neither a passage in
+very many documents nor its surroundings meet in one task.  The sample
+decides how windows are dealt, never what is compared.
+
+Ids are integers (others raise TypeError).  Null texts are empty.  Rows with
+a null id come after all others.  Rows with equal id and text are one
+document, each gets its result; equal ids with different texts are ordered by
+the text's CRC, which is looked at only if ids repeat.
 """
 
 from __future__ import annotations
@@ -48,37 +53,49 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logspark.llm import common
 from logspark.llm.wordscan import _VALUE, mix, powers
 
 LENGTH = 100
 Q = 32
-HOT = 32
-BROADCAST_BYTES = 64 << 20
+#: Bytes of the first buckets, sorted as one number.
+FIRST = 8
+#: Windows of one text looked at together, windows of one run at most, bytes of text whose runs are packed together.
+SEGMENT, RUN_MOST, BUFFER = 1 << 20, 1024, 16 << 20
+#: Bytes of runs sorted together; a bucket is never cut.
+SORTED = 4 << 20
+#: A bucket of more different spans is dealt by window; one piece of text in SAMPLED is looked at to find them.
+HOT_RUNS, SAMPLED, PIECE = 5000, 16, 4096
 _FACTOR = np.uint64(0xD6E8FEB86659FD93)
+_OTHER = np.random.default_rng(41).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LAST_ID = np.iinfo(np.int64).max
-RUN = np.dtype([("v", "<u4"), ("span", "<u8"), ("doc", "<i8"), ("crc", "<u4"), ("at", "<u4"), ("n", "<u4"), ("kind", "<u1")])
-WINDOW = np.dtype([("bucket", "<u8"), ("doc", "<i8"), ("crc", "<u4"), ("at", "<u4")])
+RUN = np.dtype([("v", "<u4"), ("doc", "<i8"), ("crc", "<u4"), ("at", "<u4"), ("n", "<u2"), ("twice", "<u1")])
+WINDOW = np.dtype([("h", "<u8"), ("g", "<u8"), ("doc", "<i8"), ("crc", "<u4"), ("at", "<u4")])
 RANGE = np.dtype([("doc", "<i8"), ("crc", "<u4"), ("at", "<u4"), ("n", "<u4")])
-PLAIN, OPEN, MARK = 0, 1, 2
+#: Kinds of packets.
+KNOWN, RUNS, WINDOWS = 0, 1, 2
 
 
 class Texts:
     """Texts of one batch in one buffer; all arrays are by byte of the buffer."""
 
-    def __init__(self, texts: list[bytes | None], with_crc: bool = True):
-        raw = [t or b"" for t in texts]
+    def __init__(self, raw: list[bytes]):
         self.buf = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
         self.sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         self.start = np.concatenate(([0], np.cumsum(self.sizes + 1)))
-        self.crc = np.fromiter(map(zlib.crc32, raw) if with_crc else [0] * len(raw), np.int64, len(raw)).astype(np.uint32)
+        self.sum = self._sums(_VALUE)
+        self._second: np.ndarray | None = None
+
+    def _sums(self, value: np.ndarray) -> np.ndarray:
         up, self.down = powers(len(self.buf) + 1)
-        self.sum = np.zeros(len(self.buf) + 1, np.uint64)
-        np.cumsum(_VALUE[self.buf] * up[: len(self.buf)], out=self.sum[1:])
+        out = np.zeros(len(self.buf) + 1, np.uint64)
+        np.cumsum(value[self.buf] * up[: len(self.buf)], out=out[1:])
+        return out
 
     def grams(self, q: int) -> np.ndarray:
-        """Bucket numbers of the q-grams at all positions that have one."""
+        """Hashes of the q-grams at all positions that have one."""
         n = len(self.buf) - q + 1
         if n <= 0:
             return np.zeros(0, np.uint64)
@@ -87,8 +104,14 @@ class Texts:
     def spans(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sum[end] - self.sum[begin]) * self.down[begin] + (end - begin).astype(np.uint64) * _FACTOR)
 
+    def second(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Other hashes of the same spans."""
+        if self._second is None:
+            self._second = self._sums(_OTHER)
+        return mix((self._second[end] - self._second[begin]) * self.down[begin])
+
     def runs(self, length: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(text, first window, windows, least bucket, whether that occurs twice) of every run of windows."""
+        """(text, first window, windows, least hash, whether that may occur twice) of every run of windows."""
         b, many = self.grams(q), length - q + 1
         counts = np.maximum(0, self.sizes - length + 1)
         if not counts.sum():
@@ -100,13 +123,12 @@ class Texts:
         if width < many:
             rest = many - width
             least = np.minimum(least[:-rest], least[rest:])
-        there = np.zeros(len(self.buf) + 1, bool)
-        for s, n in zip(self.start[:-1], counts, strict=True):
-            there[s : s + n] = True
-        valid = there[: len(least)]
-        begins = valid.copy()
+        edges = np.zeros(len(self.buf) + 1, np.int8)
+        edges[self.start[:-1][counts > 0]] += 1
+        edges[(self.start[:-1] + counts)[counts > 0]] -= 1
+        valid = np.cumsum(edges, dtype=np.int8)[: len(least)].astype(bool)
+        begins, ends = valid.copy(), valid.copy()
         begins[1:] &= ~valid[:-1] | (least[1:] != least[:-1])
-        ends = valid.copy()
         ends[:-1] &= ~valid[1:] | (least[1:] != least[:-1])
         first, last = np.flatnonzero(begins), np.flatnonzero(ends)
         v, n = least[first], last - first + 1
@@ -117,154 +139,326 @@ class Texts:
             head = b[f[:, None] + offsets] == w
             tail = b[last[k : k + 20_000][:, None] + offsets] == w
             twice[k : k + 20_000] |= (head.sum(1) > 1) | (tail.sum(1) > 1) | (f + head.argmax(1) != last[k : k + 20_000] + tail.argmax(1))
+        if (n > RUN_MOST).any():
+            parts = -(-n // RUN_MOST)
+            of = np.repeat(np.arange(len(n)), parts)
+            skip = (np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)) * RUN_MOST
+            first, n, v, twice = first[of] + skip, np.minimum(n[of] - skip, RUN_MOST), v[of], twice[of]
         text = np.searchsorted(self.start, first, "right") - 1
         return text, first, n, v, twice
 
-    def refined(self, length: int, q: int) -> np.ndarray:
-        """Bucket numbers of all suffixes of `length` bytes: pairs of buckets at p and p + depth, doubled until length."""
-        b, depth = self.grams(q), q
-        while depth < length:
-            step = min(depth, length - depth)
-            b = mix(b[:-step] * _FACTOR + b[step:])
-            depth += step
-        return b
-
 
 def _ids(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.fill_null(_LAST_ID).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _dealt(rows: np.ndarray, part: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    order = np.argsort(part, kind="stable")
-    part, rows = part[order], rows[order]
-    edge = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]))
-    for a, b in zip(edge[:-1], edge[1:], strict=True):
-        if b > a:
-            yield int(part[a]), _planes(rows[a:b])
+def _places(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... of size[0] places, then those of the next."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
-def _planes(rows: np.ndarray) -> bytes:
+def _planes(rows: np.ndarray, more: bytes = b"") -> bytes:
     """Byte after byte of all rows, field after field: bytes that hardly change lie together and are compressed away."""
     planes = b"".join(np.ascontiguousarray(rows[name]).view(np.uint8).reshape(len(rows), -1).T.tobytes() for name in rows.dtype.names)
-    return zstandard.ZstdCompressor(level=1).compress(planes)
+    return len(rows).to_bytes(4, "little") + zstandard.ZstdCompressor(level=1).compress(planes + more)
 
 
-def _rows(raw: bytes, kind: np.dtype) -> np.ndarray:
-    planes = zstandard.ZstdDecompressor().decompress(raw)
-    n, at = len(planes) // kind.itemsize, 0
+def _rows(raw: bytes, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of one packet, and the bytes after them."""
+    n, at = int.from_bytes(raw[:4], "little"), 0
+    planes = zstandard.ZstdDecompressor().decompress(raw[4:])
     out = np.empty(n, kind)
     for name in kind.names:
         size = kind[name].itemsize
         out[name] = np.ascontiguousarray(np.frombuffer(planes[at : at + size * n], np.uint8).reshape(size, n).T).view(kind[name]).reshape(n)
         at += size * n
-    return out
+    return out, np.frombuffer(planes, np.uint8, offset=at)
 
 
-def _batch(packed: list[tuple[int, bytes]], doc: np.ndarray, crc: np.ndarray, at: np.ndarray, n: np.ndarray, spread: int) -> pa.RecordBatch:
-    """Packed rows for the next step; repeated ranges go along under a part below 0."""
-    if len(doc):
-        ranges = np.empty(len(doc), RANGE)
-        ranges["doc"], ranges["crc"], ranges["at"], ranges["n"] = doc, crc, at, n
-        packed = [*packed, (-1 - int(ranges["doc"][0]) % spread, _planes(ranges))]
-    return pa.RecordBatch.from_arrays([pa.array([p for p, _ in packed], pa.int32()), pa.array([raw for _, raw in packed], pa.binary())], names=["part", "packed"])
-
+def _later(*keys: np.ndarray) -> np.ndarray:
+    """In sorted keys: whether a row's keys equal those of the row before."""
+    if not len(keys[0]):
+        return np.zeros(0, bool)
+    same = np.ones(len(keys[0]) - 1, bool)
+    for key in keys:
+        same &= key[1:] == key[:-1]
+    return np.concatenate(([False], same))
+
+
+def _windows_to_ranges(rows: np.ndarray) -> np.ndarray:
+    """Windows (doc, crc, at) as ranges of successive ones."""
+    rows = rows[np.lexsort((rows["at"], rows["crc"], rows["doc"]))]
+    again = _later(rows["doc"], rows["crc"]) & np.concatenate(([False], rows["at"][1:].astype(np.int64) <= rows["at"][:-1].astype(np.int64) + 1)) if len(rows) else np.zeros(0, bool)
+    begin = np.flatnonzero(~again)
+    out = np.empty(len(begin), RANGE)
+    out["doc"], out["crc"], out["at"] = rows["doc"][begin], rows["crc"][begin], rows["at"][begin]
+    if len(begin):
+        last = np.append(begin[1:], len(rows)) - 1
+        out["n"] = rows["at"][last].astype(np.int64) - rows["at"][begin] + 1
+    return out
 
-_OUT = "part int, packed binary"
 
+def _equal_spans(rows: np.ndarray, span: np.ndarray, text: np.ndarray, begin: np.ndarray, length: int) -> np.ndarray:
+    """Whether a run spans the same bytes as an earlier one; span holds hashes, text[begin:] the bytes that decide.
+
+    Runs of one document at one place (from repeated rows) are one: the second is nothing of its own, and is marked 2.
+    """
+    out = np.zeros(len(rows), np.uint8)
+    order = np.lexsort((rows["at"], rows["crc"], rows["doc"], span))
+    s = span[order]
+    new = ~_later(s, rows["n"][order])
+    head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    for k in np.flatnonzero(~new):
+        i, j = order[k], head[k]
+        size = int(rows["n"][i]) - 1 + length
+        if np.array_equal(text[begin[i] : begin[i] + size], text[begin[j] : begin[j] + size]):
+            out[i] = 2 if rows["doc"][i] == rows["doc"][j] and rows["crc"][i] == rows["crc"][j] and rows["at"][i] == rows["at"][j] else 1
+    return out
 
-def _range(at: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return at.astype(np.int64) << 32 | n.astype(np.int64)
 
+def bucket_pointers(text: np.ndarray, left: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, numbers) of the suffixes that share their first `length` bytes with another, sorted by number.
+
+    left[p]: bytes from p to the end of the span in which p lies.  Suffixes with fewer than `length` bytes left only
+    lend their buckets.  A bucket's number is its last place in the order sorted so far.
+    """
+    first = min(FIRST, length)
+    at = np.flatnonzero(left >= first)
+    padded = np.concatenate([text, np.zeros(FIRST, np.uint8)])
+    key = np.zeros(len(text), np.uint64)
+    for k in range(first):
+        key = key << np.uint64(8) | padded[k : k + len(text)]
+    order = np.argsort(key[at])
+    at, key = at[order], key[at[order]]
+    number = np.zeros(len(text), np.int64)
+
+    def last_places(new: np.ndarray) -> np.ndarray:
+        """For each row of a sorted order, the last place of its bucket; new marks where buckets begin."""
+        begin = np.flatnonzero(new)
+        end = np.append(begin[1:], len(new)) - 1
+        return np.repeat(end, end - begin + 1)
+
+    number[at] = last_places(~_later(key))
+    depth = first
+    while True:
+        step = min(depth, length - depth)
+        at = at[left[at] >= depth + step]
+        same = _later(number[at])
+        shared = same | np.append(same[1:], False) if len(at) else same
+        at = at[shared]
+        if not step or not len(at):
+            return at, number[at]
+        parent, later = number[at], number[at + step]
+        order = np.argsort(parent << 32 | later, kind="stable")
+        at, parent, later = at[order], parent[order], later[order]
+        parent_end = last_places(~_later(parent))
+        number[at] = parent - (parent_end - last_places(~_later(parent, later)))
+        depth += step
+
+
+def repeated_windows(rows: np.ndarray, spans: np.ndarray, begin: np.ndarray, length: int) -> np.ndarray:
+    """Ranges of windows that equal an earlier one; spans[begin:] holds the bytes of each run.  Whole buckets only."""
+    size = rows["n"].astype(np.int64) - 1 + length
+    hashed = Texts([spans.tobytes()])
+    same = _equal_spans(rows, hashed.spans(begin, begin + size), spans, begin, length)
+    whole = rows[same == 1]
+    known = np.empty(len(whole), RANGE)
+    for name in RANGE.names:
+        known[name] = whole[name]
+    kept = np.flatnonzero(same == 0)
+    kept = kept[np.argsort(rows["v"][kept], kind="stable")]
+    again = _later(rows["v"][kept])
+    shared = again | np.append(again[1:], False) if len(kept) else again
+    kept = kept[shared | (rows["twice"][kept] > 0)]
+    if not len(kept):
+        return known
+    kept = kept[np.lexsort((rows["at"][kept], rows["crc"][kept], rows["doc"][kept]))]  # places in order of occurrence
+    size = size[kept]
+    text = spans[_places(begin[kept], size)]
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(text))
+    at, number = bucket_pointers(text, left, length)
+    order = np.lexsort((at, number))
+    at, number = at[order], number[order]
+    at = at[_later(number)]
+    start = np.cumsum(size) - size
+    of = np.searchsorted(start, at, "right") - 1
+    gone = np.empty(len(at), WINDOW)
+    own = rows[kept][of]
+    gone["doc"], gone["crc"], gone["at"] = own["doc"], own["crc"], own["at"] + (at - start[of])
+    return np.concatenate([known, _windows_to_ranges(gone)])
+
+
+def _segments(batches: Iterator[pa.RecordBatch], length: int, with_crc: bool) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, doc, crc, first byte) of segments of texts, some at a time; equal texts are cut equally."""
+    held: list[tuple[bytes, int, int, int]] = []
+    size = 0
+
+    def given():
+        raw, doc, crc, at = zip(*held, strict=True)
+        return list(raw), np.array(doc, np.int64), np.array(crc, np.uint32), np.array(at, np.int64)
+
+    for batch, texts in common.chunks(batches):
+        for key, text in zip(_ids(batch.column(0)).tolist(), texts, strict=True):
+            if text is None or len(text) < length:
+                continue
+            crc = zlib.crc32(text) if with_crc else 0
+            for s in range(0, len(text) - length + 1, SEGMENT):
+                piece = text[s : s + SEGMENT + length - 1]
+                if size and size + len(piece) > common.CHUNK_BYTES:
+                    yield given()
+                    held, size = [], 0
+                held.append((piece, key, crc, s))
+                size += len(piece)
+    if held:
+        yield given()
 
-def _later(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
-    """In sorted order: whether a row's keys equal those of the row before."""
-    same = np.ones(max(0, len(order) - 1), bool)
-    for key in keys:
-        k = key[order]
-        same &= k[1:] == k[:-1]
-    return np.concatenate(([False], same)) if len(order) else np.zeros(0, bool)
 
+def hot_buckets(docs: DataFrame, length: int, q: int, most: int = HOT_RUNS, sampled: int = SAMPLED) -> np.ndarray:
+    """Filing hashes of buckets with very many different spans, ascending; 65,536 at most, by the bound that they pass."""
 
-def first_pass(docs: DataFrame, parts: int, length: int, q: int, with_crc: bool = True) -> DataFrame:
-    """Packed runs by part of their bucket, and ranges that a batch of texts shows to be repeated."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in common.chunks(batches):
+            pieces = []
+            for key, text in zip(_ids(batch.column(0)).tolist(), texts, strict=True):
+                if text is None or len(text) < length:
+                    continue
+                for k, s in enumerate(range(0, len(text) - length + 1, PIECE)):
+                    if ((key * 0x9E3779B97F4A7C15 + k * 0xD6E8FEB86659FD93) >> 40) % sampled == 0:
+                        pieces.append(text[s : s + PIECE + length - 1])
+            if pieces:
+                found = Texts(pieces)
+                _, first, n, v, _ = found.runs(length, q)
+                pair = np.unique(np.stack([v, found.spans(first, first + n - 1 + length)], 1), axis=0)
+                v, count = np.unique(pair[:, 0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(count)], names=["v", "n"])
+
+    counts = common.cut(docs.mapInArrow(run, "v long, n long").groupBy("v").agg(F.sum("n").alias("n")))
+    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    found = counts.where(F.col("n") > max(most // sampled, total // 65536)).select("v").collect()
+    return np.sort(np.array([r["v"] for r in found], np.int64).view(np.uint64))
+
+
+def first_pass(docs: DataFrame, parts: int, length: int, q: int, with_crc: bool, hot: np.ndarray) -> DataFrame:
+    """(part, kind, packed): runs and windows by part of their bucket, and ranges that a buffer of texts shows to be repeated."""
+
+    def packets(held: list[tuple]) -> pa.RecordBatch:
+        out: list[tuple[int, int, bytes]] = []
+        known: list[np.ndarray] = []
+
+        def deal(kind: int, rows: np.ndarray, part: np.ndarray, text: np.ndarray | None = None, begin: np.ndarray | None = None):
+            order = np.argsort(part, kind="stable")
+            rows, part = rows[order], part[order]
+            if text is not None:
+                size = rows["n"].astype(np.int64) - 1 + length
+                text, ends = text[_places(begin[order], size)], np.concatenate(([0], np.cumsum(size)))
+            edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else np.zeros(1, np.int64)
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                out.append((int(part[a]), kind, _planes(rows[a:b], b"" if text is None else text[ends[a] : ends[b]].tobytes())))
+
+        rows, span, v = (np.concatenate([h[k] for h in held]) for k in (0, 1, 2))
+        moved = np.cumsum([0] + [len(h[4]) for h in held])
+        begin, text = np.concatenate([h[3] + m for h, m in zip(held, moved, strict=False)]), np.concatenate([h[4] for h in held])
+        same = _equal_spans(rows, span, text, begin, length)
+        gone = np.empty(int((same == 1).sum()), RANGE)
+        for name in RANGE.names:
+            gone[name] = rows[same == 1][name]
+        known.append(gone)
+        kept = same == 0
+        deal(RUNS, rows[kept], (v[kept] % np.uint64(parts)).astype(np.int64), text, begin[kept])
+        windows = np.concatenate([h[5] for h in held])
+        if len(windows):
+            windows = windows[np.lexsort((windows["at"], windows["crc"], windows["doc"], windows["g"], windows["h"]))]
+            fresh = ~_later(windows["h"], windows["g"])
+            head = np.maximum.accumulate(np.where(fresh, np.arange(len(windows)), 0))
+            itself = (windows["doc"] == windows["doc"][head]) & (windows["crc"] == windows["crc"][head]) & (windows["at"] == windows["at"][head])
+            known.append(_windows_to_ranges(windows[~itself]))
+            deal(WINDOWS, windows[fresh], (windows["h"][fresh] % np.uint64(parts)).astype(np.int64))
+        ranges = np.concatenate(known)
+        if len(ranges):
+            out.append((int(ranges["doc"][0]) % parts, KNOWN, _planes(ranges)))
+        part, kind, packed = zip(*out, strict=True) if out else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(packed, pa.binary())], names=["part", "kind", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, raw in common.chunks(batches):
-            texts = Texts(raw, with_crc)
+        held: list[tuple] = []
+        size = 0
+        for raw, doc, crc, offset in _segments(batches, length, with_crc):
+            texts = Texts(raw)
             text, first, n, v, twice = texts.runs(length, q)
-            if not len(first):
-                continue
             rows = np.empty(len(first), RUN)
-            rows["v"], rows["span"] = (v >> np.uint64(32)).astype(np.uint32), texts.spans(first, first + n - 1 + length)
-            rows["doc"], rows["crc"] = _ids(batch.column(0))[text], texts.crc[text]
-            rows["at"], rows["n"], rows["kind"] = first - texts.start[text], n, np.where(twice, OPEN, PLAIN)
-            order = np.lexsort((rows["at"], rows["crc"], rows["doc"], rows["span"]))
-            again = _later(order, rows["span"])
-            gone, rows, v = rows[order[again]], rows[order[~again]], v[order[~again]]
-            # Buckets with many different spans are dealt by span, and a mark is left where the bucket belongs.
-            order = np.argsort(v, kind="stable")
-            fresh = ~_later(order, v)
-            group = np.cumsum(fresh) - 1
-            hot = np.empty(len(v), bool)
-            hot[order] = np.bincount(group)[group] > HOT
-            part = (v % np.uint64(parts)).astype(np.int64)
-            marks = rows[hot].copy()
-            marks["kind"] = MARK
-            marks_part = part[hot]
-            _, one = np.unique(v[hot], return_index=True)
-            rows["kind"][hot] = OPEN
-            part[hot] = (mix(v[hot] ^ rows["span"][hot]) % np.uint64(parts)).astype(np.int64)
-            yield _batch(list(_dealt(np.concatenate([rows, marks[one]]), np.concatenate([part, marks_part[one]]))), gone["doc"], gone["crc"], gone["at"], gone["n"], parts)
-
-    return docs.select("doc_id", "text").mapInArrow(run, _OUT)
-
-
-def _parts(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[tuple[bool, np.ndarray]]:
-    """(whether they are repeated ranges, all rows) of one part after the other; input sorted by part."""
-    held: list[bytes] = []
-    last = 0
-
-    def joined() -> tuple[bool, np.ndarray]:
-        return last < 0, np.concatenate([_rows(r, RANGE if last < 0 else kind) for r in held])
-
-    for batch in batches:
-        for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if part != last and held:
-                yield joined()
-                held = []
-            last = part
-            held.append(raw)
-    if held:
-        yield joined()
-
-
-def _dealt_by_part(filed: DataFrame) -> DataFrame:
-    return filed.repartition("part").sortWithinPartitions("part")
+            rows["v"], rows["doc"], rows["crc"] = (v >> np.uint64(32)).astype(np.uint32), doc[text], crc[text]
+            rows["at"], rows["n"], rows["twice"] = first - texts.start[text] + offset[text], n, twice
+            span = texts.spans(first, first + n - 1 + length)
+            is_hot = hot[np.minimum(np.searchsorted(hot, v), len(hot) - 1)] == v if len(hot) else np.zeros(len(v), bool)
+            windows = np.zeros(0, WINDOW)
+            if is_hot.any():
+                at = _places(first[is_hot], n[is_hot])
+                own = np.repeat(rows[is_hot], n[is_hot])
+                windows = np.empty(len(at), WINDOW)
+                windows["h"], windows["g"], windows["doc"], windows["crc"] = texts.spans(at, at + length), texts.second(at, at + length), own["doc"], own["crc"]
+                windows["at"] = own["at"] + (at - np.repeat(first[is_hot], n[is_hot]))
+            cold = ~is_hot
+            held.append((rows[cold], span[cold], v[cold], first[cold], texts.buf, windows))
+            size += len(texts.buf)
+            if size >= BUFFER:
+                yield packets(held)
+                held, size = [], 0
+        if held:
+            yield packets(held)
+
+    return docs.mapInArrow(run, "part int, kind int, packed binary")
+
+
+def refine(filed: DataFrame, length: int) -> DataFrame:
+    """(doc, crc, at): ranges of windows that equal an earlier one; at holds the first and, in the low half, how many."""
+
+    def ranges(packets: list[tuple[int, bytes]]) -> Iterator[np.ndarray]:
+        yield from (_rows(raw, RANGE)[0] for kind, raw in packets if kind == KNOWN)
+        windows = [_rows(raw, WINDOW)[0] for kind, raw in packets if kind == WINDOWS]
+        if windows:
+            rows = np.concatenate(windows)
+            rows = rows[np.lexsort((rows["at"], rows["crc"], rows["doc"], rows["g"], rows["h"]))]
+            fresh = ~_later(rows["h"], rows["g"])
+            head = np.maximum.accumulate(np.where(fresh, np.arange(len(rows)), 0))
+            itself = (rows["doc"] == rows["doc"][head]) & (rows["crc"] == rows["crc"][head]) & (rows["at"] == rows["at"][head])
+            yield _windows_to_ranges(rows[~itself])
+        runs = [_rows(raw, RUN) for kind, raw in packets if kind == RUNS]
+        if not runs:
+            return
+        rows, spans = np.concatenate([r for r, _ in runs]), np.concatenate([s for _, s in runs])
+        size = rows["n"].astype(np.int64) - 1 + length
+        begin = np.cumsum(size) - size
+        order = np.argsort(rows["v"], kind="stable")
+        rows, begin, size = rows[order], begin[order], size[order]
+        new = np.flatnonzero(~_later(rows["v"]))
+        before = np.concatenate(([0], np.cumsum(size)))
+        a = 0
+        while a < len(rows):  # some buckets at a time
+            k = np.searchsorted(before[new], before[a] + SORTED, "right") - 1
+            b = int(new[k]) if new[k] > a else (int(new[k + 1]) if k + 1 < len(new) else len(rows))
+            if before[-1] - before[a] <= SORTED:
+                b = len(rows)
+            own = spans[_places(begin[a:b], size[a:b])]
+            yield repeated_windows(rows[a:b], own, before[a:b] - before[a], length)
+            a = b
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, bytes]] = []
+        last = -1
+        for batch in batches:
+            for part, kind, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != last and held:
+                    yield from map(given, ranges(held))
+                    held = []
+                last = part
+                held.append((kind, raw))
+        yield from map(given, ranges(held))
 
-def settle(filed: DataFrame) -> DataFrame:
-    """(doc, crc, at, open): repeated ranges, and ranges left open, of all buckets."""
+    def given(found: np.ndarray) -> pa.RecordBatch:
+        at = found["at"].astype(np.int64) << 32 | found["n"].astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(found["doc"]), pa.array(found["crc"].astype(np.int64)), pa.array(at)], names=["doc", "crc", "at"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for known, rows in _parts(batches, RUN):
-            if known:
-                yield pa.RecordBatch.from_arrays([pa.array(rows["doc"]), pa.array(rows["crc"].astype(np.int64)), pa.array(_range(rows["at"], rows["n"])), pa.array(np.zeros(len(rows), bool))], names=["doc", "crc", "at", "open"])
-                continue
-            order = np.lexsort((rows["at"], rows["crc"], rows["doc"], rows["span"], rows["v"]))
-            rows = rows[order]
-            order = np.arange(len(rows))
-            mark = rows["kind"] == MARK
-            group = np.cumsum(~_later(order, rows["v"])) - 1
-            again = _later(order, rows["v"], rows["span"]) & ~mark
-            # A mark carries the span of one of the runs that it stands for; the run after it is not repeated.
-            again[1:] &= ~mark[:-1]
-            spans = np.bincount(group, weights=~again)
-            marked = np.bincount(group, weights=mark) > 0
-            stays = ~again & ~mark & ((spans[group] > 1) | marked[group] | (rows["kind"] == OPEN))
-            out = again | stays
-            yield pa.RecordBatch.from_arrays([pa.array(rows["doc"][out]), pa.array(rows["crc"][out].astype(np.int64)), pa.array(_range(rows["at"], rows["n"])[out]), pa.array(stays[out])], names=["doc", "crc", "at", "open"])
-
-    return _dealt_by_part(filed).mapInArrow(run, "doc long, crc long, at long, open boolean")
+    return filed.repartition("part").sortWithinPartitions("part").mapInArrow(run, "doc long, crc long, at long")
 
 
 def _by_document(ranges: DataFrame) -> DataFrame:
@@ -289,73 +483,23 @@ def _ids_repeat(docs: DataFrame) -> bool:
     return not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
 
 
-def _with_ranges(docs: DataFrame, ranges: DataFrame, how: str, most: int, with_crc: bool, name: str = "ranges") -> DataFrame:
-    """docs beside their ranges; broadcast if the ranges have `most` bytes at most, else by a shuffle."""
-    size = ranges.agg(F.sum(F.length("ranges") + 32).alias("n")).first()["n"] or 0
+def _with_ranges(docs: DataFrame, ranges: DataFrame, with_crc: bool, name: str = "ranges") -> DataFrame:
+    """docs beside their ranges: both are shuffled by document, and a task hashes the ranges of its documents."""
     doc, crc = common.unused(docs, "_doc"), common.unused(docs, "_crc")
     side = ranges.select(F.col("doc").alias(doc), F.col("crc").alias(crc), F.col("ranges").alias(name))
     number = F.crc32(F.coalesce("text", F.lit("")).cast("binary")) if with_crc else F.lit(0).cast("long")
     keyed = docs.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID))).withColumn(crc, number)
-    return keyed.join(F.broadcast(side) if size <= most else side, [doc, crc], how)
-
-
-def refine(open_texts: DataFrame, parts: int, length: int, q: int, with_crc: bool = True) -> DataFrame:
-    """Repeated ranges among open windows: (doc, crc, at)."""
-
-    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, raw in common.chunks(batches):
-            texts = Texts(raw, with_crc)
-            bucket = texts.refined(length, q)
-            ids, found = _ids(batch.column(0)), []
-            for k, packed in enumerate(batch.column(2).to_pylist()):
-                for first, end in np.frombuffer(packed, np.int64).reshape(-1, 2):
-                    rows = np.empty(end - first, WINDOW)
-                    rows["bucket"], rows["at"] = bucket[texts.start[k] + first : texts.start[k] + end], np.arange(first, end)
-                    rows["doc"], rows["crc"] = ids[k], texts.crc[k]
-                    found.append(rows)
-            if not found:
-                continue
-            rows = np.concatenate(found)
-            order = np.lexsort((rows["at"], rows["crc"], rows["doc"], rows["bucket"]))
-            again = _later(order, rows["bucket"])
-            gone, rows = rows[order[again]], rows[order[~again]]
-            gone = gone[np.lexsort((gone["at"], gone["crc"], gone["doc"]))]
-            rows = rows[np.lexsort((rows["at"], rows["crc"], rows["doc"]))]
-            part = (rows["bucket"] % np.uint64(parts)).astype(np.int64)
-            yield _batch(list(_dealt(rows, part)), *_joined(gone), parts)
-
-    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for known, rows in _parts(batches, WINDOW):
-            if known:
-                yield pa.RecordBatch.from_arrays([pa.array(rows["doc"]), pa.array(rows["crc"].astype(np.int64)), pa.array(_range(rows["at"], rows["n"]))], names=["doc", "crc", "at"])
-                continue
-            order = np.lexsort((rows["at"], rows["crc"], rows["doc"], rows["bucket"]))
-            gone = rows[order[_later(order, rows["bucket"])]]
-            gone = gone[np.lexsort((gone["at"], gone["crc"], gone["doc"]))]
-            doc, crc, at, n = _joined(gone)
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(crc.astype(np.int64)), pa.array(_range(at, n))], names=["doc", "crc", "at"])
-
-    return _dealt_by_part(open_texts.mapInArrow(file, _OUT)).mapInArrow(sort, "doc long, crc long, at long")
-
-
-def _joined(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Windows in order as ranges (doc, crc, first, windows) of successive ones."""
-    if not len(rows):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.int64)
-    new = np.concatenate(([True], (rows["doc"][1:] != rows["doc"][:-1]) | (rows["crc"][1:] != rows["crc"][:-1]) | (rows["at"][1:].astype(np.int64) != rows["at"][:-1].astype(np.int64) + 1)))
-    begin = np.flatnonzero(new)
-    return rows["doc"][begin], rows["crc"][begin], rows["at"][begin], np.diff(np.append(begin, len(rows)))
+    return keyed.join(side.hint("shuffle_hash"), [doc, crc], "left")
 
 
-def repeated(docs: DataFrame, length: int, q: int, most: int, with_crc: bool) -> DataFrame:
+def repeated(docs: DataFrame, length: int, q: int, with_crc: bool) -> DataFrame:
     """(doc, crc, ranges) of the documents with repeated windows: packed pairs (first window, end of windows)."""
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType | T.NullType):
+        raise TypeError("doc_id must be an integer column: repeats are ordered by it")
     parts = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    settled = common.cut(settle(first_pass(rows, parts, length, q, with_crc)))
-    open_ranges = common.cut(_by_document(settled.where("open").select("doc", "crc", "at")))
-    open_texts = _with_ranges(rows, open_ranges, "inner", most, with_crc).select("doc_id", "text", "ranges")
-    found = settled.where("not open").select("doc", "crc", "at").union(refine(open_texts, parts, length, q, with_crc))
-    return common.cut(_by_document(found))
+    hot = hot_buckets(rows, length, q, HOT_RUNS, SAMPLED)
+    return _by_document(refine(first_pass(rows, parts, length, q, with_crc, hot), length))
 
 
 def _covered(packed: bytes | None, length: int) -> list[tuple[int, int]]:
@@ -376,7 +520,7 @@ def _kept(raw: bytes, gone: list[tuple[int, int]]) -> bytes:
     return b"".join(raw[a:b] for a, b in zip(edges[0::2], edges[1::2], strict=True))
 
 
-def digests(docs: DataFrame, length: int = LENGTH, q: int = Q, most: int = BROADCAST_BYTES) -> DataFrame:
+def digests(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) of every row; spans are [begin, end) of bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,11 +534,11 @@ def digests(docs: DataFrame, length: int = LENGTH, q: int = Q, most: int = BROAD
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     with_crc = _ids_repeat(docs)
-    joined = _with_ranges(rows, repeated(docs, length, q, most, with_crc), "left", most, with_crc).select("doc_id", "text", "ranges")
+    joined = _with_ranges(rows, repeated(docs, length, q, with_crc), with_crc).select("doc_id", "text", "ranges")
     return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
 
 
-def remove(docs: DataFrame, length: int = LENGTH, q: int = Q, most: int = BROADCAST_BYTES) -> DataFrame:
+def remove(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
     """docs with repeated bytes cut out of text (null stays null; characters cut in part go), and n_chars, if there, counted anew."""
     names = docs.columns
 
@@ -413,5 +557,5 @@ def remove(docs: DataFrame, length: int = LENGTH, q: int = Q, most: int = BROADC
     rows = docs.withColumn("text", F.col("text").cast("string"))
     with_crc = _ids_repeat(docs)
     beside = common.unused(docs, "ranges")
-    joined = _with_ranges(rows, repeated(docs, length, q, most, with_crc), "left", most, with_crc, beside).select(*names, beside)
+    joined = _with_ranges(rows, repeated(docs, length, q, with_crc), with_crc, beside).select(*names, beside)
     return joined.mapInArrow(run, common.schema_of(rows.select(*names)))

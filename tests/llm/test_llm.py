@@ -515,12 +515,51 @@ def test_suffix_dedup(spark, table):
     assert digests(suffix_dedup.digests(common.documents(spark, SF))) == brute_repeats(table)
 
 
-def test_suffix_dedup_hot_and_shuffled(spark, table, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT", 1)
+@pytest.mark.parametrize("hot", [1, 10**9])
+def test_suffix_dedup_hot_buckets_and_long_texts(spark, table, monkeypatch, hot):
+    """Every bucket dealt by window, or none; texts in many segments and buffers; repeated rows; buckets some at a time."""
+    for name, value in (("HOT_RUNS", hot), ("SAMPLED", 1), ("SEGMENT", 700), ("RUN_MOST", 64), ("BUFFER", 40_000), ("SORTED", 10_000)):
+        monkeypatch.setattr(suffix_dedup, name, value)
     monkeypatch.setattr(common, "CHUNK_BYTES", 20_000)
     some = {d: x for d, x in table.items() if d % 3}
-    docs = spark.createDataFrame(list(some.items()), "doc_id long, text string").repartition(5)
-    assert digests(suffix_dedup.digests(docs, most=-1)) == brute_repeats(some)
+    rows = [*some.items(), *list(some.items())[:20]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert digests(suffix_dedup.digests(docs)) == brute_repeats(some)
+
+
+def test_one_least_gram_everywhere(spark, monkeypatch):
+    """One 32-byte string with other surroundings in every text: its bucket is hot and is dealt by window."""
+    monkeypatch.setattr(suffix_dedup, "HOT_RUNS", 100)
+    rng = random.Random(5)
+    shared = "".join(rng.choice("abcdefgh") for _ in range(180))
+    texts = {d: "".join(rng.choice("ijklmnop") for _ in range(150)) + shared[rng.randint(0, 60) : 180 - rng.randint(0, 60)] + "".join(rng.choice("ijklmnop") for _ in range(150)) for d in range(3000)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(8)
+    assert len(suffix_dedup.hot_buckets(docs, 100, 32, 100))
+    assert digests(suffix_dedup.digests(docs)) == brute_repeats(texts)
+
+
+def test_bucket_pointers():
+    rng = random.Random(8)
+    for length in (5, 8, 30, 100):
+        spans = ["".join(rng.choice("ab") for _ in range(6)) * 30 for _ in range(6)] + ["".join(rng.choice("abc") for _ in range(150)) for _ in range(4)]
+        text, left = "".join(spans), [len(s) - k for s in spans for k in range(len(s))]
+        at, number = suffix_dedup.bucket_pointers(np.frombuffer(text.encode(), np.uint8), np.array(left), length)
+        groups = collections.defaultdict(set)
+        for p in range(len(text)):
+            if left[p] >= length:
+                groups[text[p : p + length]].add(p)
+        found = collections.defaultdict(set)
+        for p, k in zip(at.tolist(), number.tolist(), strict=True):
+            found[k].add(p)
+        assert sorted(map(sorted, found.values())) == sorted(sorted(g) for g in groups.values() if len(g) > 1)
+        assert [text[min(found[k]) :][:length] for k in sorted(found)] == sorted(s for s, g in groups.items() if len(g) > 1)
+
+
+def test_repeated_rows_of_an_unrepeated_text(spark):
+    docs = spark.createDataFrame([(1, "".join(map(str, range(100))))] * 5, "doc_id long, text string").repartition(3)
+    assert {r["n_removed"] for r in suffix_dedup.digests(docs).collect()} == {0}
+    with pytest.raises(TypeError):
+        suffix_dedup.digests(docs.withColumn("doc_id", F.lit("a")))
 
 
 def test_suffix_dedup_periodic(spark):
