@@ -63,9 +63,9 @@ Q = 32
 #: Bytes of the first buckets, sorted as one number.
 FIRST = 8
 #: Windows of one text looked at together, windows of one run at most, bytes of text whose runs are packed together.
-SEGMENT, RUN_MOST, BUFFER = 1 << 20, 1024, 16 << 20
+SEGMENT, RUN_MOST, BUFFER = 1 << 20, 1024, 8 << 20
 #: Bytes of runs sorted together; a bucket is never cut.
-SORTED = 4 << 20
+SORTED = 2 << 20
 #: A bucket of more different spans is dealt by window; one piece of text in SAMPLED is looked at to find them.
 HOT_RUNS, SAMPLED, PIECE = 5000, 16, 4096
 _FACTOR = np.uint64(0xD6E8FEB86659FD93)
@@ -349,11 +349,10 @@ def first_pass(docs: DataFrame, parts: int, length: int, q: int, with_crc: bool,
             order = np.argsort(part, kind="stable")
             rows, part = rows[order], part[order]
             if text is not None:
-                size = rows["n"].astype(np.int64) - 1 + length
-                text, ends = text[_places(begin[order], size)], np.concatenate(([0], np.cumsum(size)))
+                begin, size = begin[order], rows["n"].astype(np.int64) - 1 + length
             edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else np.zeros(1, np.int64)
             for a, b in zip(edge[:-1], edge[1:], strict=True):
-                out.append((int(part[a]), kind, _planes(rows[a:b], b"" if text is None else text[ends[a] : ends[b]].tobytes())))
+                out.append((int(part[a]), kind, _planes(rows[a:b], b"" if text is None else text[_places(begin[a:b], size[a:b])].tobytes())))
 
         rows, span, v = (np.concatenate([h[k] for h in held]) for k in (0, 1, 2))
         moved = np.cumsum([0] + [len(h[4]) for h in held])
