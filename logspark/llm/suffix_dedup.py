@@ -10,23 +10,27 @@ bytes, and only where buckets hold more than one suffix.
 * Dealing (`first_pass`): a window (a suffix of LENGTH bytes) is filed under
   the least hash among its Q-grams, which depends on its bytes alone, so
   equal windows meet.  Successive windows with the same one are a run, sent
-  once with the bytes that it spans.  Long texts are looked at in segments
-  that overlap by LENGTH - 1 bytes.
-* Sorting (`refine`, in the task that has a bucket): runs that span equal
-  bytes have equal windows, so all but the earliest are repeated, whole.
-  The suffixes of what is left are sorted by `bucket_pointers`: buckets of
-  the first bytes are numbered by their last place in the sorted order; each
-  round sorts the members of a bucket by the numbers of the buckets in which
-  the suffixes `depth` bytes later lie and numbers the parts anew within
-  their parent's places.  Numbers that a round has made are read by the next,
-  so the depth doubles; suffixes alone in their bucket are final and are not
-  sorted again.  It is exact: all numbers come from bytes.
+  once with a hash of the bytes that it spans.  Long texts are looked at in
+  segments that overlap by LENGTH - 1 bytes.
+* First look (`settle`): runs filed together that span equal bytes have equal
+  windows, so all but the earliest are repeated, whole.  A bucket with one
+  span is settled; others stay open, and so does a run in which its own least
+  Q-gram occurs twice, as its windows may repeat inside it.
+* Sorting (`open_runs`, `refine`): the bytes of open runs are sent to the task
+  that has their bucket, and their suffixes are sorted by `bucket_pointers`:
+  buckets of the first bytes are numbered by their last place in the sorted
+  order; each round sorts the members of a bucket by the numbers of the
+  buckets in which the suffixes `depth` bytes later lie and numbers the parts
+  anew within their parent's places.  Numbers that a round has made are read
+  by the next, so the depth doubles; suffixes alone in their bucket are final
+  and are not sorted again.  All numbers come from bytes.
 * Windows that are still in one bucket at LENGTH bytes are equal: all but the
   earliest are repeated.
 
-Shuffled are packed and compressed runs (one in about 30 bytes of text, some
-130 bytes each before compression), dealt by the filing hash, then the texts
-beside their ranges; the same plan at every size.
+Shuffled are packed and compressed runs (one in about 30 bytes of text), the
+texts, once, by document (both joins read the same shuffle), and the bytes of
+open runs; the same plan at every size.  The hash of a span has 64 bits and
+is compared only inside a bucket, with a span of the same length.
 
 Hot buckets (`hot_buckets`): filing hashes with more than HOT_RUNS different
 spans (or a 65,536th of all runs, if that is more: so they are 65,536 at
@@ -63,7 +67,7 @@ Q = 32
 #: Bytes of the first buckets, sorted as one number.
 FIRST = 8
 #: Windows of one text looked at together, windows of one run at most, bytes of text whose runs are packed together.
-SEGMENT, RUN_MOST, BUFFER = 1 << 20, 1024, 8 << 20
+SEGMENT, RUN_MOST, BUFFER = 1 << 20, 1024, 16 << 20
 #: Bytes of runs sorted together; a bucket is never cut.
 SORTED = 2 << 20
 #: A bucket of more different spans is dealt by window; one piece of text in SAMPLED is looked at to find them.
@@ -71,7 +75,8 @@ HOT_RUNS, SAMPLED, PIECE = 5000, 16, 4096
 _FACTOR = np.uint64(0xD6E8FEB86659FD93)
 _OTHER = np.random.default_rng(41).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LAST_ID = np.iinfo(np.int64).max
-RUN = np.dtype([("v", "<u4"), ("doc", "<i8"), ("crc", "<u4"), ("at", "<u4"), ("n", "<u2"), ("twice", "<u1")])
+RUN = np.dtype([("v", "<u4"), ("span", "<u8"), ("doc", "<i8"), ("crc", "<u4"), ("at", "<u4"), ("n", "<u2"), ("twice", "<u1")])
+OPEN = np.dtype([("v", "<u4"), ("doc", "<i8"), ("crc", "<u4"), ("at", "<u4"), ("n", "<u2")])
 WINDOW = np.dtype([("h", "<u8"), ("g", "<u8"), ("doc", "<i8"), ("crc", "<u4"), ("at", "<u4")])
 RANGE = np.dtype([("doc", "<i8"), ("crc", "<u4"), ("at", "<u4"), ("n", "<u4")])
 #: Kinds of packets.
@@ -198,21 +203,22 @@ def _windows_to_ranges(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _equal_spans(rows: np.ndarray, span: np.ndarray, text: np.ndarray, begin: np.ndarray, length: int) -> np.ndarray:
-    """Whether a run spans the same bytes as an earlier one; span holds hashes, text[begin:] the bytes that decide.
+def _firsts(rows: np.ndarray, *keys: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows in order of keys and occurrence, which are the first of their key, which occur after that first).
 
-    Runs of one document at one place (from repeated rows) are one: the second is nothing of its own, and is marked 2.
+    Rows of one document at one place come from repeated rows of the table: such a one is neither.
     """
-    out = np.zeros(len(rows), np.uint8)
-    order = np.lexsort((rows["at"], rows["crc"], rows["doc"], span))
-    s = span[order]
-    new = ~_later(s, rows["n"][order])
-    head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-    for k in np.flatnonzero(~new):
-        i, j = order[k], head[k]
-        size = int(rows["n"][i]) - 1 + length
-        if np.array_equal(text[begin[i] : begin[i] + size], text[begin[j] : begin[j] + size]):
-            out[i] = 2 if rows["doc"][i] == rows["doc"][j] and rows["crc"][i] == rows["crc"][j] and rows["at"][i] == rows["at"][j] else 1
+    rows = rows[np.lexsort((rows["at"], rows["crc"], rows["doc"], *(rows[k] for k in reversed(keys))))]
+    fresh = ~_later(*(rows[k] for k in keys))
+    head = np.maximum.accumulate(np.where(fresh, np.arange(len(rows)), 0))
+    itself = (rows["doc"] == rows["doc"][head]) & (rows["crc"] == rows["crc"][head]) & (rows["at"] == rows["at"][head])
+    return rows, fresh, ~itself
+
+
+def _as_ranges(rows: np.ndarray) -> np.ndarray:
+    out = np.empty(len(rows), RANGE)
+    for name in RANGE.names:
+        out[name] = rows[name]
     return out
 
 
@@ -258,23 +264,11 @@ def bucket_pointers(text: np.ndarray, left: np.ndarray, length: int) -> tuple[np
 
 def repeated_windows(rows: np.ndarray, spans: np.ndarray, begin: np.ndarray, length: int) -> np.ndarray:
     """Ranges of windows that equal an earlier one; spans[begin:] holds the bytes of each run.  Whole buckets only."""
+    order = np.lexsort((rows["v"], rows["at"], rows["crc"], rows["doc"]))  # places in order of occurrence
+    order = order[~_later(*(rows[k][order] for k in ("doc", "crc", "at", "v")))]
+    rows, begin = rows[order], begin[order]
     size = rows["n"].astype(np.int64) - 1 + length
-    hashed = Texts([spans.tobytes()])
-    same = _equal_spans(rows, hashed.spans(begin, begin + size), spans, begin, length)
-    whole = rows[same == 1]
-    known = np.empty(len(whole), RANGE)
-    for name in RANGE.names:
-        known[name] = whole[name]
-    kept = np.flatnonzero(same == 0)
-    kept = kept[np.argsort(rows["v"][kept], kind="stable")]
-    again = _later(rows["v"][kept])
-    shared = again | np.append(again[1:], False) if len(kept) else again
-    kept = kept[shared | (rows["twice"][kept] > 0)]
-    if not len(kept):
-        return known
-    kept = kept[np.lexsort((rows["at"][kept], rows["crc"][kept], rows["doc"][kept]))]  # places in order of occurrence
-    size = size[kept]
-    text = spans[_places(begin[kept], size)]
+    text = spans[_places(begin, size)]
     left = np.repeat(np.cumsum(size), size) - np.arange(len(text))
     at, number = bucket_pointers(text, left, length)
     order = np.lexsort((at, number))
@@ -283,9 +277,9 @@ def repeated_windows(rows: np.ndarray, spans: np.ndarray, begin: np.ndarray, len
     start = np.cumsum(size) - size
     of = np.searchsorted(start, at, "right") - 1
     gone = np.empty(len(at), WINDOW)
-    own = rows[kept][of]
+    own = rows[of]
     gone["doc"], gone["crc"], gone["at"] = own["doc"], own["crc"], own["at"] + (at - start[of])
-    return np.concatenate([known, _windows_to_ranges(gone)])
+    return _windows_to_ranges(gone)
 
 
 def _segments(batches: Iterator[pa.RecordBatch], length: int, with_crc: bool) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
@@ -338,56 +332,77 @@ def hot_buckets(docs: DataFrame, length: int, q: int, most: int = HOT_RUNS, samp
     return np.sort(np.array([r["v"] for r in found], np.int64).view(np.uint64))
 
 
+_PACKETS = "part int, kind int, packed binary"
+
+
+def _batch(out: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    part, kind, packed = zip(*out, strict=True) if out else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(packed, pa.binary())], names=["part", "kind", "packed"])
+
+
+def _dealt(kind: int, rows: np.ndarray, part: np.ndarray, text: np.ndarray | None = None, begin: np.ndarray | None = None, size: np.ndarray | None = None) -> Iterator[tuple[int, int, bytes]]:
+    """Packets of rows by part; with text, each row's bytes text[begin : begin + size] after them."""
+    order = np.argsort(part, kind="stable")
+    rows, part = rows[order], part[order]
+    if text is not None:
+        begin, size = begin[order], size[order]
+    edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else np.zeros(1, np.int64)
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        yield int(part[a]), kind, _planes(rows[a:b], b"" if text is None else text[_places(begin[a:b], size[a:b])].tobytes())
+
+
+def _by_part(packets: DataFrame) -> DataFrame:
+    return packets.repartition("part").sortWithinPartitions("part")
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, bytes]]]:
+    """All packets (kind, packed) of one part after the other; input sorted by part."""
+    held: list[tuple[int, bytes]] = []
+    last = -1
+    for batch in batches:
+        for part, kind, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if part != last and held:
+                yield held
+                held = []
+            last = part
+            held.append((kind, raw))
+    if held:
+        yield held
+
+
+def _found(rows: np.ndarray, v: np.ndarray | None = None) -> pa.RecordBatch:
+    at = rows["at"].astype(np.int64) << 32 | rows["n"].astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(rows["doc"]), pa.array(rows["crc"].astype(np.int64)), pa.array(at), pa.array(v, pa.int64()) if v is not None else pa.nulls(len(rows), pa.int64())], names=["doc", "crc", "at", "v"])
+
+
+_FOUND = "doc long, crc long, at long, v long"
+
+
 def first_pass(docs: DataFrame, parts: int, length: int, q: int, with_crc: bool, hot: np.ndarray) -> DataFrame:
     """(part, kind, packed): runs and windows by part of their bucket, and ranges that a buffer of texts shows to be repeated."""
 
-    def packets(held: list[tuple]) -> pa.RecordBatch:
-        out: list[tuple[int, int, bytes]] = []
-        known: list[np.ndarray] = []
-
-        def deal(kind: int, rows: np.ndarray, part: np.ndarray, text: np.ndarray | None = None, begin: np.ndarray | None = None):
-            order = np.argsort(part, kind="stable")
-            rows, part = rows[order], part[order]
-            if text is not None:
-                begin, size = begin[order], rows["n"].astype(np.int64) - 1 + length
-            edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else np.zeros(1, np.int64)
-            for a, b in zip(edge[:-1], edge[1:], strict=True):
-                out.append((int(part[a]), kind, _planes(rows[a:b], b"" if text is None else text[_places(begin[a:b], size[a:b])].tobytes())))
-
-        rows, span, v = (np.concatenate([h[k] for h in held]) for k in (0, 1, 2))
-        moved = np.cumsum([0] + [len(h[4]) for h in held])
-        begin, text = np.concatenate([h[3] + m for h, m in zip(held, moved, strict=False)]), np.concatenate([h[4] for h in held])
-        same = _equal_spans(rows, span, text, begin, length)
-        gone = np.empty(int((same == 1).sum()), RANGE)
-        for name in RANGE.names:
-            gone[name] = rows[same == 1][name]
-        known.append(gone)
-        kept = same == 0
-        deal(RUNS, rows[kept], (v[kept] % np.uint64(parts)).astype(np.int64), text, begin[kept])
-        windows = np.concatenate([h[5] for h in held])
-        if len(windows):
-            windows = windows[np.lexsort((windows["at"], windows["crc"], windows["doc"], windows["g"], windows["h"]))]
-            fresh = ~_later(windows["h"], windows["g"])
-            head = np.maximum.accumulate(np.where(fresh, np.arange(len(windows)), 0))
-            itself = (windows["doc"] == windows["doc"][head]) & (windows["crc"] == windows["crc"][head]) & (windows["at"] == windows["at"][head])
-            known.append(_windows_to_ranges(windows[~itself]))
-            deal(WINDOWS, windows[fresh], (windows["h"][fresh] % np.uint64(parts)).astype(np.int64))
+    def packets(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        rows, fresh, later = _firsts(np.concatenate([h[0] for h in held]), "v", "span", "n")
+        known = [_as_ranges(rows[later])]
+        rows = rows[fresh]
+        out = [*_dealt(RUNS, rows, rows["v"].astype(np.int64) % parts)]
+        windows, fresh, later = _firsts(np.concatenate([h[1] for h in held]), "h", "g")
+        known.append(_windows_to_ranges(windows[later]))
+        out += _dealt(WINDOWS, windows[fresh], (windows["h"][fresh] % np.uint64(parts)).astype(np.int64))
         ranges = np.concatenate(known)
         if len(ranges):
             out.append((int(ranges["doc"][0]) % parts, KNOWN, _planes(ranges)))
-        part, kind, packed = zip(*out, strict=True) if out else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(packed, pa.binary())], names=["part", "kind", "packed"])
+        return _batch(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
         for raw, doc, crc, offset in _segments(batches, length, with_crc):
             texts = Texts(raw)
             text, first, n, v, twice = texts.runs(length, q)
             rows = np.empty(len(first), RUN)
-            rows["v"], rows["doc"], rows["crc"] = (v >> np.uint64(32)).astype(np.uint32), doc[text], crc[text]
+            rows["v"], rows["span"], rows["doc"], rows["crc"] = (v >> np.uint64(32)).astype(np.uint32), texts.spans(first, first + n - 1 + length), doc[text], crc[text]
             rows["at"], rows["n"], rows["twice"] = first - texts.start[text] + offset[text], n, twice
-            span = texts.spans(first, first + n - 1 + length)
             is_hot = hot[np.minimum(np.searchsorted(hot, v), len(hot) - 1)] == v if len(hot) else np.zeros(len(v), bool)
             windows = np.zeros(0, WINDOW)
             if is_hot.any():
@@ -396,8 +411,7 @@ def first_pass(docs: DataFrame, parts: int, length: int, q: int, with_crc: bool,
                 windows = np.empty(len(at), WINDOW)
                 windows["h"], windows["g"], windows["doc"], windows["crc"] = texts.spans(at, at + length), texts.second(at, at + length), own["doc"], own["crc"]
                 windows["at"] = own["at"] + (at - np.repeat(first[is_hot], n[is_hot]))
-            cold = ~is_hot
-            held.append((rows[cold], span[cold], v[cold], first[cold], texts.buf, windows))
+            held.append((rows[~is_hot], windows))
             size += len(texts.buf)
             if size >= BUFFER:
                 yield packets(held)
@@ -405,59 +419,87 @@ def first_pass(docs: DataFrame, parts: int, length: int, q: int, with_crc: bool,
         if held:
             yield packets(held)
 
-    return docs.mapInArrow(run, "part int, kind int, packed binary")
-
-
-def refine(filed: DataFrame, length: int) -> DataFrame:
-    """(doc, crc, at): ranges of windows that equal an earlier one; at holds the first and, in the low half, how many."""
-
-    def ranges(packets: list[tuple[int, bytes]]) -> Iterator[np.ndarray]:
-        yield from (_rows(raw, RANGE)[0] for kind, raw in packets if kind == KNOWN)
-        windows = [_rows(raw, WINDOW)[0] for kind, raw in packets if kind == WINDOWS]
-        if windows:
-            rows = np.concatenate(windows)
-            rows = rows[np.lexsort((rows["at"], rows["crc"], rows["doc"], rows["g"], rows["h"]))]
-            fresh = ~_later(rows["h"], rows["g"])
-            head = np.maximum.accumulate(np.where(fresh, np.arange(len(rows)), 0))
-            itself = (rows["doc"] == rows["doc"][head]) & (rows["crc"] == rows["crc"][head]) & (rows["at"] == rows["at"][head])
-            yield _windows_to_ranges(rows[~itself])
-        runs = [_rows(raw, RUN) for kind, raw in packets if kind == RUNS]
-        if not runs:
-            return
-        rows, spans = np.concatenate([r for r, _ in runs]), np.concatenate([s for _, s in runs])
-        size = rows["n"].astype(np.int64) - 1 + length
-        begin = np.cumsum(size) - size
-        order = np.argsort(rows["v"], kind="stable")
-        rows, begin, size = rows[order], begin[order], size[order]
-        new = np.flatnonzero(~_later(rows["v"]))
-        before = np.concatenate(([0], np.cumsum(size)))
-        a = 0
-        while a < len(rows):  # some buckets at a time
-            k = np.searchsorted(before[new], before[a] + SORTED, "right") - 1
-            b = int(new[k]) if new[k] > a else (int(new[k + 1]) if k + 1 < len(new) else len(rows))
-            if before[-1] - before[a] <= SORTED:
-                b = len(rows)
-            own = spans[_places(begin[a:b], size[a:b])]
-            yield repeated_windows(rows[a:b], own, before[a:b] - before[a], length)
-            a = b
+    return docs.mapInArrow(run, _PACKETS)
+
+
+def settle(packets: DataFrame) -> DataFrame:
+    """(doc, crc, at, v): repeated ranges (v null) and open runs (v the half of their filing hash that is kept).
+
+    at holds the first window and, in its low half, their number.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _parts(batches):
+            for kind, raw in held:
+                if kind == KNOWN:
+                    yield _found(_rows(raw, RANGE)[0])
+            windows, runs = ([_rows(raw, form)[0] for kind, raw in held if kind == wanted] for wanted, form in ((WINDOWS, WINDOW), (RUNS, RUN)))
+            if windows:
+                rows, _, later = _firsts(np.concatenate(windows), "h", "g")
+                yield _found(_windows_to_ranges(rows[later]))
+            if runs:
+                rows, fresh, later = _firsts(np.concatenate(runs), "v", "span", "n")
+                yield _found(_as_ranges(rows[later]))
+                rows = rows[fresh]
+                again = _later(rows["v"])
+                rows = rows[again | np.append(again[1:], False) | (rows["twice"] > 0)]
+                yield _found(_as_ranges(rows), rows["v"].astype(np.int64))
+
+    return _by_part(packets).mapInArrow(run, _FOUND)
+
+
+def open_runs(texts: DataFrame, names: list[str], parts: int, length: int) -> DataFrame:
+    """Packets of the open runs with their bytes.  texts has (doc, crc, text) under `names`, and `runs`, pairs (at, v)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bytes]] = []
-        last = -1
+        held: list[tuple[np.ndarray, bytes]] = []
+        size = 0
+
+        def packets() -> pa.RecordBatch:
+            rows, text = np.concatenate([r for r, _ in held]), np.frombuffer(b"".join(t for _, t in held), np.uint8)
+            long = rows["n"].astype(np.int64) - 1 + length
+            return _batch([*_dealt(RUNS, rows, rows["v"].astype(np.int64) % parts, text, np.cumsum(long) - long, long)])
+
         for batch in batches:
-            for part, kind, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if part != last and held:
-                    yield from map(given, ranges(held))
-                    held = []
-                last = part
-                held.append((kind, raw))
-        yield from map(given, ranges(held))
+            doc, crc, text, packed = (batch.column(batch.schema.get_field_index(n)) for n in names)
+            for d, c, t, pairs in zip(doc.to_pylist(), crc.to_pylist(), text.cast(pa.large_binary()), packed, strict=True):
+                own = np.array([(x["at"], x["v"]) for x in pairs.as_py()], np.int64).reshape(-1, 2)
+                at, n, raw = own[:, 0] >> 32, own[:, 0] & 0xFFFFFFFF, t.as_py()
+                rows = np.empty(len(own), OPEN)
+                rows["v"], rows["doc"], rows["crc"], rows["at"], rows["n"] = own[:, 1], d, c, at, n
+                spans = [raw[a : a + k - 1 + length] for a, k in zip(at.tolist(), n.tolist(), strict=True)]
+                held.append((rows, b"".join(spans)))
+                size += len(held[-1][1])
+                if size >= BUFFER:
+                    yield packets()
+                    held, size = [], 0
+        if held:
+            yield packets()
 
-    def given(found: np.ndarray) -> pa.RecordBatch:
-        at = found["at"].astype(np.int64) << 32 | found["n"].astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(found["doc"]), pa.array(found["crc"].astype(np.int64)), pa.array(at)], names=["doc", "crc", "at"])
+    return texts.mapInArrow(run, _PACKETS)
 
-    return filed.repartition("part").sortWithinPartitions("part").mapInArrow(run, "doc long, crc long, at long")
+
+def refine(packets: DataFrame, length: int) -> DataFrame:
+    """(doc, crc, at, v): repeated ranges among open runs, by sorting the suffixes of each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _parts(batches):
+            runs = [_rows(raw, OPEN) for _, raw in held]
+            rows, spans = np.concatenate([r for r, _ in runs]), np.concatenate([s for _, s in runs])
+            size = rows["n"].astype(np.int64) - 1 + length
+            begin = np.cumsum(size) - size
+            order = np.argsort(rows["v"], kind="stable")
+            rows, begin, size = rows[order], begin[order], size[order]
+            new = np.flatnonzero(~_later(rows["v"]))
+            ends, before = np.append(new[1:], len(rows)), np.concatenate(([0], np.cumsum(size)))
+            a = 0
+            while a < len(rows):  # some buckets at a time, one at least
+                k = max(np.searchsorted(before[ends], before[a] + SORTED, "right") - 1, np.searchsorted(ends, a, "right"))
+                b = int(ends[k])
+                yield _found(repeated_windows(rows[a:b], spans[_places(begin[a:b], size[a:b])], before[a:b] - before[a], length))
+                a = b
+
+    return _by_part(packets).mapInArrow(run, _FOUND)
 
 
 def _by_document(ranges: DataFrame) -> DataFrame:
@@ -482,23 +524,33 @@ def _ids_repeat(docs: DataFrame) -> bool:
     return not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
 
 
-def _with_ranges(docs: DataFrame, ranges: DataFrame, with_crc: bool, name: str = "ranges") -> DataFrame:
-    """docs beside their ranges: both are shuffled by document, and a task hashes the ranges of its documents."""
-    doc, crc = common.unused(docs, "_doc"), common.unused(docs, "_crc")
-    side = ranges.select(F.col("doc").alias(doc), F.col("crc").alias(crc), F.col("ranges").alias(name))
-    number = F.crc32(F.coalesce("text", F.lit("")).cast("binary")) if with_crc else F.lit(0).cast("long")
-    keyed = docs.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID))).withColumn(crc, number)
-    return keyed.join(side.hint("shuffle_hash"), [doc, crc], "left")
+class Keyed:
+    """docs with the numbers of their documents, dealt by them; its joins read one shuffle of the texts."""
+
+    def __init__(self, docs: DataFrame):
+        if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType | T.NullType):
+            raise TypeError("doc_id must be an integer column: repeats are ordered by it")
+        self.names = docs.columns
+        self.with_crc = _ids_repeat(docs)
+        self.doc, self.crc, self.more = (common.unused(docs, n) for n in ("_doc", "_crc", "_more"))
+        number = F.crc32(F.coalesce("text", F.lit("")).cast("binary")) if self.with_crc else F.lit(0).cast("long")
+        self.rows = docs.withColumn(self.doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID))).withColumn(self.crc, number)
 
+    def beside(self, side: DataFrame, how: str) -> DataFrame:
+        """All columns, and side's third one as `more`; a task hashes the side's rows of its documents."""
+        doc, crc, more = (F.col(a).alias(b) for a, b in zip(side.columns, (self.doc, self.crc, self.more), strict=True))
+        return self.rows.join(side.select(doc, crc, more).hint("shuffle_hash"), [self.doc, self.crc], how).select(*self.names, self.doc, self.crc, self.more)
 
-def repeated(docs: DataFrame, length: int, q: int, with_crc: bool) -> DataFrame:
-    """(doc, crc, ranges) of the documents with repeated windows: packed pairs (first window, end of windows)."""
-    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType | T.NullType):
-        raise TypeError("doc_id must be an integer column: repeats are ordered by it")
-    parts = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    hot = hot_buckets(rows, length, q, HOT_RUNS, SAMPLED)
-    return _by_document(refine(first_pass(rows, parts, length, q, with_crc, hot), length))
+    def with_repeats(self, length: int, q: int) -> DataFrame:
+        """docs beside the packed pairs (first window, end of windows) of their repeated windows, as `more`."""
+        parts = 8 * int(self.rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = self.rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        settled = common.cut(settle(first_pass(rows, parts, length, q, self.with_crc, hot_buckets(rows, length, q, HOT_RUNS, SAMPLED))))
+        # Equal rows come from repeated documents.
+        runs = settled.where(F.col("v").isNotNull()).groupBy("doc", "crc").agg(F.collect_set(F.struct("at", "v")).alias("runs"))
+        packets = open_runs(self.beside(runs, "inner"), [self.doc, self.crc, "text", self.more], parts, length)
+        found = settled.where(F.col("v").isNull()).union(refine(packets, length))
+        return self.beside(_by_document(found.select("doc", "crc", "at")), "left").select(*self.names, self.more)
 
 
 def _covered(packed: bytes | None, length: int) -> list[tuple[int, int]]:
@@ -530,10 +582,8 @@ def digests(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
             spans = pa.array([[x for pair in g for x in pair] for g in gone], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t or b"") for t in raw], pa.int64()), pa.array(removed, pa.int64()), pa.array([len(g) for g in gone], pa.int64()), pa.array(sha), spans], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    with_crc = _ids_repeat(docs)
-    joined = _with_ranges(rows, repeated(docs, length, q, with_crc), with_crc).select("doc_id", "text", "ranges")
+    joined = Keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"))).with_repeats(length, q)
     return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
 
 
@@ -554,7 +604,5 @@ def remove(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = docs.withColumn("text", F.col("text").cast("string"))
-    with_crc = _ids_repeat(docs)
-    beside = common.unused(docs, "ranges")
-    joined = _with_ranges(rows, repeated(docs, length, q, with_crc), with_crc, beside).select(*names, beside)
+    joined = Keyed(rows).with_repeats(length, q)
     return joined.mapInArrow(run, common.schema_of(rows.select(*names)))
