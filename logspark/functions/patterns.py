@@ -14,9 +14,11 @@ NUMBER = r"([0-9]+(?:\.[0-9]*)?)"
 HTTP_A = rf"\A[ \t]*(?:({STAMP})[ \t]*)?{_METHOD}[ \t]+([^ \t\x1B]+)[ \t]+([0-9]{{3}})[ \t]+{NUMBER}[ \t]*ms[ \t]*-[ \t]*(-|[0-9]+)[ \t]*\z"
 #: Groups: 1 duration, 2 method, 3 path.
 HTTP_B = rf"\A[ \t]*{NUMBER}[ \t]*ms[ \t]*{_METHOD}[ \t]+([^ \t\x1B]+)[ \t]*\z"
-_GAP = rf"[ \t]*(?:{CSI}[ \t]*)*"
-#: Groups: 1 event, 2 name with or without a duration.
-CRON = rf"\A{_GAP}(?:{STAMP}{_GAP})?\[cron\]{_GAP}(start|done|fail)[ ]{_GAP}((?:[^ \t\x1B]|\x1B[^\[]|\x1B\z)[\s\S]*)\z"
+_CRON = rf"\A[ \t]*(?:{STAMP}[ \t]*)?\[cron\][ \t]*(start|done|fail)[ ][ \t]*"
+#: A scheduled job's line with a tab for each terminal code, so that a code is a gap but not the blank after the event.
+CRON = rf"{_CRON}[^ \t]"
+#: The same line without its codes.  Groups: 1 event, 2 name with or without a duration.
+CRON_NAME = rf"{_CRON}([\s\S]*)\z"
 CRON_MARK = "[cron]"
 #: Groups: 1 name, 2 duration.
 CRON_TIMED = rf"\A([\s\S]*[^ \t])[ \t]+{NUMBER}[ \t]*ms\z"
@@ -25,5 +27,3 @@ EMPTY = r"\A[\x00-\x20]*\z"
 ID_BODY = r"[0-9a-fA-F]{24}|[0-9]{6,}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[A-Za-z]{2,}-[A-Za-z]{2,}-[0-9]{6,}"
 ID_SEGMENT = rf"\A(?:{ID_BODY})\z"
 PATH_ONLY = r"\A[^?#]*"
-#: Lines with more terminal codes than this are no cron lines.
-MOST_CODES = 500

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logspark.functions.patterns import CSI, MOST_CODES
+from logspark.functions.patterns import CSI
 
 ESC = "\x1b"
 
@@ -15,9 +15,9 @@ def strip_cr(line: Column) -> Column:
     return F.when(line.endswith("\r"), F.regexp_replace(line, r"\r\z", "")).otherwise(line)
 
 
-def ansi_as_space(line: Column) -> Column:
+def ansi_as_space(line: Column, space: str = " ") -> Column:
     """Each terminal code becomes a blank, as between tokens."""
-    return F.when(line.contains(ESC), F.regexp_replace(line, CSI, " ")).otherwise(line)
+    return F.when(line.contains(ESC), F.regexp_replace(line, CSI, space)).otherwise(line)
 
 
 def strip_ansi(text: Column) -> Column:
@@ -25,10 +25,6 @@ def strip_ansi(text: Column) -> Column:
     return F.when(text.contains(ESC), F.regexp_replace(text, CSI, "")).otherwise(text)
 
 
-def few_codes(line: Column) -> Column:
-    return F.length(line) - F.length(F.replace(line, F.lit(ESC), F.lit(""))) <= MOST_CODES
-
-
 def utf8_lossy(text: Column) -> Column:
     """Invalid bytes become U+FFFD."""
     return F.make_valid_utf8(text)

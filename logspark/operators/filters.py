@@ -53,7 +53,11 @@ class FilterOptions:
 
 
 def apply_filters(requests: DataFrame, options: FilterOptions = FilterOptions()) -> DataFrame:
-    """requests with norm_path by the options' mode, filtered by all predicates that say something."""
-    rows = requests.withColumn("norm_path", normalize_path(F.col("path"), options.path_mode))
+    """requests with norm_path by the options' mode, filtered by all predicates that say something.
+
+    A parsed table's own norm_path, with ids collapsed, is used as it is.
+    """
+    known = options.path_mode == COLLAPSE_IDS and "norm_path" in requests.columns
+    rows = requests if known else requests.withColumn("norm_path", normalize_path(F.col("path"), options.path_mode))
     found = options.predicates()
     return rows.where(reduce(and_, found)) if found else rows

@@ -48,7 +48,12 @@ def _quantiles() -> dict[str, Column]:
 
 def endpoint_stats(requests: DataFrame) -> DataFrame:
     """One row for each (path, method); path is norm_path."""
-    rows = _summed(bucket_rows(requests), ("norm_path", "method"))
+    return endpoint_stats_of(bucket_rows(requests))
+
+
+def endpoint_stats_of(counted: DataFrame) -> DataFrame:
+    """The same from bucket rows, of a batch or as a stream has written them."""
+    rows = _summed(counted, ("norm_path", "method"))
     counts = F.map_from_arrays(F.array(*(F.lit(k) for k in STATUS_CLASSES)), F.array(*(F.col(f"s{k}") for k in STATUS_CLASSES)))
     return rows.select(
         F.col("norm_path").alias("path"),

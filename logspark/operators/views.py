@@ -55,15 +55,15 @@ def byte_size(n: Column) -> Column:
     return F.when(n >= 1 << 30, F.concat(unit(3), F.lit(" GiB"))).when(n >= 1 << 20, F.concat(unit(2), F.lit(" MiB"))).when(n >= 1 << 10, F.concat(unit(1), F.lit(" KiB"))).otherwise(F.concat(n.cast("string"), F.lit(" B")))
 
 
-def kpi_cards(counts: DataFrame, summary: DataFrame, endpoints: DataFrame, crons: DataFrame) -> DataFrame:
-    """Five rows (title, value, subtitle).  counts, summary: one row each; the others are counted."""
-    one = counts.crossJoin(summary).crossJoin(endpoints.agg(F.count("*").alias("n_endpoints"))).crossJoin(crons.agg(F.count("*").alias("n_jobs")))
+def kpi_cards(counts: DataFrame, size: DataFrame, summary: DataFrame, endpoints: DataFrame, crons: DataFrame) -> DataFrame:
+    """Five rows (title, value, subtitle).  counts, size (n_bytes), summary: one row each; the others are counted."""
+    one = counts.crossJoin(size).crossJoin(summary).crossJoin(endpoints.agg(F.count("*").alias("n_endpoints"))).crossJoin(crons.agg(F.count("*").alias("n_jobs")))
     text = lambda c: F.col(c).cast("string")
     cards = [
-        (F.lit("Total lines"), text("total_lines"), F.concat(text("unmatched_lines"), F.lit(" unmatched"))),
+        (F.lit("Total ingested"), byte_size(F.col("n_bytes")), F.concat(text("total_lines"), F.lit(" lines, "), text("unmatched_lines"), F.lit(" unmatched"))),
         (F.lit("HTTP requests"), text("total_requests"), F.concat(text("n_endpoints"), F.lit(" endpoints"))),
         (F.lit("Error rate"), F.concat(decimals(F.col("error_rate"), 2), F.lit("%")), F.concat(text("total_errors"), F.lit(" errors"))),
-        (F.lit("Latency p95"), F.concat(decimals(F.col("p95_ms"), 1), F.lit(" ms")), F.concat(F.lit("p50 "), decimals(F.col("p50_ms"), 1), F.lit(" ms"))),
+        (F.lit("Latency p95"), F.concat(decimals(F.col("p95_ms"), 1), F.lit(" ms")), F.concat(F.lit("p50 "), decimals(F.col("p50_ms"), 1), F.lit(" ms, p99 "), decimals(F.col("p99_ms"), 1), F.lit(" ms"))),
         (F.lit("Cron events"), text("cron_lines"), F.concat(text("n_jobs"), F.lit(" jobs"))),
     ]
     rows = F.array(*(F.struct(F.lit(k + 1).alias("card"), a.alias("title"), b.alias("value"), c.alias("subtitle")) for k, (a, b, c) in enumerate(cards)))

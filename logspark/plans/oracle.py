@@ -14,7 +14,10 @@ def quoted(text: str) -> str:
 
 
 LN = repr(math.log(GAMMA))
-A, B, C, CSI, T = map(quoted, (P.HTTP_A, P.HTTP_B, P.CRON, P.CSI, P.CRON_TIMED))
+_GAP = rf"[ \t]*(?:{P.CSI}[ \t]*)*"
+#: A scheduled job's line as it stands, with its codes.  Groups: 1 event, 2 name with or without a duration.
+CRON = rf"\A{_GAP}(?:{P.STAMP}{_GAP})?\[cron\]{_GAP}(start|done|fail)[ ]{_GAP}((?:[^ \t\x1B]|\x1B[^\[]|\x1B\z)[\s\S]*)\z"
+A, B, C, CSI, T = map(quoted, (P.HTTP_A, P.HTTP_B, CRON, P.CSI, P.CRON_TIMED))
 BLANKS = quoted(r"\A[ \t]+|[ \t]+\z")
 CTES = {
     "lines": LINES_SQL,

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from logspark.functions import histogram, paths, text
 from logspark.operators import classify, stats, views
 from logspark.operators import filters as fl
 from logspark.plans.oracle import quoted, stats_ctes, with_ctes
-from logspark.sources import derived, logs, sinks
+from logspark.sources import derived, logs, parsed, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -107,10 +108,21 @@ def s4(spark, sf_dir):
     return rounded(stats.overall_summary(fl.apply_filters(classify.http_requests(classified(spark, sf_dir).where("line_no < 0")))))
 
 
-@register("s5_utf8_lossy", with_ctes("select line_no, l as text from kinds where kind = 'unmatched'"))
+@register("s5_utf8_lossy", with_ctes("select line_no, chr(65533) || '(' || l || chr(65533) as text from kinds where kind = 'unmatched'"))
 def s5(spark, sf_dir):
+    """Each unmatched line between a broken two-byte character and a byte that begins none."""
     rows = classified(spark, sf_dir).where(F.col("kind") == classify.UNMATCHED)
-    return rows.select("line_no", text.utf8_lossy(F.col("text").cast("binary").cast("string")).alias("text"))
+    broken = F.concat(F.lit(b"\xc3("), F.col("text").cast("binary"), F.lit(b"\xff")).cast("string")
+    return rows.select("line_no", text.utf8_lossy(broken).alias("text"))
+
+
+@register("s6_parsed_table", with_ctes(f"select {ENDPOINT} from endpoint", **stats_ctes("method = 'POST' and status >= 400")))
+def s6(spark, sf_dir):
+    """Lines are parsed and stored once; the filter and the statistics read the table."""
+    path = workspace(spark)
+    parsed.save_parsed(classified(spark, sf_dir), path)
+    chosen = fl.apply_filters(classify.http_requests(parsed.read_parsed(spark, path)), fl.FilterOptions(method="POST", status_family=fl.ERROR_ONLY))
+    return rounded(stats.endpoint_stats(chosen))
 
 
 # --- classification ------------------------------------------------------------
@@ -234,10 +246,17 @@ for _name, _test, _pattern in (
 PR_ID = quoted(r"\A[Pp][Rr]-[A-Za-z]{3,}-[0-9]{8,}\z")
 
 
-@register("p7_is_pr_id", with_ctes(f"select regexp_matches(s, {PR_ID}) as is_pr_id, count(*) as n from segments group by 1", segments=SEGMENT))
+#: The derived paths have no such id: each request also gives one with as many digits as its status has, three times or once.
+PR_SEGMENT = "select line_no, unnest([s, 'Pr-' || method || '-' || repeat(cast(status as varchar), 3), 'pR-' || method || '-' || status, 'PR-x-' || repeat(cast(status as varchar), 3)]) as s from (select line_no, method, status, string_split(bare_path, '/')[-1] as s from bare)"
+
+
+@register("p7_is_pr_id", with_ctes(f"select regexp_matches(s, {PR_ID}) as is_pr_id, count(*) as n, min(s) as least, max(s) as most from segments group by 1", segments=PR_SEGMENT))
 def p7(spark, sf_dir):
-    rows = classify.http_requests(classified(spark, sf_dir)).select(F.explode(F.split(paths.strip_query(F.col("path")), "/")).alias("segment"))
-    return rows.groupBy(paths.is_pr_id(F.col("segment")).alias("is_pr_id")).agg(F.count("*").alias("n"))
+    status = F.col("status").cast("string")
+    made = [F.concat(F.lit(a), m, F.lit("-"), d) for a, m, d in (("Pr-", F.col("method"), F.repeat(status, 3)), ("pR-", F.col("method"), status), ("PR-", F.lit("x"), F.repeat(status, 3)))]
+    last = F.element_at(F.split(paths.strip_query(F.col("path")), "/"), -1)
+    rows = classify.http_requests(classified(spark, sf_dir)).select(F.explode(F.array(last, *made)).alias("segment"))
+    return rows.groupBy(paths.is_pr_id(F.col("segment")).alias("is_pr_id")).agg(F.count("*").alias("n"), F.min("segment").alias("least"), F.max("segment").alias("most"))
 
 
 @register("p9_distinct_paths", with_ctes("select count(distinct path) as raw_paths, count(distinct norm_path) as normalized_paths from normed"))
@@ -392,23 +411,15 @@ def h5(spark, sf_dir):
 # --- views ---------------------------------------------------------------------
 
 
-def _sorted(by: str) -> Query:
-    return lambda spark, sf_dir: rounded(views.sort_endpoints(endpoints(spark, sf_dir), by).limit(25))
-
-
-for _k, (_by, _column) in enumerate(views.SORTS.items()):
-    register(f"o{_k + 1}_sort_by_{_by}", with_ctes(f"select {ENDPOINT} from (select * from endpoint order by {_column} desc, path, method limit 25)", **stats_ctes()))(_sorted(_by))
-
-
-def _sorted_whole(by: str, ascending: bool) -> Query:
+def _sorted(by: str, ascending: bool) -> Query:
     return lambda spark, sf_dir: rounded(views.sort_endpoints(endpoints(spark, sf_dir), by, ascending))
 
 
-# O1-O8 as a sort of all endpoints, in both directions; the eight queries above show the first 25 rows, as their SQL does.
+# Sorts of all endpoints: O1-O8 in the direction of a first click, then in both.
 for _k, (_by, _column) in enumerate(views.SORTS.items()):
-    for _direction in ("desc", "asc"):
+    for _name, _direction in ((f"o{_k + 1}_sort_by_{_by}", "desc"), (f"o{_k + 17}_sort_all_by_{_by}_desc", "desc"), (f"o{_k + 17}_sort_all_by_{_by}_asc", "asc")):
         _sql = with_ctes(f"select {ENDPOINT} from endpoint order by {_column} {_direction}, path, method", **stats_ctes())
-        register(f"o{_k + 17}_sort_all_by_{_by}_{_direction}", _sql)(_sorted_whole(_by, _direction == "asc"))
+        register(_name, _sql)(_sorted(_by, _direction == "asc"))
 
 
 @register("o9_sort_default", with_ctes(f"select {ENDPOINT} from endpoint order by total_calls desc, path, method", **stats_ctes()))
@@ -426,21 +437,27 @@ def o11(spark, sf_dir):
     return rounded(views.percentile_curve(stats.overall_summary(requests(spark, sf_dir))))
 
 
+BYTES = "case " + " ".join(f"when n >= {1 << p} then {fixed(f'n / {1 << p}.0', 2)} || ' {u}'" for p, u in ((30, "GiB"), (20, "MiB"), (10, "KiB"))) + " else n || ' B' end"
+
+
 @register(
     "o12_kpi_cards",
     with_ctes(
-        f"""select 1 as card, 'Total lines' as title, cast((select count(*) from kinds) as varchar) as value, (select count(*) from kinds where kind = 'unmatched') || ' unmatched' as subtitle
+        f"""select 1 as card, 'Total ingested' as title, (select {BYTES} from (select sum(strlen(line) + 1) as n from lines)) as value, (select count(*) from kinds) || ' lines, ' || (select count(*) from kinds where kind = 'unmatched') || ' unmatched' as subtitle
         union all select 2, 'HTTP requests', cast(total_requests as varchar), (select count(*) from endpoint) || ' endpoints' from overall
         union all select 3, 'Error rate', {fixed('error_rate', 2)} || '%', total_errors || ' errors' from overall
-        union all select 4, 'Latency p95', {fixed('p95_ms', 1)} || ' ms', 'p50 ' || {fixed('p50_ms', 1)} || ' ms' from overall
+        union all select 4, 'Latency p95', {fixed('p95_ms', 1)} || ' ms', 'p50 ' || {fixed('p50_ms', 1)} || ' ms, p99 ' || {fixed('p99_ms', 1)} || ' ms' from overall
         union all select 5, 'Cron events', cast((select count(*) from crons) as varchar), (select count(*) from cron_stats) || ' jobs'""",
         **stats_ctes(),
     ),
 )
 def o12(spark, sf_dir):
-    found = classified(spark, sf_dir)
+    """The lines are written as a log, so that it has a size in bytes, and parsed once: all cards read the parsed table."""
+    lines, path = lines_on_disk(spark, sf_dir), workspace(spark)
+    parsed.save_parsed(classify.classify_lines(lines), path)
+    found = parsed.read_parsed(spark, path)
     chosen = fl.apply_filters(classify.http_requests(found))
-    return views.kpi_cards(classify.line_kind_counts(found), stats.overall_summary(chosen), chosen.select("norm_path", "method").distinct(), classify.cron_events(found).select("name").distinct())
+    return views.kpi_cards(classify.line_kind_counts(found), logs.total_bytes(lines), stats.overall_summary(chosen), chosen.select("norm_path", "method").distinct(), classify.cron_events(found).select("name").distinct())
 
 
 @register("o13_overall_severity", with_ctes("select round(error_rate, 3) as error_rate, case when error_rate > 5 then 'red' when error_rate > 1 then 'amber' else 'green' end as severity from overall", **stats_ctes()))
@@ -488,6 +505,27 @@ def k2(spark, sf_dir):
     return rounded(spark.read.schema(table.schema).json(f"{path}/cron_jobs"))
 
 
+@register(
+    "k2_export_json_summary",
+    with_ctes(
+        """select 'overall' as part, 'total_requests' as name, cast(total_requests as varchar) as value from overall
+        union all select 'endpoints', method || ' ' || path, cast(total_calls as varchar) from endpoint
+        union all select 'cron_jobs', name, last_status from cron_stats
+        union all select 'unmatched_samples', cast(line_no as varchar), l from (select line_no, l from kinds where kind = 'unmatched' order by line_no limit 50)""",
+        **stats_ctes(),
+    ),
+)
+def k2_summary(spark, sf_dir):
+    """The whole summary as JSON, a folder for each of its tables, read again."""
+    path, found = workspace(spark), classified(spark, sf_dir)
+    chosen = fl.apply_filters(classify.http_requests(found))
+    tables = {"overall": stats.overall_summary(chosen), "endpoints": stats.endpoint_stats(chosen), "cron_jobs": stats.cron_stats(classify.cron_events(found)), "unmatched_samples": classify.unmatched_samples(found)}
+    sinks.export_json(path, **tables)
+    shown = {"overall": ("'total_requests'", "total_requests"), "endpoints": ("method || ' ' || path", "total_calls"), "cron_jobs": ("name", "last_status"), "unmatched_samples": ("order_key", "text")}
+    rows = [spark.read.schema(tables[t].drop("status_counts").schema).json(f"{path}/{t}").selectExpr(f"'{t}' as part", f"cast({n} as string) as name", f"cast({v} as string) as value") for t, (n, v) in shown.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 @register("k2_export_parquet", with_ctes(f"select {ENDPOINT} from endpoint", **stats_ctes()))
 def k2_parquet(spark, sf_dir):
     path = workspace(spark)

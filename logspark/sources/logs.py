@@ -19,6 +19,11 @@ def read_log_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return lines.select(utf8_lossy(F.col("value")).alias("line"), key.alias("order_key"), F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("file_size"))
 
 
+def total_bytes(lines: DataFrame) -> DataFrame:
+    """One row (n_bytes): the sizes of the files that read_log_lines has read lines from."""
+    return lines.groupBy("file_path").agg(F.first("file_size").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_bytes"))
+
+
 def stream_log_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line) of text files as they arrive in a folder."""
     return spark.readStream.option("lineSep", "\n").text(path).select(utf8_lossy(F.col("value")).alias("line"))

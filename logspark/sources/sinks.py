@@ -28,12 +28,6 @@ def export_csv(stats: DataFrame, path: str) -> None:
     csv_rows(stats).write.mode("overwrite").option("header", True).csv(path)
 
 
-def summary_document(summary: DataFrame, counts: DataFrame, stats: DataFrame, crons: DataFrame, samples: DataFrame) -> DataFrame:
-    """One row that nests all tables; for small summaries, as it gathers them in one row."""
-    listed = lambda df, name: df.agg(F.collect_list(F.struct(*df.columns)).alias(name))
-    return summary.crossJoin(counts).crossJoin(listed(stats, "endpoints")).crossJoin(listed(crons, "cron_jobs")).crossJoin(listed(samples, "unmatched_samples"))
-
-
 def export_json(path: str, **tables: DataFrame) -> None:
     """A folder of JSON lines for each table."""
     for name, table in tables.items():

@@ -13,7 +13,7 @@ from logspark.operators.stats import bucket_rows
 def live_bucket_rows(lines: DataFrame, options: FilterOptions = FilterOptions()) -> DataFrame:
     """Running counts by endpoint, method and bucket of a stream of lines; state grows with endpoints, not with lines.
 
-    Write with output mode update or complete; stats._summed over the sink's last rows gives endpoint statistics.
+    Write with output mode update or complete; stats.endpoint_stats_of over the sink's last rows gives endpoint statistics.
     """
     return bucket_rows(apply_filters(http_requests(classify_lines(lines)), options))
 
