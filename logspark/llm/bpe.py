@@ -14,17 +14,20 @@ token.  The copy made by a gadget differs from its source by one missing
 arc, so a state is kept as what it lacks (`lacks[u][v]`: the gadget that
 removed v) and the state that it was copied from (`after`); an arc w that a
 gadget adds exists where its `before` existed then.  This is linear in the
-number of merges, where full arc tables would be quadratic.  `step` tells
-whether an arc exists and keeps what it has told in a table.
+number of merges, where full arc tables would be quadratic (2.5 billion
+entries for 50,000 tokens); `step` answers from it what the table lacks.
 
 A word (the texts are split by the tokenizer's pattern first) is encoded by
-following the arcs whose labels spell it, the longest first.  Any prefix has
-one accepted path, so an end position from which no path leads on is dead
-for good and is entered once: the walk is linear in the word's length.
-Decoding joins the labels of the arcs.
+table: `follow` maps (state, label) to whether there is an arc, and is filled
+when an arc is first asked for.  Any prefix of a word has one accepted path,
+so its state is known by its length alone; the walk takes the longest arcs
+first and leaves a length for good when no arc leads on from it, so each
+length is entered once and at most as many labels are tried there as the
+longest has bytes.  The work is linear in the word's length.  Decoding joins
+the labels of the arcs.
 
 Texts: null counts as empty, and an empty text has no token.  Long texts
-are read whole; a word of any length takes time linear in its length.
+and words are read whole.
 Repeated rows are encoded each.  A null id stays null.
 """
 
@@ -42,11 +45,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logspark.llm import common
+
 #: Words whose tokens one worker remembers; the memory is emptied when full.
 REMEMBERED = 300_000
 #: Told arcs that it remembers; likewise.
 STEPS = 500_000
 _NEVER = 1 << 60
+_NONE: list[int] = []
 
 #: The tokenizer's split pattern where letters and digits are plain ones.
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -71,7 +77,8 @@ class Automaton:
         self.before, self.after, self.born = [-1] * size, [-1] * size, [-1] * size
         self.lacks: dict[int, dict[int, int]] = {}
         self.arcs: dict[bytes, int] = {}
-        self.table: dict[int, bool] = {}
+        #: last token << 20 | token -> whether there is that arc
+        self.follow: dict[int, bool] = {}
         for token, k in vocab.items():
             self.labels[k] = spell(token)
             if len(self.labels[k]) == 1:
@@ -80,7 +87,7 @@ class Automaton:
             self.gadget(rank, vocab[u], vocab[v], vocab[u + v])
         for text, k in self.special.items():
             self.labels[k] = text.encode()
-        self.table.clear()
+        self.follow.clear()
         #: The labels as a trie: byte -> (token or -1, what may follow).
         self.trie: dict = {}
         for label, k in self.arcs.items():
@@ -89,6 +96,7 @@ class Automaton:
                 node = node.setdefault(b, [-1, {}])[1]
             node.setdefault(label[-1], [-1, {}])[0] = k
         self.length = list(map(len, self.labels))
+        self.longest = max(map(len, self.arcs), default=0)
 
     def gadget(self, rank: int, u: int, v: int, w: int) -> None:
         if self.labels[w] in self.arcs:
@@ -116,25 +124,25 @@ class Automaton:
 
     def step(self, last: int, token: int) -> bool:
         key = last << 20 | token
-        known = self.table.get(key)
+        known = self.follow.get(key)
         if known is None:
-            if len(self.table) >= STEPS:
-                self.table.clear()
-            known = self.table[key] = self.exists(last, token)
+            if len(self.follow) >= STEPS:
+                self.follow.clear()
+            known = self.follow[key] = self.exists(last, token)
         return known
 
     def encode_word(self, word: bytes) -> tuple[int, ...]:
         # An arc exists only for a token that merging makes, so a word that is one label is that token.
         if (whole := self.arcs.get(word)) is not None:
             return (whole,)
-        n, root, told, length = len(word), self.trie, self.table.get, self.length
+        n, root, told, length, most = len(word), self.trie, self.follow.get, self.length, self.longest
         path: list[int] = []
         waiting: list[list[int]] = []
         dead: set[int] = set()
         i, last = 0, -1
         while True:
             arcs, node = [], root
-            for b in word[i:] if i else word:
+            for b in word[i : i + most]:
                 if b not in node:
                     break
                 token, node = node[b]
@@ -158,7 +166,7 @@ class Automaton:
             i += length[token]
             if i == n:
                 return tuple(path)
-            waiting.append(arcs)
+            waiting.append(arcs or _NONE)
             last = token
 
     def decode(self, ids: list[int]) -> bytes:
@@ -198,7 +206,7 @@ class Tokenizer:
         return [text[a:b] for _, (a, b) in _pre_tokenizer().pre_tokenize_str(text)]
 
     def encode(self, text: str) -> list[int]:
-        if self.marks is not None and "<" in text:
+        if self.marks is not None and self.marks.search(text):
             ids: list[int] = []
             for part in self.marks.split(text):
                 if part in self.automaton.special:
@@ -241,7 +249,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"{id_col} {kind}, ids array<int>")
+    return common.arrow(docs.select(F.col(id_col), F.col(text_col).cast("string")), run, f"{id_col} {kind}, ids array<int>")
 
 
 def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -254,7 +262,7 @@ def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
 
     kind = tokens.schema[id_col].dataType.simpleString()
-    return tokens.select(id_col, ids_col).mapInArrow(run, f"{id_col} {kind}, text string")
+    return common.arrow(tokens.select(id_col, ids_col), run, f"{id_col} {kind}, text string")
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -275,4 +283,4 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(digests), pa.array(decoded)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return common.arrow(docs.select(F.col(id_col), F.col(text_col).cast("string")), run, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
