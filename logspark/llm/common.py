@@ -18,11 +18,12 @@ CHUNK_BYTES = 2 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers where they can't find it themselves."""
+    """Send this package to the Python workers; only workers of a local master may find it as the driver does."""
     root = Path(__file__).resolve().parents[2]
     known = {Path(p).resolve() for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()] if p}
     context = spark.sparkContext
-    if root in known or getattr(context, "_logspark_shipped", False):
+    local = context.master.startswith("local") and not context.master.startswith("local-cluster")
+    if (local and root in known) or getattr(context, "_logspark_shipped", False):
         return
     packed = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "logspark"), "zip", root, "logspark")
     context.addPyFile(packed)
@@ -38,6 +39,12 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def arrow(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataFrame:
+    """df.mapInArrow with this package sent along."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the checkpoint folder that all executors share and read it from there.
 

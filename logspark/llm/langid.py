@@ -10,10 +10,11 @@ missing there.  The nearest language is predicted (ties: the first by name).
 
 Profiles are learned from about SAMPLE_PER_LANGUAGE rows of each language,
 chosen by hashed id; n-grams are counted by Spark, and only TOP n-grams of
-each of at most MAX_LANGUAGES languages come to the driver.
+each language come to the driver: 6 bytes each in the tasks, so 100,000
+languages would be 240 MB.  There is no limit to their number.
 
 Texts: null and texts without letters give `und` with score 0.  Texts are
-read whole.  Repeated rows get equal predictions, rows with a null id are
+read whole, long ones in pieces.  Repeated rows get equal predictions, rows with a null id are
 predicted; rows with a null language teach nothing.  Without any labelled
 row every text gives `und`.
 """
@@ -33,8 +34,9 @@ from logspark.llm import common
 
 TOP = 400
 SAMPLE_PER_LANGUAGE = 4000
-MAX_LANGUAGES = 500
 UNKNOWN = "und"
+#: Characters of a text that are counted together.
+PIECE = 1 << 20
 
 
 @lru_cache(maxsize=1)
@@ -43,21 +45,41 @@ def _letters() -> np.ndarray:
     return np.fromiter((k if chr(k).isalpha() else 0 for k in range(0x110000)), np.int64, 0x110000)
 
 
-def ngrams(text: str) -> np.ndarray:
-    """Codes of all n-grams of one text: up to three code points, 21 bits each."""
-    letters = _letters()[np.frombuffer(("\n" + text.lower() + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)]
-    keep = letters > 0
-    keep[1:] |= keep[:-1]
-    keep[0] = True
-    c = letters[keep]
-    one = c[c > 0]
-    two = c[:-1] | c[1:] << 21
-    three = (two[:-1] | c[2:] << 42)[c[1:-1] > 0]
-    return np.concatenate([one, two[two > 0], three])
+def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all different n-grams of one text (up to three code points, 21 bits each), ascending; how often each occurs.
+
+    Long texts are counted in pieces; a piece begins with the last characters of the one before.
+    """
+    low, letters = text.lower(), _letters()
+    grams, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    before, after_letter = np.zeros(0, np.int64), True  # the text begins with a blank
+    pieces = [low[k : k + PIECE] for k in range(0, len(low), PIECE)] or [""]
+    pieces[0] = "\n" + pieces[0]
+    pieces[-1] += "\n"
+    for piece in pieces:
+        own = letters[np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        keep = own > 0
+        follows = np.concatenate(([after_letter], keep[:-1]))
+        after_letter = bool(keep[-1])
+        c = np.concatenate([before, own[keep | follows]])
+        old = len(before)
+        before = c[-2:].copy()
+        one = c[old:]
+        first, second = c[max(0, old - 1) : -1], c[max(0, old - 1) + 1 :]
+        two = first | second << 21
+        k = max(0, old - 2)
+        three = (c[k:-2] | c[k + 1 : -1] << 21 | c[k + 2 :] << 42)[c[k + 1 : -1] > 0] if len(c) - k > 2 else c[:0]
+        found, n = np.unique(np.concatenate([one[one > 0], two[two > 0], three]), return_counts=True)
+        if not len(grams):
+            grams, counts = found, n
+        else:
+            grams, at = np.unique(np.concatenate([grams, found]), return_inverse=True)
+            counts = np.bincount(at, weights=np.concatenate([counts, n])).astype(np.int64)
+    return grams, counts
 
 
 def profile(text: str) -> np.ndarray:
-    grams, counts = np.unique(ngrams(text), return_counts=True)
+    grams, counts = ngrams(text)
     if len(grams) > TOP:
         # All that may be among the first TOP, then in order: by count, then by code.
         least = np.partition(counts, len(counts) - TOP)[len(counts) - TOP]
@@ -67,19 +89,25 @@ def profile(text: str) -> np.ndarray:
 
 @dataclass
 class Profiles:
-    """languages; known n-grams in ascending order; ranks[k, l] of n-gram k in language l, TOP if missing."""
+    """languages; known n-grams in ascending order; for n-gram k the languages and ranks from begin[k] to begin[k + 1]."""
 
     languages: list[str]
     grams: np.ndarray
-    ranks: np.ndarray
+    begin: np.ndarray
+    language: np.ndarray
+    rank: np.ndarray
 
     def predict(self, text: str | None) -> tuple[str, float]:
         own = profile(text) if text else np.zeros(0, np.int64)
         if not len(own) or not self.languages:
             return UNKNOWN, 0.0
         at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
-        ranks = np.where((self.grams[at] == own)[:, None], self.ranks[at], TOP)
-        distance = np.where(ranks == TOP, TOP, np.abs(ranks - np.arange(len(own))[:, None])).sum(0)
+        place = np.flatnonzero(self.grams[at] == own)
+        at = at[place]
+        size = self.begin[at + 1] - self.begin[at]
+        k = np.repeat(self.begin[at] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        near = TOP - np.abs(self.rank[k] - np.repeat(place, size))  # what an n-gram that is there saves of TOP
+        distance = TOP * len(own) - np.bincount(self.language[k], weights=near, minlength=len(self.languages))
         best = int(distance.argmin())
         return self.languages[best], float(1 - distance[best] / (TOP * len(own)))
 
@@ -87,11 +115,8 @@ class Profiles:
 def learn(docs: DataFrame, usable: Column, per_language: int = SAMPLE_PER_LANGUAGE, text_col: str = "text", lang_col: str = "lang") -> Profiles:
     """Profiles of the languages in the rows where `usable` holds."""
     rows = docs.where(usable & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64("doc_id").alias("h"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
-        return Profiles([], np.zeros(0, np.int64), np.zeros((0, 0), np.int64))
-    every = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(max(1, r["count"] // per_language)))))
-    sample = rows.where(F.pmod(F.col("h"), F.try_element_at(every, F.col("lang"))) == 0).select("lang", "text")
+    every = rows.groupBy("lang").agg(F.greatest(F.lit(1), F.floor(F.count("*") / per_language)).alias("every"))
+    sample = rows.join(every, "lang").where(F.pmod(F.col("h"), F.col("every")) == 0).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,19 +125,17 @@ def learn(docs: DataFrame, usable: Column, per_language: int = SAMPLE_PER_LANGUA
                 by.setdefault(lang, []).append(text or "")
             for lang, texts in by.items():
                 for k in range(0, len(texts), 200):
-                    grams, n = np.unique(ngrams("\n".join(texts[k : k + 200])), return_counts=True)
+                    grams, n = ngrams("\n".join(texts[k : k + 200]))
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams), pa.array(n)], names=["lang", "gram", "n"])
 
-    summed = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    summed = common.arrow(sample, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    found = summed.withColumn("place", place - 1).where(F.col("place") < TOP).collect()
-    languages = sorted({r["lang"] for r in found})
-    grams = np.unique(np.array([r["gram"] for r in found], np.int64))
-    ranks = np.full((len(grams), len(languages)), TOP, np.int64)
-    at = {lang: k for k, lang in enumerate(languages)}
-    for r in found:
-        ranks[np.searchsorted(grams, r["gram"]), at[r["lang"]]] = r["place"]
-    return Profiles(languages, grams, ranks)
+    found = summed.withColumn("place", place - 1).where(F.col("place") < TOP).toPandas()
+    languages, of = np.unique(found["lang"].to_numpy(dtype=str), return_inverse=True)
+    gram, rank = found["gram"].to_numpy(np.int64), found["place"].to_numpy(np.int64)
+    order = np.lexsort((of, gram))
+    grams, sizes = np.unique(gram, return_counts=True)
+    return Profiles(languages.tolist(), grams, np.concatenate(([0], np.cumsum(sizes))), of[order].astype(np.int32), rank[order].astype(np.int16))
 
 
 def predict(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -124,4 +147,4 @@ def predict(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[id_col, "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"{id_col} {kind}, lang_pred string, score double")
+    return common.arrow(docs.select(F.col(id_col), F.col(text_col).cast("string")), run, f"{id_col} {kind}, lang_pred string, score double")
