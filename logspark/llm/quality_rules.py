@@ -2,11 +2,12 @@
 
 A rule has a condition under which it rejects a document, and a formula for
 its work on a row.  On a sample of at most SAMPLE_ROWS documents, `plan`
-finds which rules reject which rows and what each would cost, and orders
+finds which rules reject which rows and what each costs there, and orders
 them greedily: next comes the rule with the most rejections per cost among
 the rows that the rules before it let pass.  `apply` evaluates them in that
-order inside one CASE WHEN, so a rule runs only on rows that passed all
-before it.  The order changes the work, never the verdict.
+order inside one CASE WHEN, so a rule's own work (distinct words, counts of
+characters) is done only on rows that passed all before it.  The order
+changes the work, never the verdict.
 
 No shuffle: every figure of a row is made from that row, with the words
 bound once (`let`).  Words are runs of characters other than space and
@@ -15,7 +16,7 @@ bound once (`let`).  Words are runs of characters other than space and
 Texts: null counts as empty; texts with less than MIN_WORDS words fail the
 base rules.  Texts are read whole.  Repeated rows get equal verdicts, rows
 with a null id are judged.  An empty table gives an empty result.  Columns of
-the input that have the names of results are replaced.
+the input that have the names of results are replaced, all others are kept.
 """
 
 from __future__ import annotations
@@ -66,23 +67,26 @@ def duplicate_lines(text: Column) -> Column:
     return let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup")))
 
 
+#: What judge adds.
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "base_failed", "rejected_by", "kept")
+
+
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the base figures, and base_failed; `_text` is the text with null as empty."""
-    t = F.col("_text")
-    per_word = let(words(t), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).cast("long").alias("rep"), F.size(F.array_distinct(w)).cast("long").alias("distinct")))
-    rows = docs.withColumn("_text", F.coalesce(F.col(text_col).cast("string"), F.lit(""))).withColumn("_w", per_word).withColumn("_l", duplicate_lines(t))
-    return rows.withColumns(
-        {
-            "n_words": F.col("_w.n"),
-            "word_chars": _size_without(t, _WHITE_CHARS).cast("long"),
-            "n_symbols": (F.length(t) - _size_without(t, SYMBOLS)).cast("long"),
-            "n_dup_lines": F.col("_l.dup"),
-            "n_repeat_words": F.col("_w.rep"),
-            "n_lines": F.col("_l.n"),
-            "n_distinct_words": F.col("_w.distinct"),
-            "base_failed": (F.col("_w.n") < MIN_WORDS) | (100 * F.col("_w.rep") > 50 * F.col("_w.n")),
-        }
-    ).drop("_w", "_l")
+    """(row, text, words, figures): docs' columns as one struct, the text with null as empty, its words, and what each row is asked for."""
+    t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    both = let(words(t), lambda w: F.struct(w.alias("words"), repeated_words(w).cast("long").alias("rep")))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), t.alias("text"), both.alias("w"), duplicate_lines(t).alias("l"))
+    n, rep = F.size("w.words").cast("long"), F.col("w.rep")
+    figures = {
+        "n_words": n,
+        "word_chars": _size_without(F.col("text"), _WHITE_CHARS).cast("long"),
+        "n_symbols": (F.length("text") - _size_without(F.col("text"), SYMBOLS)).cast("long"),
+        "n_dup_lines": F.col("l.dup"),
+        "n_repeat_words": rep,
+        "n_lines": F.col("l.n"),
+        "base_failed": (n < MIN_WORDS) | (100 * rep > 50 * n),
+    }
+    return rows.select("row", "text", F.col("w.words").alias("words"), *(c.alias(k) for k, c in figures.items()))
 
 
 @dataclass(frozen=True)
@@ -99,29 +103,37 @@ def _held() -> Column:
 
 
 def _read() -> Column:
-    return 1 + F.length("_text").cast("long")
+    return 1 + F.length("text").cast("long")
+
+
+def _hashed() -> Column:
+    return 1 + 3 * F.col("word_chars")  # a hash, a comparison and a place in a table for each word
 
 
 RULES = (
     Rule("symbols", lambda: 10 * F.col("n_symbols") > F.col("word_chars"), _held),
     Rule("duplicate_lines", lambda: (F.col("n_lines") >= 4) & (2 * F.col("n_dup_lines") > F.col("n_lines")), _held),
     Rule("word_length", lambda: (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 20 * F.col("n_words")), _held),
-    Rule("few_words", lambda: 20 * F.col("n_distinct_words") < F.least(F.col("n_words"), F.lit(2000)), _held),
-    Rule("shouting", lambda: 10 * (F.length("_text") - _size_without(F.col("_text"), UPPER)) > 4 * F.col("word_chars"), _read),
-    Rule("exclamations", lambda: 2 * (F.length("_text") - _size_without(F.col("_text"), "!?")) > F.col("n_words"), _read),
+    Rule("few_words", lambda: 20 * F.size(F.array_distinct("words")) < F.least(F.col("n_words"), F.lit(2000)), _hashed),
+    Rule("shouting", lambda: 10 * (F.length("text") - _size_without(F.col("text"), UPPER)) > 4 * F.col("word_chars"), _read),
+    Rule("exclamations", lambda: 2 * (F.length("text") - _size_without(F.col("text"), "!?")) > F.col("n_words"), _read),
 )
 
 
-def plan(measured: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by rejections per cost, each on what those before it let pass.
+def sample(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """At most sample_rows rows, by hash of the text."""
+    every = max(1, docs.count() // sample_rows)
+    return docs.where(F.pmod(F.xxhash64(text_col), F.lit(every)) == 0).limit(sample_rows)
+
+
+def plan(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> list[Rule]:
+    """The rules by rejections per cost on these rows, each on what those before it let pass.
 
-    The sample is the rows whose hash is 0 modulo their number / sample_rows, up to sample_rows; one row comes back
-    for each set of rules that reject together (2 to the number of rules at most).
+    One row comes back for each set of rules that reject together (2 to the number of rules at most).
     """
-    every = max(1, measured.count() // sample_rows)
-    sample = measured.where(F.pmod(F.xxhash64("_text"), F.lit(every)) == 0).limit(sample_rows).where(~F.col("base_failed"))
     bits = sum((F.when(r.rejects(), 1 << k).otherwise(0) for k, r in enumerate(rules)), F.lit(0))
-    groups = sample.groupBy(bits.alias("bits")).agg(F.count("*").alias("n"), *(F.sum(r.work()).alias(f"work{k}") for k, r in enumerate(rules))).collect()
+    passed = measured.where(~F.col("base_failed")).withColumn("bits", bits)
+    groups = passed.groupBy("bits").agg(F.count("*").alias("n"), *(F.sum(r.work()).alias(f"work{k}") for k, r in enumerate(rules))).collect()
     left, order = groups, []
     remaining = list(range(len(rules)))
     while remaining:
@@ -135,17 +147,18 @@ def plan(measured: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int
 
 
 def apply(measured: DataFrame, order: list[Rule]) -> DataFrame:
-    """measured with `rejected_by` (the first rule that rejects, null if none; base rules count as "base") and kept."""
+    """The columns of docs, the figures, `rejected_by` (the first rule that rejects, null if none; base rules count as "base") and kept."""
     verdict = F.when(F.col("base_failed"), "base")
     for rule in order:
         verdict = verdict.when(rule.rejects(), rule.name)
-    return measured.withColumn("rejected_by", verdict).withColumn("kept", F.col("rejected_by").isNull()).drop("_text")
+    judged = measured.withColumn("rejected_by", verdict).withColumn("kept", F.col("rejected_by").isNull())
+    kept = [f.name for f in measured.schema["row"].dataType if f.name.lower() not in RESULTS]
+    return judged.select(*(F.col("row").getField(c).alias(c) for c in kept), *RESULTS)
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, text_col: str = "text") -> DataFrame:
     """docs with all figures, rejected_by and kept."""
-    measured = measure(docs, text_col)
-    return apply(measured, plan(measured, rules, sample_rows))
+    return apply(measure(docs, text_col), plan(measure(sample(docs, text_col, sample_rows), text_col), rules))
 
 
 ORACLE = r"""
