@@ -232,7 +232,7 @@ def encoded(docs: DataFrame, path: str, end: int = END) -> DataFrame:
 
     kind_of_id = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return common.cut(rows.mapInArrow(run, f"doc_id {kind_of_id}, n long, packed binary"))
+    return common.cut(common.arrow(rows, run, f"doc_id {kind_of_id}, n long, packed binary"))
 
 
 def corpus_of(rows: DataFrame) -> Corpus:
@@ -250,7 +250,7 @@ def corpus_of(rows: DataFrame) -> Corpus:
         terms = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(terms, [-1, -2])), pa.array(np.append(df[terms], [docs, length]))], names=["term", "n"])
 
-    sums = rows.select("n", "packed").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    sums = common.arrow(rows.select("n", "packed"), count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     found = {r["term"]: r["n"] for r in sums}
     n, length = found.pop(-1, 0), found.pop(-2, 0)
     df = np.zeros(max(found, default=0) + 1, np.int64)
@@ -273,7 +273,7 @@ def together(rows: DataFrame, corpus: Corpus) -> DataFrame:
             found = [pa.array(np.minimum.reduceat(place[flat], begin)) for place in places]
             yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=["doc_id", "n", "packed", *keys])
 
-    keyed = rows.mapInArrow(run, common.schema_of(rows, ", ".join(f"{k} int" for k in keys)))
+    keyed = common.arrow(rows, run, common.schema_of(rows, ", ".join(f"{k} int" for k in keys)))
     order = [*keys, F.xxhash64("doc_id", "packed")]
     # Some shards to a partition, however small or large the corpus.
     parts = 1 + int(max(corpus.n // (2 * SHARD_DOCS), corpus.n * corpus.mean // (2 * SHARD_TOKENS)))
@@ -335,4 +335,4 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, with_
     found = encoded(docs, path, end)
     corpus = corpus_of(found)
     rows = together(found, corpus).select("doc_id", "n", "packed", F.spark_partition_id().alias("partition"))
-    return rows.mapInArrow(run, schema)
+    return common.arrow(rows, run, schema)

@@ -161,13 +161,18 @@ def train(x: np.ndarray, y: np.ndarray, epochs: int = 40, seed: int = 1) -> Mach
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, folds: int, held_out: int, rows: int) -> DataFrame:
-    """(text, label) of at most `rows` labelled documents outside the held-out fold, by smallest hashed id."""
+    """(text, label, key) of at most `rows` labelled documents outside the held-out fold, by smallest hashed id.
+
+    Only labels of ids that docs has count; an id that several rows have gives its least text.  The rows are dealt
+    over as many partitions as the session has cores; `key`, of the id, orders them.
+    """
     usable = labels.select(F.col("doc_id").alias("_id"), F.col(column).cast("int").alias("label")).where(F.col("_id").isNotNull() & F.col("label").isin(0, 1))
-    one = usable.where(common.fold_bucket("_id", folds) != held_out).groupBy("_id").agg(F.max("label").alias("label"))
-    chosen = one.orderBy(F.xxhash64("_id"), "_id").limit(rows)  # at most `rows` pairs of numbers: safe to broadcast
     texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text"))
-    found = texts.join(F.broadcast(chosen), "_id")
-    return found.orderBy(F.xxhash64("_id"), "_id", F.length("text")).limit(rows).select("text", "label")
+    there = usable.where(common.fold_bucket("_id", folds) != held_out).join(texts.select("_id"), "_id", "left_semi")
+    one = there.groupBy("_id").agg(F.max("label").alias("label"))
+    chosen = one.orderBy(F.xxhash64("_id"), "_id").limit(rows)  # at most `rows` pairs of numbers: safe to broadcast
+    found = texts.join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    return found.select("text", "label", F.xxhash64("_id").alias("key")).repartition(docs.sparkSession.sparkContext.defaultParallelism, "key")
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", folds: int = 5, held_out: int = 0, rows: int = MAX_ROWS) -> Machine:
@@ -179,9 +184,10 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", folds: int
             of, place, x = hashed_words(Words(texts, lower=True))
             cut = np.searchsorted(of, np.arange(len(texts) + 1))
             packed = [(place[a:b].astype(np.uint16).tobytes(), x[a:b].astype(np.float32).tobytes(), row.tobytes()) for a, b, row in zip(cut[:-1], cut[1:], dense, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in packed], pa.binary()) for k in range(3)] + [batch.column(1)], names=["place", "x", "dense", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in packed], pa.binary()) for k in range(3)] + [batch.column(1), batch.column(2)], names=["place", "x", "dense", "label", "key"])
 
-    sample = labelled(docs, labels, column, folds, held_out, rows).mapInArrow(features, "place binary, x binary, dense binary, label int").toPandas()
+    found = common.arrow(labelled(docs, labels, column, folds, held_out, rows), features, "place binary, x binary, dense binary, label int, key long")
+    sample = found.toPandas().sort_values("key", kind="stable")
     x = np.zeros((len(sample), WORD_DIMS + len(STRUCTURE)), np.float32)
     for k, (place, value, dense) in enumerate(zip(sample["place"], sample["x"], sample["dense"], strict=True)):
         x[k, np.frombuffer(place, np.uint16)] = np.frombuffer(value, np.float32)
@@ -201,4 +207,4 @@ def score(docs: DataFrame, machine: Machine, keep: list[str] | None = None, thre
             columns = [batch.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*names, *out])
 
-    return rows.mapInArrow(run, common.schema_of(rows.select(*names), f"`{out[0]}` double, `{out[1]}` int"))
+    return common.arrow(rows, run, common.schema_of(rows.select(*names), f"`{out[0]}` double, `{out[1]}` int"))

@@ -326,7 +326,7 @@ def hot_buckets(docs: DataFrame, length: int, q: int, most: int = HOT_RUNS, samp
                 v, count = np.unique(pair[:, 0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(count)], names=["v", "n"])
 
-    counts = common.cut(docs.mapInArrow(run, "v long, n long").groupBy("v").agg(F.sum("n").alias("n")))
+    counts = common.cut(common.arrow(docs, run, "v long, n long").groupBy("v").agg(F.sum("n").alias("n")))
     total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
     found = counts.where(F.col("n") > max(most // sampled, total // 65536)).select("v").collect()
     return np.sort(np.array([r["v"] for r in found], np.int64).view(np.uint64))
@@ -419,7 +419,7 @@ def first_pass(docs: DataFrame, parts: int, length: int, q: int, with_crc: bool,
         if held:
             yield packets(held)
 
-    return docs.mapInArrow(run, _PACKETS)
+    return common.arrow(docs, run, _PACKETS)
 
 
 def settle(packets: DataFrame) -> DataFrame:
@@ -445,7 +445,7 @@ def settle(packets: DataFrame) -> DataFrame:
                 rows = rows[again | np.append(again[1:], False) | (rows["twice"] > 0)]
                 yield _found(_as_ranges(rows), rows["v"].astype(np.int64))
 
-    return _by_part(packets).mapInArrow(run, _FOUND)
+    return common.arrow(_by_part(packets), run, _FOUND)
 
 
 def open_runs(texts: DataFrame, names: list[str], parts: int, length: int) -> DataFrame:
@@ -476,7 +476,7 @@ def open_runs(texts: DataFrame, names: list[str], parts: int, length: int) -> Da
         if held:
             yield packets()
 
-    return texts.mapInArrow(run, _PACKETS)
+    return common.arrow(texts, run, _PACKETS)
 
 
 def refine(packets: DataFrame, length: int) -> DataFrame:
@@ -499,7 +499,7 @@ def refine(packets: DataFrame, length: int) -> DataFrame:
                 yield _found(repeated_windows(rows[a:b], spans[_places(begin[a:b], size[a:b])], before[a:b] - before[a], length))
                 a = b
 
-    return _by_part(packets).mapInArrow(run, _FOUND)
+    return common.arrow(_by_part(packets), run, _FOUND)
 
 
 def _by_document(ranges: DataFrame) -> DataFrame:
@@ -517,7 +517,7 @@ def _by_document(ranges: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["doc", "crc", "ranges"])
 
     # Equal rows come from repeated documents.
-    return ranges.groupBy("doc", "crc").agg(F.collect_set("at").alias("at")).mapInArrow(run, "doc long, crc long, ranges binary")
+    return common.arrow(ranges.groupBy("doc", "crc").agg(F.collect_set("at").alias("at")), run, "doc long, crc long, ranges binary")
 
 
 def _ids_repeat(docs: DataFrame) -> bool:
@@ -584,7 +584,7 @@ def digests(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     joined = Keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"))).with_repeats(length, q)
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
+    return common.arrow(joined, run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
 
 
 def remove(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
@@ -605,4 +605,4 @@ def remove(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
 
     rows = docs.withColumn("text", F.col("text").cast("string"))
     joined = Keyed(rows).with_repeats(length, q)
-    return joined.mapInArrow(run, common.schema_of(rows.select(*names)))
+    return common.arrow(joined, run, common.schema_of(rows.select(*names)))

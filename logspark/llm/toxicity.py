@@ -1,6 +1,6 @@
 """Toxicity: a weighted finite-state pattern grammar over clauses.
 
-Transducers, composed in this order (`compose`):
+Weighted transducers over a clause's words, composed (`compose`):
 
 * lexicon: a word to its class (insult, threat, target, negation, reported
   speech, quote mark, other) with a weight for insults and threats;
@@ -8,9 +8,15 @@ Transducers, composed in this order (`compose`):
   quotes, weights fall to REPORTED;
 * negation: up to SCOPE words after a negation, weights fall to NEGATED;
 * target: an insult or threat up to SCOPE words after a person addressed
-  counts TARGETED times, and a target right after an insult adds as much;
+  counts TARGETED times;
+* insult: a target right after an insult makes that insult count TARGETED
+  times;
+* threat: a target up to SCOPE words after a threat does the same for it;
 * acceptor: adds the weights of a clause.
 
+An arc carries two factors: one for the weight of the word read, one for that
+of the insult or threat read last; composing multiplies both.
+
 A clause ends at . ! ? ; : or at a line's end.  Only clauses that hold an
 insult or a threat are walked.  A text's features are sums over its
 clauses: all weights, weights of different words, the largest clause; each
@@ -34,6 +40,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -69,30 +76,44 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 @dataclass
 class Fst:
-    """arcs[state][class] = (next state, factor of the weight); without an arc the state stays and the factor is 1."""
+    """arcs[state][class] = (next state, factor of this word's weight, factor of the last weight); without an arc the state stays."""
 
-    arcs: list[dict[int, tuple[int, float]]]
+    arcs: list[dict[int, tuple[int, float, float]]]
 
-    def read(self, state: int, label: int) -> tuple[int, float]:
-        return self.arcs[state].get(label, (state, 1.0))
+    def read(self, state: int, label: int) -> tuple[int, float, float]:
+        return self.arcs[state].get(label, (state, 1.0, 1.0))
 
 
-def scoped(trigger: int, factor: float, scope: int) -> Fst:
-    """After `trigger`, insults and threats within `scope` words get `factor`; states count the words left."""
-    arcs: list[dict[int, tuple[int, float]]] = [{trigger: (scope, 1.0)}]
+def _counting(trigger: int, scope: int, row: dict[int, tuple[float, float]]) -> Fst:
+    """After `trigger`, classes in `row` get its factors within `scope` words; states count the words left."""
+    again = (scope, 1.0, 1.0)
+    arcs: list[dict[int, tuple[int, float, float]]] = [{trigger: again}]
     for left in range(1, scope + 1):
-        row = {label: (left - 1, 1.0) for label in range(7)}
-        row |= {INSULT: (left - 1, factor), THREAT: (left - 1, factor), trigger: (scope, 1.0)}
-        arcs.append(row)
+        arcs.append({label: (left - 1, *row.get(label, (1.0, 1.0))) for label in range(7)} | {trigger: (scope, *row.get(trigger, (1.0, 1.0)))})
     return Fst(arcs)
 
 
+def scoped(trigger: int, factor: float, scope: int) -> Fst:
+    """After `trigger`, insults and threats within `scope` words get `factor`."""
+    return _counting(trigger, scope, {INSULT: (factor, 1.0), THREAT: (factor, 1.0)})
+
+
+def aimed(kind: int, factor: float, scope: int) -> Fst:
+    """A target within `scope` words after a word of `kind` gives that word `factor`; once, as nothing else is remembered."""
+    fst = _counting(kind, scope, {TARGET: (1.0, factor)})
+    other = THREAT if kind == INSULT else INSULT
+    for row in fst.arcs[1:]:
+        row[TARGET] = (0, 1.0, factor)
+        row[other] = (0, 1.0, 1.0)  # the last weight is another's now
+    return fst
+
+
 def reported(factor: float) -> Fst:
     """After reported speech begins, and inside quotes, to the end of the clause or quote."""
-    low = {INSULT: factor, THREAT: factor}
-    said = {label: (1, f) for label, f in low.items()}
-    quoted = {label: (2, f) for label, f in low.items()}
-    return Fst([{REPORT: (1, 1.0), QUOTE: (2, 1.0)}, said, quoted | {QUOTE: (0, 1.0)}])
+    low = (factor, 1.0)
+    said = {INSULT: (1, *low), THREAT: (1, *low)}
+    quoted = {INSULT: (2, *low), THREAT: (2, *low)}
+    return Fst([{REPORT: (1, 1.0, 1.0), QUOTE: (2, 1.0, 1.0)}, said, quoted | {QUOTE: (0, 1.0, 1.0)}])
 
 
 def compose(first: Fst, second: Fst) -> Fst:
@@ -103,16 +124,16 @@ def compose(first: Fst, second: Fst) -> Fst:
         a, b = waiting.pop(0)
         row = {}
         for label in range(7):
-            (x, f), (y, g) = first.read(a, label), second.read(b, label)
+            (x, f, p), (y, g, q) = first.read(a, label), second.read(b, label)
             if (x, y) not in number:
                 number[x, y] = len(number)
                 waiting.append((x, y))
-            row[label] = (number[x, y], f * g)
+            row[label] = (number[x, y], f * g, p * q)
         arcs.append(row)
     return Fst(arcs)
 
 
-GRAMMAR = compose(compose(reported(REPORTED), scoped(NEGATION, NEGATED, SCOPE)), scoped(TARGET, TARGETED, SCOPE))
+GRAMMAR = reduce(compose, (reported(REPORTED), scoped(NEGATION, NEGATED, SCOPE), scoped(TARGET, TARGETED, SCOPE), aimed(INSULT, TARGETED, 1), aimed(THREAT, TARGETED, SCOPE)))
 
 
 @dataclass
@@ -138,13 +159,14 @@ class Grammar:
 
     def clauses(self, text: str, hits: list[int]) -> Iterator[tuple[float, dict[str, float]]]:
         """(weight, weight of each word) of every clause around the hits (offsets of words)."""
-        done = -1
+        done = 0
         for at in hits:
             if at < done:
                 continue
-            start = max(text.rfind(c, 0, at) for c in ".!?;:\n") + 1
+            # Successive searches look at no character twice: a clause begins where the last one ended, or later.
+            start = max(done, max(text.rfind(c, done, at) for c in ".!?;:\n") + 1)
             state, total, words = 0, 0.0, {}
-            after = ""
+            last, last_weight = "", 0.0
             done = len(text)
             for m in _WORD.finditer(text, start):
                 word = m[0]
@@ -152,14 +174,14 @@ class Grammar:
                     done = m.end()
                     break
                 kind, weight, name = self.lookup(word)
-                if kind == TARGET and after:
-                    total += words[after] * (TARGETED - 1)
-                state, factor = GRAMMAR.read(state, kind)
-                after = ""
+                state, factor, before = GRAMMAR.read(state, kind)
+                if before != 1.0 and last:
+                    total += last_weight * (before - 1)
+                    words[last] = max(words[last], last_weight * before)
                 if weight:
-                    total += weight * factor
-                    words[name] = max(words.get(name, 0.0), weight * factor)
-                    after = name
+                    last, last_weight = name, weight * factor
+                    total += last_weight
+                    words[name] = max(words.get(name, 0.0), last_weight)
             yield total, words
 
 
@@ -218,7 +240,7 @@ def term_counts(sample: DataFrame) -> DataFrame:
             out = list(counted)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in ((0, pa.string()), (1, pa.int32()), (2, pa.int64()))], names=["term", "label", "grp"])
 
-    groups = sample.mapInArrow(pairs, "term string, label int, grp long").distinct()
+    groups = common.arrow(sample, pairs, "term string, label int, grp long").distinct()
     return groups.groupBy("term").agg(F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("clean"))
 
 
@@ -260,7 +282,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int =
             found = [matcher.features(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.float64()) for k in range(3)] + [batch.column(1)], names=["a", "b", "c", "label"])
 
-    seen = rest.mapInArrow(features, "a double, b double, c double, label int").toPandas()
+    seen = common.arrow(rest, features, "a double, b double, c double, label int").toPandas()
     grammar.bias, grammar.slopes = logistic(seen[["a", "b", "c"]].to_numpy(), seen["label"].to_numpy(dtype=float))
     return grammar
 
@@ -302,4 +324,4 @@ def score(docs: DataFrame, grammar: Grammar, keep: list[str] | None = None, thre
             s = 1 / (1 + np.exp(-np.clip(grammar.bias + found @ slopes, -30, 30)))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*names, *out])
 
-    return rows.mapInArrow(run, common.schema_of(rows.select(*names), f"`{out[0]}` double, `{out[1]}` int"))
+    return common.arrow(rows, run, common.schema_of(rows.select(*names), f"`{out[0]}` double, `{out[1]}` int"))

@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -74,14 +75,30 @@ def test_quality_rules_odd(odd, none):
 
 def test_cascade_order(spark):
     text = [("## ## " * 40,)] * 30 + [("WORD and MORE " + " ".join(f"w{k}" for k in range(60)),)] * 5
-    measured = quality_rules.measure(spark.createDataFrame(text, "text string"))
-    loose = quality_rules.Rule("loose", lambda: F.lit(False), quality_rules._read)
+    docs = spark.createDataFrame(text, "text string")
+    measured = quality_rules.measure(docs)
+    loose = quality_rules.Rule("loose", lambda: F.lit(False), lambda: 10 * quality_rules._hashed())  # rejects nothing and costs most
     order = [r.name for r in quality_rules.plan(measured.withColumn("base_failed", F.lit(False)), (*quality_rules.RULES, loose))]
     assert order[0] == "symbols" and order[-1] == "loose"
-    plan = quality_rules.judge(measured.select("text"))._jdf.queryExecution().executedPlan().toString()
+    plan = quality_rules.judge(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
 
 
+def test_rejected_rows_are_not_looked_at_again(spark):
+    """The second rule fails the job on every row that reaches it; distinct words stand in the cascade alone."""
+    docs = spark.createDataFrame([(" ".join(f"w{k}" for k in range(60)),)] * 3 + [("few",)], "text string")
+    all_go = quality_rules.Rule("all", lambda: F.col("n_words") > 0, quality_rules._held)
+    fails = quality_rules.Rule("fails", lambda: F.raise_error(F.col("text")).isNotNull(), quality_rules._read)
+    assert [r["rejected_by"] for r in quality_rules.apply(quality_rules.measure(docs), [all_go, fails]).collect()] == ["all"] * 3 + ["base"]
+    assert "array_distinct(words" not in quality_rules.measure(docs)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_quality_rules_keep_other_columns(spark):
+    docs = spark.createDataFrame([("a b", 1, 2, 3, 4)], "text string, _w int, row int, words int, kept int")
+    found = quality_rules.judge(docs)
+    assert found.columns == ["text", "_w", "row", "words", *quality_rules.RESULTS] and tuple(found.first())[:4] == ("a b", 1, 2, 3)
+
+
 # --- 2 -----------------------------------------------------------------------
 
 
@@ -151,13 +168,52 @@ def test_language_odd(odd, none):
 
 
 def test_profile_is_by_count():
-    grams, top = collections.Counter(langid.ngrams("aab aab").tolist()), langid.profile("aab aab").tolist()
+    grams, top = dict(zip(*(x.tolist() for x in langid.ngrams("aab aab")), strict=True)), langid.profile("aab aab").tolist()
     assert top == sorted(grams, key=lambda g: (-grams[g], g))
 
 
+def test_long_texts_are_counted_in_pieces(monkeypatch):
+    rng = random.Random(6)
+    texts = ["", "a", "ab", "-", "--a--b", " ab"] + ["".join(rng.choice("abé .-") for _ in range(rng.randint(1, 90))) for _ in range(200)]
+
+    def brute(text):
+        c = [ord(x) if x.isalpha() else 0 for x in f"\n{text}\n"]
+        c = [x for k, x in enumerate(c) if x or not k or c[k - 1]]
+        two = [a | b << 21 for a, b in zip(c, c[1:]) if a or b]
+        three = [a | b << 21 | d << 42 for a, b, d in zip(c, c[1:], c[2:]) if b]
+        return collections.Counter([x for x in c if x] + two + three)
+
+    for piece in (1, 2, 3, 7, 1000):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        for text in texts:
+            assert dict(zip(*(x.tolist() for x in langid.ngrams(text)), strict=True)) == brute(text)
+
+
+def test_six_hundred_languages(spark):
+    """No limit to the number of languages, and one language with half of the rows."""
+    rng = random.Random(3)
+    words = {f"l{k:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(6)] for k in range(600)}
+    rows = [(k, " ".join(w * 3), lang) for k, (lang, w) in enumerate(words.items())] + [(600 + k, " ".join(words["l000"]), "l000") for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = rows_of(langid.predict(docs, langid.learn(docs, F.lit(True))))
+    assert sum(found[k]["lang_pred"] == lang for k, _, lang in rows) > 0.99 * len(rows)
+
+
 # --- 4 -----------------------------------------------------------------------
 
 
+def test_a_very_long_word_and_text():
+    """One unbroken word of 5 MB, one text of 20 MB: time in proportion to the length."""
+    own, rng = bpe.load(queries.tokenizer_path()), random.Random(2)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5_000_000))
+    began = time.time()
+    assert own.decode(own.encode(word)) == word
+    grammar = toxicity.Grammar({"idiot": (toxicity.INSULT, 3.0), "you": (toxicity.TARGET, 0.0)}, {})
+    assert toxicity.Matcher(grammar).features("you idiot here. nice words, " * 700_000)[1] == pytest.approx(np.log1p(4.5))
+    assert len(langid.profile("ein Wort und noch eines " * 800_000)) == 40
+    assert time.time() - began < 120
+
+
 def test_bpe_equals_library(spark, table):
     from tokenizers import Tokenizer
 
@@ -214,6 +270,22 @@ def test_held_out_accuracy(spark, name, label, least):
     assert found.agg(F.avg((F.col("predicted") == F.col(label)).cast("int"))).first()[0] > least
 
 
+def test_held_out_toxic_rows(spark):
+    """Precision and recall, as accuracy alone would let a large part of the few toxic rows be missed."""
+    sf = "/root/testdata/sf0.1"
+    found = queries.op8_toxicity(spark, sf).where("held_out").join(common.labels(spark, sf), "doc_id")
+    n = {(r["predicted"], r["toxic"]): r["count"] for r in found.groupBy("predicted", "toxic").count().collect()}
+    hit, missed, false = n[1, 1], n.get((0, 1), 0), n.get((1, 0), 0)
+    assert hit >= 0.9 * (hit + missed) and hit >= 0.9 * (hit + false)
+
+
+def test_labels_of_other_documents_use_up_no_rows(spark):
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(50)] + [(7, "text 7")] * 40, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(5000)], "doc_id long, quality int")
+    rows = quality_fm.labelled(docs, labels, "quality", 5, 0, 200)
+    assert rows.count() == sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in range(50)) and rows.rdd.getNumPartitions() > 1
+
+
 def test_classifiers_odd(spark, odd, none, no_labels):
     labels = spark.createDataFrame([(5, 1, 0), (6, 0, 1), (7, 0, 1), (None, 1, 1), (8, None, None), (8, 1, 0)], "doc_id long, quality int, toxic int")
     for module in (quality_fm, toxicity):
@@ -244,6 +316,9 @@ def test_grammar():
     plain, aimed, negated, told = weigh("an idiot here"), weigh("you are an idiot"), weigh("he there is not an idiot"), weigh("someone said idiot")
     assert aimed > plain > told > 0 and weigh("that is not an idiot") < plain and negated < aimed
     assert weigh("grumbling") > 0 and weigh("grumb") == 0 and weigh("idiots") == 0 and weigh("nice words") == 0
+    # Told of one's threat, aimed at someone after it, and only as far as SCOPE words.
+    assert weigh("kill someone or you") > weigh("kill someone or it") == weigh("kill a b c you")
+    assert weigh("idiot you") == weigh("you idiot") > weigh("idiot x you")
     assert weigh('she wrote "idiot" again') < weigh("she there: idiot again") + 1e-9
 
 
