@@ -7,18 +7,28 @@ from pyspark.sql import functions as F
 
 from logspark.llm.common import cut
 
+#: Parts of one key's rows in a join.
+SPREAD = 64
 
-def _stars(links: DataFrame, large: bool) -> DataFrame:
-    """One step: every node's neighbours are linked to the least node around it.
 
-    The least neighbour is an aggregate with partial sums, so a node with very many links is no burden; the join
-    that brings it back to the links has one row a node on that side, so its large keys can be split.
+def spread_join(rows: DataFrame, side: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """rows beside the one row of side with the same key, where a key may have very many rows.
+
+    Each key's rows are cut into SPREAD parts by the hash of `by`; side goes to the parts that exist, so no part of
+    the work has more than a SPREADth of a key's rows.
     """
+    cut_rows = rows.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(SPREAD)))
+    parts = cut_rows.select(key, "_part").distinct().join(side, key)
+    return cut_rows.join(parts, [key, "_part"], how).drop("_part")
+
+
+def _stars(links: DataFrame, large: bool) -> DataFrame:
+    """One step: every node's neighbours are linked to the least node around it."""
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         both = both.union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    joined = both.join(least, "u")
+    joined = spread_join(both, least, "u", "v")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:

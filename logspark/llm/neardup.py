@@ -3,43 +3,47 @@
 A document's set: the hashes of its different runs of `width` words (A-Z
 lower-cased; the whole sequence if it has fewer words; none without words).
 Documents with equal sets are one class; only classes are joined.  A class
-has COORDS min-hash values.
-
-Trees (`nodes`): at the root of each of TREES independent trees one or two
-coordinates are chosen (1/similarity on average), and a class goes to the
-node of each chosen coordinate's value.  Nodes are counted first; those with
-more than SMALL classes aren't gathered but branch again, row by row, by
-coordinates chosen from the node's own number, DEPTH times at most.  Two classes with resemblance J meet again at a level with
-expectation J / similarity, so one tree finds a pair with a probability that
-falls slowly with the depth; TREES independent ones miss a pair at the
-threshold less than once in 10,000.
-
-Nodes that are small are compared exhaustively, by the agreement of their
-signatures; of the pairs that agree in NEAR of the coordinates a spanning
-forest is kept.  A node that is still large at the last level holds classes
-that resemble each other: it is dealt out in pieces, and a piece is compared
-in runs of SMALL and with leaders, of which all pieces of a node share some
-(`dense`).  The forests' components (`groups`) hold every link that a tree
-has found.
-
-Exact links (`confirm`): inside each group full sets are compared.  A
-group's classes are cut into blocks of about BLOCK_SHINGLES shingles; a
-block is compared in itself and with the group's hubs (the classes with
-most copies).  In groups of several blocks, classes outside the group's
-largest component are then compared with all blocks.  So every pair of a
-group in different components has been compared, and no link that joins two
-components is lost; links inside a component aren't listed.
-
-Hot groups: equal sets collapse in a partial aggregate; a group's work is
-split by blocks.  No task gets a whole group, and nothing but counts comes
-to the driver.  Broadcast: the ids of documents in groups, only while they
-are fewer than BROADCAST_ROWS; beyond that the join shuffles.
-
-Classes are numbered by a 64-bit hash of the set.  Null texts and texts
-without words are linked with nothing.  Rows with a null id join as any
-other, but give no component its number; a component without any id has a
-null number and its rows are kept.  Repeated rows are in one class, all rows
-with the least id are kept.  Texts are read whole.
+has COORDS min-hash values, kept as a signature of one byte each.
+
+Trees: at the root of each of TREES independent trees one or two coordinates
+are chosen (1/similarity on average), and a class goes to the node of each
+chosen coordinate's value.  Nodes are counted first; small ones (SMALL classes
+at most) are compared exhaustively by their signatures: pairs that agree in
+NEAR of the coordinates are candidates.  All of a node's candidates are
+given out where they are few; of a dense node only the best ones, at first
+(`compare`).  A node that is too large is first dealt out in pieces with some
+classes in common (`pieces`), which finds the links of large groups of copies
+without going down the tree.
+
+Links (`confirm`): candidates are compared on full sets; only those that pass
+are links.  Components of links are the groups, so what merely looks alike
+is never grouped.
+
+What the first look left out (`reexamine`): in dense nodes, all candidates
+between different components are confirmed: two best ones of each class, twice,
+then all.  In large nodes, classes outside the node's largest component are
+compared with all others if they are few; else the node branches again, row
+by row, by coordinates chosen from its own number, and its children are
+treated alike.  After LEVELS a node is compared block by block, exhaustively,
+whatever its size.  So every pair of classes that a tree brings together and
+whose signatures agree is either in one component or has been compared.
+
+Recall: two classes at the threshold meet in a root of one tree with
+probability 0.8; signatures of pairs at the threshold fall below NEAR
+in about 1 of 4,000.  README.md has the measured recall.
+
+Hot groups: equal sets collapse in a partial aggregate; no node, piece or
+component is gathered in one task, and joins on a class or component cut its
+rows into parts (`spread_join`).  Nothing but counts comes to the driver.
+Broadcast: the ids of documents in candidates, and the numbers of large nodes,
+only while they are fewer than BROADCAST_ROWS; beyond that the join shuffles.
+
+Classes are numbered by a 64-bit hash of the set.  A task holds the full sets
+of two documents at a time.  Null texts and texts without words are linked
+with nothing.  Rows with a null id join as any other, but give no component
+its number; a component without any id has a null number and its rows are
+kept, and classes of which no row has an id stay apart.  Repeated rows are in
+one class, all rows with the least id are kept.  Texts are read whole.
 """
 
 from __future__ import annotations
@@ -48,24 +52,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logspark.llm import common
-from logspark.llm.components import components
+from logspark.llm.components import components, spread_join
 from logspark.llm.wordscan import Words, mix
 
 WIDTH = 5
 SIMILARITY = 80
-COORDS = 64
+COORDS = 192
 TREES = 10
-DEPTH = 4
+LEVELS = 16
 SMALL = 128
-NEAR = 0.58
-PIECE = 2000
+NEAR = 0.70
 HUB_ROWS = 16
-BLOCK_SHINGLES = 1_000_000
-HUBS = 4
 BROADCAST_ROWS = 500_000
 
 _RNG = np.random.default_rng(6)
@@ -104,6 +105,11 @@ def shingle_sets(texts: list[bytes | None], width: int) -> tuple[np.ndarray, np.
     return value, np.searchsorted(owner, np.arange(n + 1))
 
 
+def _class_of(value: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """One number for each set of hashes that begins at `at`."""
+    return mix(np.add.reduceat(mix(value ^ np.uint64(0x5DEECE66D)), at) + size.astype(np.uint64))
+
+
 def scan(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, n_shingles, cls, sig, roots): cls null without shingles; sig a byte of each min-hash value; roots the numbers of its root nodes."""
 
@@ -118,7 +124,7 @@ def scan(docs: DataFrame, width: int) -> DataFrame:
             if len(full):
                 for c in range(COORDS):
                     least[:, c] = np.minimum.reduceat((value * _A[c] + _B[c]) >> np.uint64(32), at)
-                cls = mix(np.add.reduceat(mix(value ^ np.uint64(0x5DEECE66D)), at) + size[full].astype(np.uint64))
+                cls = _class_of(value, at, size[full])
             roots = np.column_stack([mix(least[:, c] + (np.uint64(t * COORDS + c + 1) << np.uint64(32))) for t, c in ROOTS]).astype(np.int64)
             sig = mix(least).astype(np.uint8)
             of = {int(k): j for j, k in enumerate(full)}
@@ -135,10 +141,10 @@ def scan(docs: DataFrame, width: int) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, cls long, sig binary, roots array<long>")
+    return common.arrow(docs.select("doc_id", F.col("text").cast("string").alias("text")), run, f"doc_id {kind}, n_shingles long, cls long, sig binary, roots array<long>")
 
 
-def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool, bool]]:
+def _runs(batches: Iterator[pa.RecordBatch], most: int, width: int = COORDS) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool, bool]]:
     """(node, classes, signatures, first part, last part) of sorted rows; parts have `most` rows at most, singles are left out."""
     held: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
     open_node: int | None = None  # a node of which a part has been given out
@@ -173,7 +179,7 @@ def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, n
         if not batch.num_rows:
             continue
         node, cls = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, COORDS)
+        sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, width)
         if held is not None:
             node, cls, sig = np.concatenate([held[0], node]), np.concatenate([held[1], cls]), np.vstack([held[2], sig])
         yield from parts(node, cls, sig, False)
@@ -181,44 +187,124 @@ def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, n
         yield from parts(*held, True)
 
 
-def _forest(cls: np.ndarray, near: np.ndarray) -> list[tuple[int, int]]:
-    """Links that span the components of a symmetric matrix, each to its component's first row."""
-    out, free = [], np.ones(len(cls), bool)
-    for k in range(len(cls)):
-        if not free[k]:
-            continue
+def _tree(agree: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """A largest spanning forest of the pairs that agree in `least` or more; agree has -1 on its diagonal."""
+    n = len(agree)
+    best, source, free = np.full(n, -1), np.zeros(n, np.int64), np.ones(n, bool)
+    out = []
+    for _ in range(n):
+        k = int(np.where(free, best, -2).argmax())
+        if best[k] >= least:
+            out.append((int(source[k]), k))
         free[k] = False
-        front = [k]
-        while front:
-            found = np.flatnonzero(near[front].any(0) & free)
-            free[found] = False
-            out += [(int(cls[k]), int(cls[j])) for j in found]
-            front = found.tolist()
+        closer = agree[k] > best
+        best[closer], source[closer] = agree[k][closer], k
+    return out
+
+
+def _agree(sig: np.ndarray) -> np.ndarray:
+    out = np.empty((len(sig), len(sig)), np.int64)
+    for k in range(0, len(sig), 64):  # bounded blocks
+        out[k : k + 64] = (sig[k : k + 64, None, :] == sig[None, :, :]).sum(2)
+    np.fill_diagonal(out, -1)
     return out
 
 
-def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a[:, None, :] == b[None, :, :]).sum(2) >= NEAR * COORDS
+def _best(agree: np.ndarray, allowed: np.ndarray, most: int) -> np.ndarray:
+    """Pairs (row, other): each row's `most` best allowed others."""
+    masked = np.where(allowed, agree, -2)
+    order = np.argsort(-masked, axis=1, kind="stable")[:, :most]
+    rows = np.repeat(np.arange(len(agree)), order.shape[1])
+    pairs = np.column_stack([rows, order.ravel()])
+    return pairs[allowed[pairs[:, 0], pairs[:, 1]]]
+
+
+class _Pairs:
+    """Collects pairs of classes, and gives out each pair once in a while, smaller class first."""
+
+    def __init__(self):
+        self.held: list[np.ndarray] = []
+        self.size = 0
+
+    def put(self, cls: np.ndarray, pairs: np.ndarray) -> None:
+        if len(pairs):
+            self.held.append(np.sort(cls[pairs], axis=1))
+            self.size += len(pairs)
 
+    def full(self) -> bool:
+        return self.size > 200_000
 
-def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    pair = np.array(pairs, np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+    def give(self) -> np.ndarray:
+        pairs = np.unique(np.concatenate(self.held), axis=0) if self.held else np.zeros((0, 2), np.int64)
+        self.held, self.size = [], 0
+        return pairs
+
+
+_COMPARED = "node long, a long, b long, sig binary"
+
+
+def _compared(pairs: np.ndarray, again: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Rows of `compare`: pairs, and the rows (node, class, signature) of nodes to look at again."""
+    node = pa.array([None] * len(pairs) + [k for k, cls, _ in again for _ in cls], pa.int64())
+    a = np.concatenate([pairs[:, 0], *(cls for _, cls, _ in again)])
+    b = pa.array(pairs[:, 1].tolist() + [None] * sum(len(cls) for _, cls, _ in again), pa.int64())
+    sig = pa.array([None] * len(pairs) + [row.tobytes() for _, _, rows in again for row in rows], pa.binary())
+    return pa.RecordBatch.from_arrays([node, pa.array(a, pa.int64()), b, sig], names=["node", "a", "b", "sig"])
 
 
 def compare(nodes: DataFrame) -> DataFrame:
-    """(a, b): links that span the near classes of each node.  Nodes have SMALL classes at most."""
+    """(node, a, b, sig): candidates (a, b), and the rows (node, a, sig) of dense nodes, whose candidates aren't all given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, again = _Pairs(), []
+        for node, cls, sig, _, _ in _runs(batches, 4 * SMALL):
+            agree = _agree(sig)
+            near = agree >= NEAR * COORDS
+            if not near.any():
+                continue
+            found = np.argwhere(np.triu(near))
+            if len(found) > 2 * len(cls):
+                found = np.concatenate([np.array(_tree(agree, NEAR * COORDS)).reshape(-1, 2), _best(agree, near, 2)])
+                rows = near.any(1)
+                again.append((node, cls[rows], sig[rows]))
+            pairs.put(cls, found)
+            if pairs.full() or len(again) > 200:
+                yield _compared(pairs.give(), again)
+                again = []
+        yield _compared(pairs.give(), again)
+
+    return common.arrow(nodes.select("node", "cls", "sig").repartition("node").sortWithinPartitions("node", "cls"), run, _COMPARED)
+
+
+def across(nodes: DataFrame, most: int | None) -> DataFrame:
+    """(a, b): candidates of nodes (node, cls, sig, root) between different roots; of each class the `most` best, or all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        links: list[tuple[int, int]] = []
-        for _, cls, sig, _, _ in _runs(batches, SMALL):
-            links += _forest(cls, _agree(sig, sig))
-            if len(links) > 50_000:
-                yield _links(links)
-                links.clear()
-        yield _links(links)
+        pairs = _Pairs()
 
-    return nodes.repartition("node").sortWithinPartitions("node", "cls").mapInArrow(run, "a long, b long")
+        def batch_of(p: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+
+        def with_root() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                root = batch.column(3).to_numpy().astype("<i8").view(np.uint8).reshape(-1, 8)
+                sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, COORDS)
+                both = np.concatenate([sig, root], axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in both], pa.binary())], names=["node", "cls", "sig"])
+
+        for _, cls, both, _, _ in _runs(with_root(), 1 << 30, COORDS + 8):
+            root = np.ascontiguousarray(both[:, COORDS:]).view("<i8")[:, 0]
+            if (root == root[0]).all():
+                continue
+            agree = _agree(np.ascontiguousarray(both[:, :COORDS]))
+            near = (agree >= NEAR * COORDS) & (root[:, None] != root[None, :])
+            pairs.put(cls, np.argwhere(np.triu(near)) if most is None else _best(agree, near, most))
+            if pairs.full():
+                yield batch_of(pairs.give())
+        yield batch_of(pairs.give())
+
+    rows = nodes.select("node", "cls", "sig", "root").repartition("node").sortWithinPartitions("node", "cls")
+    return common.arrow(rows, run, "a long, b long").distinct()
 
 
 def descend(nodes: DataFrame) -> DataFrame:
@@ -237,121 +323,60 @@ def descend(nodes: DataFrame) -> DataFrame:
                 if len(rows):
                     yield pa.RecordBatch.from_arrays([pa.array(child.astype(np.int64)), batch.column(1).take(pa.array(rows)), batch.column(2).take(pa.array(rows))], names=["node", "cls", "sig"])
 
-    return nodes.select("node", "cls", "sig").mapInArrow(run, "node long, cls long, sig binary")
+    return common.arrow(nodes.select("node", "cls", "sig"), run, "node long, cls long, sig binary")
 
 
-def dense(nodes: DataFrame) -> DataFrame:
-    """(a, b): links inside nodes (node, n, cls, sig) that are still large.
+def _sized(nodes: DataFrame) -> tuple[DataFrame, int]:
+    """nodes with n, the size of the large ones (null for others), and how many are large: counted with partial sums."""
+    large = common.cut(nodes.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > SMALL))
+    n_large = large.count()
+    return nodes.join(F.broadcast(large) if n_large <= BROADCAST_ROWS else large, "node", "left"), n_large
 
-    A node is dealt out in pieces of about PIECE classes, each with the node's hubs (some HUB_ROWS classes chosen by
-    hash) at its head.  A piece is compared in runs of SMALL and with its leaders: the hubs, and classes near none.
-    """
-    pieces = F.greatest(F.lit(1), F.ceil(F.col("n") / PIECE)).cast("int")
-    is_hub = F.pmod(F.xxhash64("cls", F.lit(1)), F.greatest(F.lit(1), F.floor(F.col("n") / HUB_ROWS))) == 0
-    own = F.array(F.pmod(F.xxhash64("cls"), pieces).cast("int"))
-    places = F.when(is_hub, F.sequence(F.lit(0), pieces - 1)).otherwise(own)
-    rows = nodes.select("node", "cls", "sig", is_hub.alias("hub"), F.explode(places).alias("piece")).select(F.xxhash64("node", "piece").alias("node"), "cls", "sig", "hub")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        links: list[tuple[int, int]] = []
-        head, head_sig = np.zeros(0, np.int64), np.zeros((0, COORDS), np.uint8)
-        for _, cls, sig, first, _ in _runs(batches, SMALL):
-            if first:
-                head, head_sig = cls[:0], sig[:0]
-            both, both_sig = np.concatenate([head, cls]), np.vstack([head_sig, sig])
-            # Leaders stand first, so a link goes to the first leader of its component: the same in all runs and trees.
-            found = _forest(both, _agree(both_sig, both_sig))
-            links += found
-            tied = {b for _, b in found}
-            new = np.array([k for k in range(len(cls)) if (first and k < HUB_ROWS) or int(cls[k]) not in tied], np.int64)
-            head, head_sig = np.concatenate([head, cls[new]]), np.vstack([head_sig, sig[new]])
-            if len(links) > 50_000:
-                yield _links(links)
-                links.clear()
-        yield _links(links)
-
-    return rows.repartition("node").sortWithinPartitions("node", F.desc("hub"), "cls").select("node", "cls", "sig").mapInArrow(run, "a long, b long")
-
-
-def groups(classes: DataFrame) -> DataFrame:
-    """(cls, grp) of the classes that some tree has put beside a near one; grp is the least class of its group."""
-    nodes = classes.select(F.explode("roots").alias("node"), "cls", "sig")
-    found: DataFrame | None = None
-    for level in range(DEPTH + 1):
-        # Sizes first, by a count with partial sums: only small nodes are ever gathered.
-        large = common.cut(nodes.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > SMALL))
-        n_large = large.count()
-        marked = nodes.join(F.broadcast(large) if n_large <= BROADCAST_ROWS else large, "node", "left")
-        links = compare(marked.where(F.col("n").isNull()).select("node", "cls", "sig"))
-        found = links if found is None else found.union(links)
-        if not n_large:
-            break
-        rest = marked.where(F.col("n").isNotNull())
-        if level == DEPTH:
-            found = found.union(dense(rest))
-        else:
-            nodes = common.cut(descend(rest))
-    return components(found).select(F.col("node").alias("cls"), F.col("root").alias("grp"))
-
-
-class Sets:
-    """Full sets of some classes, and which of them are linked."""
-
-    def __init__(self, sets: list[np.ndarray], similarity: int):
-        self.size = np.fromiter(map(len, sets), np.int64, len(sets))
-        self.starts = np.concatenate(([0], np.cumsum(self.size)[:-1]))
-        _, self.codes = np.unique(np.concatenate(sets), return_inverse=True)
-        self.flag = np.zeros(self.codes.max() + 1, bool)
-        self.similarity = similarity
-
-    def linked(self, k: int) -> np.ndarray:
-        own = self.codes[self.starts[k] : self.starts[k] + self.size[k]]
-        self.flag[own] = True
-        both = np.add.reduceat(self.flag[self.codes].astype(np.int64), self.starts)
-        self.flag[own] = False
-        return 100 * both >= self.similarity * (self.size + self.size[k] - both)
-
-    def hub(self) -> int:
-        often = np.bincount(self.codes)
-        return int((np.add.reduceat(often[self.codes], self.starts) / self.size).argmax())
-
-
-def exact_components(sets: list[np.ndarray], similarity: int) -> np.ndarray:
-    """A label for each set; sets with one label are joined by links.  Every pair in different components has been compared."""
-    n = len(sets)
-    data, label, done = Sets(sets, similarity), np.arange(n), np.zeros(n, bool)
-    k = data.hub()
-    while True:
-        done[k] = True
-        near = np.unique(label[data.linked(k)])
-        label[np.isin(label, near)] = near[0]
-        largest = np.bincount(label, minlength=n).argmax()
-        left = np.flatnonzero(~done & (label != largest))
-        if not len(left):
-            return label
-        k = int(left[0])
-
-
-def _each_group(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[dict]]:
-    """Rows with equal first `keys` columns, sorted input."""
-    held, last = [], None
-    for batch in batches:
-        for row in batch.to_pylist():
-            key = tuple(list(row.values())[:keys])
-            if key != last and held:
-                yield held
-                held = []
-            last = key
-            held.append(row)
-    if held:
-        yield held
+def pieces(large: DataFrame) -> DataFrame:
+    """(node, cls, sig): large nodes (with n) dealt out by hash, some HUB_ROWS classes of a node in all its pieces."""
+    many = F.ceil(F.col("n") / (SMALL - HUB_ROWS)).cast("int")
+    is_hub = F.pmod(F.xxhash64("cls", "node"), F.greatest(F.lit(1), F.floor(F.col("n") / HUB_ROWS))) == 0
+    own = F.array(F.pmod(F.xxhash64("node", "cls"), many).cast("int"))
+    places = F.when(is_hub, F.sequence(F.lit(0), many - 1)).otherwise(own)
+    return large.select("node", "cls", "sig", F.explode(places).alias("piece")).select(F.xxhash64("node", "piece").alias("node"), "cls", "sig")
 
 
-def confirm(members: DataFrame, docs: DataFrame, width: int, similarity: int) -> DataFrame:
-    """Links (a, b) between classes that span the components of all exact links inside groups.
+def reexamine(large: DataFrame, root: DataFrame) -> DataFrame:
+    """(node, cls, sig): small nodes in which all pairs of large nodes (with n) that may matter stand together.
 
-    members: (cls, grp, id of one document of the class, copies, n_shingles).
+    root (node, root): the components so far; what is in one component needs no comparison.
     """
+    out: DataFrame | None = None
+    rows = large
+    for level in range(LEVELS + 1):
+        named = common.cut(rows.join(root.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
+        by_root = named.groupBy("node", "root").agg(F.count("*").alias("k"))
+        tops = by_root.groupBy("node").agg(F.max_by("root", F.struct("k", "root")).alias("top"), (F.sum("k") - F.max("k")).alias("others"))
+        judged = spread_join(named, tops.where("others > 0"), "node", "cls")
+        block = F.pmod(F.xxhash64("node", "cls"), F.ceil(F.col("n") / SMALL)).cast("int")
+        all_blocks = F.sequence(F.lit(0), F.ceil(F.col("n") / SMALL).cast("int") - 1)
+        # Few outside the largest component: they go to every block, and no two of the others need to meet.
+        few = judged.where(F.col("others") <= SMALL)
+        places = F.when(F.col("root") != F.col("top"), all_blocks).otherwise(F.array(block))
+        found = few.select("node", "cls", "sig", F.explode(places).alias("x")).select(F.xxhash64("node", "x").alias("node"), "cls", "sig")
+        out = found if out is None else out.union(found)
+        rest = judged.where(F.col("others") > SMALL).select("node", "cls", "sig", "n")
+        if level == LEVELS:
+            pair = rest.select("node", "cls", "sig", block.alias("x"), F.explode(all_blocks).alias("y"))
+            return out.union(pair.select(F.xxhash64("node", F.least("x", "y"), F.greatest("x", "y"), F.lit(2)).alias("node"), "cls", "sig"))
+        if rest.isEmpty():
+            return out
+        children, n_large = _sized(common.cut(descend(rest)))
+        out = out.union(children.where(F.col("n").isNull()).select("node", "cls", "sig"))
+        if not n_large:
+            return out
+        rows = children.where(F.col("n").isNotNull())
+    return out
+
+
+def full_sets(members: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(cls, items): the sets of the classes in members (cls, rep), read again from the document rep of each."""
     ids = members.select(F.col("rep").alias("doc_id"), "cls")
     few = members.count() <= BROADCAST_ROWS
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids) if few else ids, "doc_id")
@@ -359,83 +384,90 @@ def confirm(members: DataFrame, docs: DataFrame, width: int, similarity: int) ->
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw in common.chunks(batches):
             value, at = shingle_sets(raw, width)
-            rows = [value[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-            cls = mix(np.add.reduceat(mix(value ^ np.uint64(0x5DEECE66D)), at[:-1][np.diff(at) > 0]) + np.diff(at)[np.diff(at) > 0].astype(np.uint64)).astype(np.int64) if len(value) else np.zeros(0, np.int64)
-            of = np.full(len(rows), 0, np.int64)
-            of[np.diff(at) > 0] = cls
-            ours = (of == batch.column(1).to_numpy()) & (np.diff(at) > 0)  # an id may stand at several texts
-            yield pa.RecordBatch.from_arrays([pa.array(of[ours]), pa.array([r for r, o in zip(rows, ours, strict=True) if o], pa.binary())], names=["cls", "items"])
-
-    whole = texts.select("text", "cls").mapInArrow(sets, "cls long, items binary").dropDuplicates(["cls"])
-    size = members.groupBy("grp").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    sized = members.join(size, "grp")
-    block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    full = common.cut(sized.select("grp", "cls", "copies", "blocks", block.alias("block")).join(whole, "cls"))
-    large = full.where("blocks > 1")
-    several = not large.isEmpty()
-    rows = full.select("grp", "block", "cls", "items")
-    if several:
-        place = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("copies"), "cls"))
-        hubs = large.select("grp", "cls", "copies", "blocks", "items").withColumn("place", place).where(F.col("place") <= HUBS)
-        rows = rows.union(hubs.select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "cls", "items")).dropDuplicates(["grp", "block", "cls"])
-
-    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _each_group(batches, 2):
-            cls = np.array([r["cls"] for r in group])
-            label = exact_components([np.frombuffer(r["items"], np.uint64) for r in group], similarity)
-            for one in np.unique(label):
-                own = np.sort(cls[label == one])
-                if len(own) > 1:
-                    yield pa.RecordBatch.from_arrays([pa.array(own[1:]), pa.array(np.full(len(own) - 1, own[0]))], names=["a", "b"])
-
-    links = common.cut(rows.repartition("grp", "block").sortWithinPartitions("grp", "block").mapInArrow(inside, "a long, b long"))
-    if not several:
-        return links
-    # Large groups: what is outside the largest component is compared with all blocks.
-    root = components(links)
-    now = large.select("grp", "cls", "blocks", "block", "items").join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    sizes = now.groupBy("grp", "root").agg(F.count("*").alias("n"))
-    top = sizes.groupBy("grp").agg(F.max_by("root", F.struct("n", "root")).alias("top"))
-    now = common.cut(now.join(top, "grp").withColumn("outside", F.col("root") != F.col("top")))
-    outside = now.where("outside")
-    batches_of = outside.groupBy("grp").agg(F.ceil(F.count("*") / 500).cast("int").alias("sides"))
-    asked = outside.join(batches_of, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("cls"), F.col("sides")).cast("int").alias("side"), F.lit(True).alias("asks"), "cls", "root", "items")
-    given = now.join(batches_of, "grp").select("grp", "block", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("side"), F.lit(False).alias("asks"), "cls", "root", "items")
-
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _each_group(batches, 3):
-            asks = np.array([r["asks"] for r in group])
-            if not asks.any() or asks.all():
-                continue
-            cls, roots = np.array([r["cls"] for r in group]), np.array([r["root"] for r in group])
-            data = Sets([np.frombuffer(r["items"], np.uint64) for r in group], similarity)
-            a, b = [], []
-            for k in np.flatnonzero(asks):
-                hit = np.flatnonzero(data.linked(k) & ~asks & (roots != roots[k]))
-                _, first = np.unique(roots[hit], return_index=True)  # one link to each other component joins them
-                a += [int(cls[k])] * len(first)
-                b += [int(x) for x in cls[hit[first]]]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            size = np.diff(at)
+            cls = np.zeros(len(size), np.int64)
+            if len(value):
+                cls[size > 0] = _class_of(value, at[:-1][size > 0], size[size > 0]).astype(np.int64)
+            ours = np.flatnonzero((cls == batch.column(1).to_numpy()) & (size > 0))  # an id may stand at several texts
+            yield pa.RecordBatch.from_arrays([pa.array(cls[ours]), pa.array([value[at[k] : at[k + 1]].tobytes() for k in ours], pa.binary())], names=["cls", "items"])
+
+    return common.arrow(texts.select("text", "cls"), sets, "cls long, items binary").dropDuplicates(["cls"])
+
 
-    pairs = asked.union(given).repartition("grp", "block", "side").sortWithinPartitions("grp", "block", "side").mapInArrow(across, "a long, b long")
-    return links.union(common.cut(pairs))
+def confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            last, known = None, np.zeros(0, np.uint64)
+            for k in range(batch.num_rows):
+                own = np.frombuffer(batch.column(2)[k].as_py(), np.uint64)
+                if batch.column(1)[k].as_py() != last:
+                    last, known = batch.column(1)[k].as_py(), np.frombuffer(batch.column(3)[k].as_py(), np.uint64)
+                few, many = (own, known) if len(own) <= len(known) else (known, own)
+                if 100 * len(few) < similarity * len(many):
+                    continue
+                at = np.searchsorted(many, few)
+                both = int((many[np.minimum(at, len(many) - 1)] == few).sum())
+                if 100 * both >= similarity * (len(own) + len(known) - both):
+                    keep.append(k)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], names=["a", "b"])
+
+    first = pairs.join(sets.select(F.col("cls").alias("a"), F.col("items").alias("x")), "a")
+    both = first.join(sets.select(F.col("cls").alias("b"), F.col("items").alias("y")), "b")
+    return common.arrow(both.select("a", "b", "x", "y"), run, "a long, b long")
+
+
+def links(classes: DataFrame, docs: DataFrame, width: int, similarity: int) -> DataFrame:
+    """(node, root) of the classes that are linked with another; see the module's text."""
+    nodes, n_large = _sized(classes.select(F.explode("roots").alias("node"), "cls", "sig"))
+    look = nodes.where(F.col("n").isNull()).select("node", "cls", "sig")
+    if n_large:
+        look = look.union(pieces(nodes.where(F.col("n").isNotNull())))
+    seen = common.cut(compare(look))
+    tested = common.cut(seen.where(F.col("b").isNotNull()).select("a", "b").distinct())
+    dense = seen.where(F.col("b").isNull()).select("node", F.col("a").alias("cls"), "sig")
+    involved = tested.select("a").union(tested.select("b")).union(dense.select("cls"))
+    if n_large:
+        involved = involved.union(nodes.where(F.col("n").isNotNull()).select("cls"))
+    # Classes whose rows all lack an id can't be read again by id.
+    members = common.cut(classes.select("cls", "rep").where(F.col("rep").isNotNull()).join(involved.distinct().withColumnRenamed("a", "cls"), "cls", "left_semi"))
+    sets = common.cut(full_sets(members, docs, width))
+    found = common.cut(confirm(tested, sets, similarity))
+    root = components(found)
+    again = dense
+    if n_large:
+        again = again.union(reexamine(nodes.where(F.col("n").isNotNull()), root))
+    again = common.cut(again)
+    if again.isEmpty():
+        return root
+    for most in (2, 2, None):
+        named = again.join(root.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        more = common.cut(across(named, most).join(tested, ["a", "b"], "left_anti"))
+        if more.isEmpty():
+            if most is None:
+                break
+            continue
+        tested = tested.union(more)
+        new = common.cut(confirm(more, sets, similarity))
+        if not new.isEmpty():
+            found = found.union(new)
+            root = components(found)
+    return root
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs."""
     seen = common.cut(scan(docs, width))
     made = seen.where(F.col("cls").isNotNull())
-    classes = common.cut(made.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("sig").alias("sig"), F.any_value("roots").alias("roots")))
-    grouped = groups(classes)
-    members = common.cut(classes.select("cls", "rep", "copies", "n_shingles").join(grouped, "cls"))
-    # Classes whose rows all lack an id can't be read again by id; they stay apart.
-    links = confirm(members.where(F.col("rep").isNotNull()), docs, width, similarity)
-    root = components(links)
-    joined = root.join(classes.select(F.col("cls").alias("node"), "rep"), "node")
-    least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_class = joined.join(least, "root").select(F.col("node").alias("cls"), "component_id")
+    classes = common.cut(made.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("sig").alias("sig"), F.any_value("roots").alias("roots")))
+    root = links(classes, docs, width, similarity)
+    named = root.join(classes.select(F.col("cls").alias("node"), "rep"), "node")
+    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    by_class = spread_join(named, least, "root", "node").select(F.col("node").alias("cls"), "component_id")
     alone = classes.where("copies > 1").join(root.select(F.col("node").alias("cls")), "cls", "left_anti").select("cls", F.col("rep").alias("component_id"))
-    out = seen.select("doc_id", "n_shingles", "cls").join(by_class.union(alone), "cls", "left")
+    out = spread_join(seen.select("doc_id", "n_shingles", "cls"), by_class.union(alone), "cls", "doc_id", "left")
     own = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", own.alias("component_id"), (F.col("doc_id").eqNullSafe(own)).alias("kept"))
 

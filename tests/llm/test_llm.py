@@ -356,7 +356,8 @@ def test_near_duplicates(spark, table, width):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in rows.values())
 
 
-def test_large_group_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("small, levels", [(32, 0), (24, 2), (128, 16)])
+def test_large_group_in_blocks(spark, monkeypatch, small, levels):
     rng = random.Random(1)
     base = [f"w{k}" for k in range(120)]
     texts = {}
@@ -365,10 +366,9 @@ def test_large_group_in_blocks(spark, monkeypatch):
         for _ in range(rng.randint(0, 11)):
             words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
         texts[d] = " ".join(words)
-    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 5000)
-    monkeypatch.setattr(neardup, "SMALL", 32)
-    monkeypatch.setattr(neardup, "DEPTH", 1)
-    monkeypatch.setattr(neardup, "PIECE", 60)
+    monkeypatch.setattr(neardup, "SMALL", small)
+    monkeypatch.setattr(neardup, "LEVELS", levels)
+    monkeypatch.setattr(neardup, "HUB_ROWS", 4)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     rows = rows_of(neardup.near_duplicates(docs, width=2))
     want, _ = brute_components(texts, 2)
