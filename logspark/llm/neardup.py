@@ -19,14 +19,17 @@ Links (`confirm`): candidates are compared on full sets; only those that pass
 are links.  Components of links are the groups, so what merely looks alike
 is never grouped.
 
-What the first look left out (`reexamine`): in dense nodes, all candidates
-between different components are confirmed: two best ones of each class, twice,
-then all.  In large nodes, classes outside the node's largest component are
-compared with all others if they are few; else the node branches again, row
-by row, by coordinates chosen from its own number, and its children are
-treated alike.  After LEVELS a node is compared block by block, exhaustively,
-whatever its size.  So every pair of classes that a tree brings together and
-whose signatures agree is either in one component or has been compared.
+What the first look left out (`reexamine`, `across`): in dense nodes, all
+candidates between different components.  In large nodes, classes outside the
+node's largest component are compared with all others if they are few; else
+the node branches again, row by row, by coordinates chosen from its own
+number, and its children are treated alike.  After LEVELS a node is compared
+block by block, exhaustively, whatever its size.  Where a node has few such
+candidates they are confirmed one by one; where it has many, its classes' sets
+are brought to it and compared there (`within`).  So every pair of classes that
+a tree brings together and whose signatures agree is either in one component
+or has been compared, and no step makes more rows than classes times trees,
+but for that last resort.
 
 Recall: two classes at the threshold meet in a root of one tree with
 probability 0.8; signatures of pairs at the threshold fall below NEAR
@@ -49,6 +52,7 @@ one class, all rows with the least id are kept.  Texts are read whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -67,8 +71,12 @@ LEVELS = 16
 SMALL = 128
 NEAR = 0.70
 HUB_ROWS = 16
+#: Bytes of sets that a node may bring together; candidates of one with more are confirmed pair by pair.
+NODE_BYTES = 64 << 20
 BROADCAST_ROWS = 500_000
 
+#: Bytes of a signature: the coordinates', and the size of the set.
+WIDE = COORDS + 4
 _RNG = np.random.default_rng(6)
 _A = _RNG.integers(1, 1 << 62, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(1, 1 << 62, COORDS, dtype=np.uint64)
@@ -126,7 +134,7 @@ def scan(docs: DataFrame, width: int) -> DataFrame:
                     least[:, c] = np.minimum.reduceat((value * _A[c] + _B[c]) >> np.uint64(32), at)
                 cls = _class_of(value, at, size[full])
             roots = np.column_stack([mix(least[:, c] + (np.uint64(t * COORDS + c + 1) << np.uint64(32))) for t, c in ROOTS]).astype(np.int64)
-            sig = mix(least).astype(np.uint8)
+            sig = np.concatenate([mix(least).astype(np.uint8), size[full].astype("<u4").view(np.uint8).reshape(-1, 4)], axis=1)
             of = {int(k): j for j, k in enumerate(full)}
             rows = [of.get(k) for k in range(len(texts))]
             yield pa.RecordBatch.from_arrays(
@@ -144,7 +152,7 @@ def scan(docs: DataFrame, width: int) -> DataFrame:
     return common.arrow(docs.select("doc_id", F.col("text").cast("string").alias("text")), run, f"doc_id {kind}, n_shingles long, cls long, sig binary, roots array<long>")
 
 
-def _runs(batches: Iterator[pa.RecordBatch], most: int, width: int = COORDS) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool, bool]]:
+def _runs(batches: Iterator[pa.RecordBatch], most: int, width: int = WIDE) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool, bool]]:
     """(node, classes, signatures, first part, last part) of sorted rows; parts have `most` rows at most, singles are left out."""
     held: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
     open_node: int | None = None  # a node of which a part has been given out
@@ -202,10 +210,14 @@ def _tree(agree: np.ndarray, least: float) -> list[tuple[int, int]]:
     return out
 
 
-def _agree(sig: np.ndarray) -> np.ndarray:
+def _agree(sig: np.ndarray, similarity: int) -> np.ndarray:
+    """In how many coordinates each two rows agree; -1 on the diagonal and where the sizes alone say no."""
+    size = np.ascontiguousarray(sig[:, COORDS:WIDE]).view("<u4")[:, 0].astype(np.int64)
+    sig = np.ascontiguousarray(sig[:, :COORDS])
     out = np.empty((len(sig), len(sig)), np.int64)
     for k in range(0, len(sig), 64):  # bounded blocks
         out[k : k + 64] = (sig[k : k + 64, None, :] == sig[None, :, :]).sum(2)
+    out[100 * np.minimum.outer(size, size) < similarity * np.maximum.outer(size, size)] = -1
     np.fill_diagonal(out, -1)
     return out
 
@@ -252,13 +264,13 @@ def _compared(pairs: np.ndarray, again: list[tuple[int, np.ndarray, np.ndarray]]
     return pa.RecordBatch.from_arrays([node, pa.array(a, pa.int64()), b, sig], names=["node", "a", "b", "sig"])
 
 
-def compare(nodes: DataFrame) -> DataFrame:
+def compare(nodes: DataFrame, similarity: int) -> DataFrame:
     """(node, a, b, sig): candidates (a, b), and the rows (node, a, sig) of dense nodes, whose candidates aren't all given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, again = _Pairs(), []
         for node, cls, sig, _, _ in _runs(batches, 4 * SMALL):
-            agree = _agree(sig)
+            agree = _agree(sig, similarity)
             near = agree >= NEAR * COORDS
             if not near.any():
                 continue
@@ -276,35 +288,84 @@ def compare(nodes: DataFrame) -> DataFrame:
     return common.arrow(nodes.select("node", "cls", "sig").repartition("node").sortWithinPartitions("node", "cls"), run, _COMPARED)
 
 
-def across(nodes: DataFrame, most: int | None) -> DataFrame:
-    """(a, b): candidates of nodes (node, cls, sig, root) between different roots; of each class the `most` best, or all."""
+def across(nodes: DataFrame, similarity: int) -> DataFrame:
+    """(node, a, b): candidates (a, b) of nodes (node, cls, sig, root) between different roots, or, of nodes with many, their classes and roots."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = _Pairs()
+    def with_root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            root = batch.column(3).to_numpy().astype("<i8").view(np.uint8).reshape(-1, 8)
+            both = np.concatenate([np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, WIDE), root], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in both], pa.binary())], names=["node", "cls", "sig"])
 
-        def batch_of(p: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, many = _Pairs(), []
 
-        def with_root() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                root = batch.column(3).to_numpy().astype("<i8").view(np.uint8).reshape(-1, 8)
-                sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, COORDS)
-                both = np.concatenate([sig, root], axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in both], pa.binary())], names=["node", "cls", "sig"])
+        def given() -> pa.RecordBatch:
+            p = pairs.give()
+            node = pa.array([None] * len(p) + [k for k, cls, _ in many for _ in cls], pa.int64())
+            return pa.RecordBatch.from_arrays([node, pa.array(np.concatenate([p[:, 0], *(c for _, c, _ in many)]), pa.int64()), pa.array(np.concatenate([p[:, 1], *(x for _, _, x in many)]), pa.int64())], names=["node", "a", "b"])
 
-        for _, cls, both, _, _ in _runs(with_root(), 1 << 30, COORDS + 8):
-            root = np.ascontiguousarray(both[:, COORDS:]).view("<i8")[:, 0]
+        for node, cls, both, _, _ in _runs(with_root(batches), 1 << 30, WIDE + 8):
+            root = np.ascontiguousarray(both[:, WIDE:]).view("<i8")[:, 0]
             if (root == root[0]).all():
                 continue
-            agree = _agree(np.ascontiguousarray(both[:, :COORDS]))
-            near = (agree >= NEAR * COORDS) & (root[:, None] != root[None, :])
-            pairs.put(cls, np.argwhere(np.triu(near)) if most is None else _best(agree, near, most))
-            if pairs.full():
-                yield batch_of(pairs.give())
-        yield batch_of(pairs.give())
+            near = (_agree(both[:, :WIDE], similarity) >= NEAR * COORDS) & (root[:, None] != root[None, :])
+            rows = near.any(1)
+            found = np.argwhere(np.triu(near))
+            if len(found) > 2 * rows.sum() and 8 * np.ascontiguousarray(both[rows, COORDS:WIDE]).view("<u4").sum(dtype=np.int64) <= NODE_BYTES:
+                many.append((node, cls[rows], root[rows]))
+            else:
+                pairs.put(cls, found)
+            if pairs.full() or len(many) > 200:
+                yield given()
+                many.clear()
+        yield given()
 
     rows = nodes.select("node", "cls", "sig", "root").repartition("node").sortWithinPartitions("node", "cls")
-    return common.arrow(rows, run, "a long, b long").distinct()
+    return common.arrow(rows, run, "node long, a long, b long")
+
+
+def within(rows: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """(a, b): links on full sets that join the roots (b) of the classes (a) of each node."""
+
+    def joined(cls: np.ndarray, root: np.ndarray, items: list[np.ndarray]) -> list[tuple[int, int]]:
+        size = np.fromiter(map(len, items), np.int64, len(items))
+        starts = np.concatenate(([0], np.cumsum(size)[:-1]))
+        _, codes = np.unique(np.concatenate(items), return_inverse=True)
+        flag, out = np.zeros(int(codes.max()) + 1, bool), []
+        for k in range(len(cls)):  # each class with those after it that aren't joined to it yet
+            if (root[k:] == root[k]).all():
+                continue
+            own = codes[starts[k] : starts[k] + size[k]]
+            flag[own] = True
+            both = np.add.reduceat(flag[codes[starts[k] :]].astype(np.int64), starts[k:] - starts[k])
+            flag[own] = False
+            for j in k + np.flatnonzero((100 * both >= similarity * (size[k:] + size[k] - both)) & (root[k:] != root[k])):
+                if root[j] != root[k]:
+                    out.append((int(cls[k]), int(cls[j])))
+                    root[root == root[j]] = root[k]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, bytes]] = []
+        last = None
+
+        def given() -> pa.RecordBatch:
+            out = joined(np.array([h[0] for h in held]), np.array([h[1] for h in held]), [np.frombuffer(h[2], np.uint64) for h in held])
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for node, a, b, items in zip(*(batch.column(k) for k in range(4)), strict=True):
+                if node.as_py() != last and held:
+                    yield given()
+                    held = []
+                last = node.as_py()
+                held.append((a.as_py(), b.as_py(), items.as_py()))
+        if held:
+            yield given()
+
+    with_sets = rows.join(sets.select(F.col("cls").alias("a"), "items"), "a").select("node", "a", "b", "items")
+    return common.arrow(with_sets.repartition("node").sortWithinPartitions("node"), run, "a long, b long")
 
 
 def descend(nodes: DataFrame) -> DataFrame:
@@ -315,7 +376,7 @@ def descend(nodes: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             h = mix(batch.column(0).to_numpy().view(np.uint64))
-            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, COORDS)
+            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, WIDE)
             second = np.flatnonzero((h >> np.uint64(20)) % np.uint64(4) == 0)
             for rows, shift in ((np.arange(len(h)), 0), (second, 8)):
                 c = ((h[rows] >> np.uint64(shift)) % np.uint64(COORDS)).astype(np.int64)
@@ -334,11 +395,14 @@ def _sized(nodes: DataFrame) -> tuple[DataFrame, int]:
 
 
 def pieces(large: DataFrame) -> DataFrame:
-    """(node, cls, sig): large nodes (with n) dealt out by hash, some HUB_ROWS classes of a node in all its pieces."""
+    """(node, cls, sig): large nodes (with n) dealt out by the classes' hashes, some HUB_ROWS classes of a node in all its pieces.
+
+    Classes that stand together in one node's pieces do so in another's, so that their candidates are mostly the same.
+    """
+    share = lambda seed: F.shiftrightunsigned(F.xxhash64("cls", F.lit(seed)), 11) / float(1 << 53)
     many = F.ceil(F.col("n") / (SMALL - HUB_ROWS)).cast("int")
-    is_hub = F.pmod(F.xxhash64("cls", "node"), F.greatest(F.lit(1), F.floor(F.col("n") / HUB_ROWS))) == 0
-    own = F.array(F.pmod(F.xxhash64("node", "cls"), many).cast("int"))
-    places = F.when(is_hub, F.sequence(F.lit(0), many - 1)).otherwise(own)
+    own = F.array(F.floor(share(1) * many).cast("int"))
+    places = F.when(share(2) * F.col("n") < HUB_ROWS, F.sequence(F.lit(0), many - 1)).otherwise(own)
     return large.select("node", "cls", "sig", F.explode(places).alias("piece")).select(F.xxhash64("node", "piece").alias("node"), "cls", "sig")
 
 
@@ -421,40 +485,32 @@ def confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 
 def links(classes: DataFrame, docs: DataFrame, width: int, similarity: int) -> DataFrame:
     """(node, root) of the classes that are linked with another; see the module's text."""
+
+    def sets_of(*wanted: DataFrame) -> DataFrame:
+        # Classes whose rows all lack an id can't be read again by id.
+        ids = reduce(DataFrame.union, wanted).toDF("cls").distinct()
+        members = common.cut(classes.select("cls", "rep").where(F.col("rep").isNotNull()).join(ids, "cls", "left_semi"))
+        return common.cut(full_sets(members, docs, width))
+
     nodes, n_large = _sized(classes.select(F.explode("roots").alias("node"), "cls", "sig"))
     look = nodes.where(F.col("n").isNull()).select("node", "cls", "sig")
-    if n_large:
-        look = look.union(pieces(nodes.where(F.col("n").isNotNull())))
-    seen = common.cut(compare(look))
-    tested = common.cut(seen.where(F.col("b").isNotNull()).select("a", "b").distinct())
-    dense = seen.where(F.col("b").isNull()).select("node", F.col("a").alias("cls"), "sig")
-    involved = tested.select("a").union(tested.select("b")).union(dense.select("cls"))
-    if n_large:
-        involved = involved.union(nodes.where(F.col("n").isNotNull()).select("cls"))
-    # Classes whose rows all lack an id can't be read again by id.
-    members = common.cut(classes.select("cls", "rep").where(F.col("rep").isNotNull()).join(involved.distinct().withColumnRenamed("a", "cls"), "cls", "left_semi"))
-    sets = common.cut(full_sets(members, docs, width))
-    found = common.cut(confirm(tested, sets, similarity))
+    large = nodes.where(F.col("n").isNotNull())
+    seen = common.cut(compare(look.union(pieces(large)) if n_large else look, similarity))
+    first = common.cut(seen.where(F.col("b").isNotNull()).select("a", "b").distinct())
+    found = common.cut(confirm(first, sets_of(first.select("a"), first.select("b")), similarity))
     root = components(found)
-    again = dense
+    again = seen.where(F.col("b").isNull()).select("node", F.col("a").alias("cls"), "sig")
     if n_large:
-        again = again.union(reexamine(nodes.where(F.col("n").isNotNull()), root))
-    again = common.cut(again)
-    if again.isEmpty():
+        again = again.union(reexamine(large, root))
+    named = again.join(root.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    left = common.cut(across(named, similarity))
+    if left.isEmpty():
         return root
-    for most in (2, 2, None):
-        named = again.join(root.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        more = common.cut(across(named, most).join(tested, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            if most is None:
-                break
-            continue
-        tested = tested.union(more)
-        new = common.cut(confirm(more, sets, similarity))
-        if not new.isEmpty():
-            found = found.union(new)
-            root = components(found)
-    return root
+    pairs = common.cut(left.where(F.col("node").isNull()).select("a", "b").distinct().join(first, ["a", "b"], "left_anti"))
+    many = left.where(F.col("node").isNotNull())
+    sets = sets_of(pairs.select("a"), pairs.select("b"), many.select("a"))
+    new = common.cut(confirm(pairs, sets, similarity).union(within(many, sets, similarity)))
+    return root if new.isEmpty() else components(found.union(new))
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY) -> DataFrame:
