@@ -417,7 +417,7 @@ def reexamine(large: DataFrame, root: DataFrame) -> DataFrame:
         named = rows.join(root.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         by_root = named.groupBy("node", "root").agg(F.count("*").alias("k"))
         tops = by_root.groupBy("node").agg(F.max_by("root", F.struct("k", "root")).alias("top"), (F.sum("k") - F.max("k")).alias("others"))
-        judged = spread_join(named, tops.where("others > 0"), "node", "cls")
+        judged = common.cut(spread_join(named, tops.where("others > 0"), "node", "cls"))
         block = F.pmod(F.xxhash64("node", "cls"), F.ceil(F.col("n") / SMALL)).cast("int")
         all_blocks = F.sequence(F.lit(0), F.ceil(F.col("n") / SMALL).cast("int") - 1)
         # Few outside the largest component: they go to every block, and no two of the others need to meet.
