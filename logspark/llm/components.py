@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from logspark.llm.common import cut
 
-#: Parts of one key's rows in a join.
-SPREAD = 64
+#: Parts of one key's rows in a join, and the rows from which a node's links are cut into parts.
+SPREAD, HUB = 64, 100_000
 
 
 def spread_join(rows: DataFrame, side: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
@@ -22,13 +22,13 @@ def spread_join(rows: DataFrame, side: DataFrame, key: str, by: str, how: str =
     return cut_rows.join(parts, [key, "_part"], how).drop("_part")
 
 
-def _stars(links: DataFrame, large: bool) -> DataFrame:
+def _stars(links: DataFrame, large: bool, hubs: bool) -> DataFrame:
     """One step: every node's neighbours are linked to the least node around it."""
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         both = both.union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    joined = spread_join(both, least, "u", "v")
+    joined = spread_join(both, least, "u", "v") if hubs else both.join(least, "u")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
@@ -45,7 +45,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     now = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     mark = None
     for _ in range(most_rounds):
-        now = cut(_stars(_stars(now, True), False))
+        # Links end in the smaller node, where they gather.
+        hubs = (now.groupBy("b").count().agg(F.max("count")).first()[0] or 0) > HUB
+        now = cut(_stars(_stars(now, True, hubs), False, hubs))
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if (seen["n"], seen["h"]) == mark:
             break

@@ -406,7 +406,7 @@ def pieces(large: DataFrame) -> DataFrame:
     return large.select("node", "cls", "sig", F.explode(places).alias("piece")).select(F.xxhash64("node", "piece").alias("node"), "cls", "sig")
 
 
-def reexamine(large: DataFrame, root: DataFrame) -> DataFrame:
+def reexamine(large: DataFrame, n_large: int, root: DataFrame) -> DataFrame:
     """(node, cls, sig): small nodes in which all pairs of large nodes (with n) that may matter stand together.
 
     root (node, root): the components so far; what is in one component needs no comparison.
@@ -417,15 +417,18 @@ def reexamine(large: DataFrame, root: DataFrame) -> DataFrame:
         named = rows.join(root.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         by_root = named.groupBy("node", "root").agg(F.count("*").alias("k"))
         tops = by_root.groupBy("node").agg(F.max_by("root", F.struct("k", "root")).alias("top"), (F.sum("k") - F.max("k")).alias("others"))
-        judged = common.cut(spread_join(named, tops.where("others > 0"), "node", "cls"))
+        tops = tops.where("others > 0")
+        judged = common.cut(named.join(F.broadcast(tops), "node") if n_large <= BROADCAST_ROWS else spread_join(named, tops, "node", "cls"))
         block = F.pmod(F.xxhash64("node", "cls"), F.ceil(F.col("n") / SMALL)).cast("int")
         all_blocks = F.sequence(F.lit(0), F.ceil(F.col("n") / SMALL).cast("int") - 1)
-        # Few outside the largest component: they go to every block, and no two of the others need to meet.
-        few = judged.where(F.col("others") <= SMALL)
+        # Few outside the largest component: they go to every block, and no two of the others need to meet.  These are
+        # five times the node's rows at most; a node goes down the tree where that makes less of it.
+        is_few = (F.col("others") <= SMALL) | ((F.col("others") <= 4 * SMALL) & (4 * F.col("others") <= F.col("n")))
+        few = judged.where(is_few)
         places = F.when(F.col("root") != F.col("top"), all_blocks).otherwise(F.array(block))
         found = few.select("node", "cls", "sig", F.explode(places).alias("x")).select(F.xxhash64("node", "x").alias("node"), "cls", "sig")
         out = found if out is None else out.union(found)
-        rest = judged.where(F.col("others") > SMALL).select("node", "cls", "sig", "n")
+        rest = judged.where(~is_few).select("node", "cls", "sig", "n")
         if level == LEVELS:
             pair = rest.select("node", "cls", "sig", block.alias("x"), F.explode(all_blocks).alias("y"))
             return out.union(pair.select(F.xxhash64("node", F.least("x", "y"), F.greatest("x", "y"), F.lit(2)).alias("node"), "cls", "sig"))
@@ -501,7 +504,7 @@ def links(classes: DataFrame, docs: DataFrame, width: int, similarity: int) -> D
     root = components(found)
     again = seen.where(F.col("b").isNull()).select("node", F.col("a").alias("cls"), "sig")
     if n_large:
-        again = again.union(reexamine(large, root))
+        again = again.union(reexamine(large, n_large, root))
     named = again.join(root.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     left = common.cut(across(named, similarity))
     if left.isEmpty():
