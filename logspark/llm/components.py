@@ -22,6 +22,11 @@ def spread_join(rows: DataFrame, side: DataFrame, key: str, by: str, how: str =
     return cut_rows.join(parts, [key, "_part"], how).drop("_part")
 
 
+def gathered(df: DataFrame, n: int, rows: int = 50_000) -> DataFrame:
+    """df, of n rows, in fewer partitions: small tables need no task, and no shuffle file, for each partition of a large one."""
+    return df.coalesce(max(1, n // rows))
+
+
 def _stars(links: DataFrame, large: bool, hubs: bool) -> DataFrame:
     """One step: every node's neighbours are linked to the least node around it."""
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -33,7 +38,7 @@ def _stars(links: DataFrame, large: bool, hubs: bool) -> DataFrame:
         out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
+    return out.where("a <> b")
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -43,15 +48,18 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     written to the checkpoint folder, so a lost executor costs one round.
     """
     now = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    now = gathered(now, now.count())
     mark = None
     for _ in range(most_rounds):
         # Links end in the smaller node, where they gather.
         hubs = (now.groupBy("b").count().agg(F.max("count")).first()[0] or 0) > HUB
-        now = cut(_stars(_stars(now, True, hubs), False, hubs))
+        half = cut(_stars(now, True, hubs))
+        now = cut(_stars(gathered(half, half.count()), False, hubs).distinct())
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if (seen["n"], seen["h"]) == mark:
             break
         mark = (seen["n"], seen["h"])
+        now = gathered(now, mark[0])
     else:
         raise RuntimeError("the links did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

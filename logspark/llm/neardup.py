@@ -60,7 +60,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logspark.llm import common
-from logspark.llm.components import components, spread_join
+from logspark.llm.components import components, gathered, spread_join
 from logspark.llm.wordscan import Words, mix
 
 WIDTH = 5
@@ -432,9 +432,10 @@ def reexamine(large: DataFrame, n_large: int, root: DataFrame) -> DataFrame:
         if level == LEVELS:
             pair = rest.select("node", "cls", "sig", block.alias("x"), F.explode(all_blocks).alias("y"))
             return out.union(pair.select(F.xxhash64("node", F.least("x", "y"), F.greatest("x", "y"), F.lit(2)).alias("node"), "cls", "sig"))
-        if rest.isEmpty():
+        left = rest.count()
+        if not left:
             return out
-        children, n_large = _sized(common.cut(descend(rest)))
+        children, n_large = _sized(common.cut(descend(gathered(rest, left, 20_000))))
         out = out.union(children.where(F.col("n").isNull()).select("node", "cls", "sig"))
         if not n_large:
             return out
