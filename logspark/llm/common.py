@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import shutil
 import tempfile
@@ -13,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes of text that a Python task holds as one numpy batch.
-CHUNK_BYTES = 2 << 20
+#: Bytes of text that a Python task holds as one numpy batch, and of rows sent to it at a time.
+CHUNK_BYTES, SENT_BYTES = 1_000_000, 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -40,9 +41,29 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def arrow(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataFrame:
-    """df.mapInArrow with this package sent along."""
+    """df.mapInArrow with this package sent along.
+
+    Rows reach Python in batches of about SENT_BYTES, where the session hasn't set a bound of its own; a worker that
+    has ended its task gives its freed memory back, as Spark keeps it for later ones.
+    """
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if bound not in df.sparkSession.conf.getAll:
+        df.sparkSession.conf.set(bound, str(SENT_BYTES))
+
+    def run_and_release(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _release()
+
+    return df.mapInArrow(run_and_release, schema)
+
+
+def _release() -> None:
+    """Free memory that Arrow and the C library hold back (only glibc has malloc_trim)."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ Q = 32
 #: Bytes of the first buckets, sorted as one number.
 FIRST = 8
 #: Windows of one text looked at together, windows of one run at most, bytes of text whose runs are packed together.
-SEGMENT, RUN_MOST, BUFFER = 1 << 20, 1024, 16 << 20
+SEGMENT, RUN_MOST, BUFFER = 900_000, 1024, 12 << 20
 #: Bytes of runs sorted together; a bucket is never cut.
 SORTED = 2 << 20
 #: A bucket of more different spans is dealt by window; one piece of text in SAMPLED is looked at to find them.
