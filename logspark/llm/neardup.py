@@ -291,7 +291,7 @@ def compare(nodes: DataFrame, similarity: int) -> DataFrame:
 def across(nodes: DataFrame, similarity: int) -> DataFrame:
     """(node, a, b): candidates (a, b) of nodes (node, cls, sig, root) between different roots, or, of nodes with many, their classes and roots."""
 
-    def with_root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             root = batch.column(3).to_numpy().astype("<i8").view(np.uint8).reshape(-1, 8)
             both = np.concatenate([np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, WIDE), root], axis=1)
@@ -305,7 +305,7 @@ def across(nodes: DataFrame, similarity: int) -> DataFrame:
             node = pa.array([None] * len(p) + [k for k, cls, _ in many for _ in cls], pa.int64())
             return pa.RecordBatch.from_arrays([node, pa.array(np.concatenate([p[:, 0], *(c for _, c, _ in many)]), pa.int64()), pa.array(np.concatenate([p[:, 1], *(x for _, _, x in many)]), pa.int64())], names=["node", "a", "b"])
 
-        for node, cls, both, _, _ in _runs(with_root(batches), 1 << 30, WIDE + 8):
+        for node, cls, both, _, _ in _runs(beside(batches), 1 << 30, WIDE + 8):
             root = np.ascontiguousarray(both[:, WIDE:]).view("<i8")[:, 0]
             if (root == root[0]).all():
                 continue
@@ -369,7 +369,7 @@ def within(rows: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 
 
 def descend(nodes: DataFrame) -> DataFrame:
-    """(node, cls, sig) one level down.  A row goes to its children by itself, so large nodes aren't gathered."""
+    """(node, cls, sig, root) one level down.  A row goes to its children by itself, so large nodes aren't gathered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -382,9 +382,9 @@ def descend(nodes: DataFrame) -> DataFrame:
                 c = ((h[rows] >> np.uint64(shift)) % np.uint64(COORDS)).astype(np.int64)
                 child = mix((h[rows] ^ (c + 1 + COORDS * shift).astype(np.uint64)) + sig[rows, c] * np.uint64(0x9E3779B97F4A7C15))
                 if len(rows):
-                    yield pa.RecordBatch.from_arrays([pa.array(child.astype(np.int64)), batch.column(1).take(pa.array(rows)), batch.column(2).take(pa.array(rows))], names=["node", "cls", "sig"])
+                    yield pa.RecordBatch.from_arrays([pa.array(child.astype(np.int64)), *(batch.column(k).take(pa.array(rows)) for k in (1, 2, 3))], names=["node", "cls", "sig", "root"])
 
-    return common.arrow(nodes.select("node", "cls", "sig"), run, "node long, cls long, sig binary")
+    return common.arrow(nodes.select("node", "cls", "sig", "root"), run, "node long, cls long, sig binary, root long")
 
 
 def _sized(nodes: DataFrame) -> tuple[DataFrame, int]:
@@ -406,19 +406,22 @@ def pieces(large: DataFrame) -> DataFrame:
     return large.select("node", "cls", "sig", F.explode(places).alias("piece")).select(F.xxhash64("node", "piece").alias("node"), "cls", "sig")
 
 
-def reexamine(large: DataFrame, n_large: int, root: DataFrame) -> DataFrame:
-    """(node, cls, sig): small nodes in which all pairs of large nodes (with n) that may matter stand together.
+def with_root(rows: DataFrame, root: DataFrame) -> DataFrame:
+    """rows (cls, ...) with root, the component so far by root (node, root), or the class itself where it has none."""
+    return rows.join(root.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
 
-    root (node, root): the components so far; what is in one component needs no comparison.
+
+def reexamine(rows: DataFrame, n_large: int) -> DataFrame:
+    """(node, cls, sig, root): small nodes in which all pairs of large nodes (with n) that may matter stand together.
+
+    What is in one component (root) needs no comparison; rows take their root along down the tree.
     """
     out: DataFrame | None = None
-    rows = large
     for level in range(LEVELS + 1):
-        named = rows.join(root.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        by_root = named.groupBy("node", "root").agg(F.count("*").alias("k"))
+        by_root = rows.groupBy("node", "root").agg(F.count("*").alias("k"))
         tops = by_root.groupBy("node").agg(F.max_by("root", F.struct("k", "root")).alias("top"), (F.sum("k") - F.max("k")).alias("others"))
         tops = tops.where("others > 0")
-        judged = common.cut(named.join(F.broadcast(tops), "node") if n_large <= BROADCAST_ROWS else spread_join(named, tops, "node", "cls"))
+        judged = common.cut(rows.join(F.broadcast(tops), "node") if n_large <= BROADCAST_ROWS else spread_join(rows, tops, "node", "cls"))
         block = F.pmod(F.xxhash64("node", "cls"), F.ceil(F.col("n") / SMALL)).cast("int")
         all_blocks = F.sequence(F.lit(0), F.ceil(F.col("n") / SMALL).cast("int") - 1)
         # Few outside the largest component: they go to every block, and no two of the others need to meet.  These are
@@ -426,17 +429,17 @@ def reexamine(large: DataFrame, n_large: int, root: DataFrame) -> DataFrame:
         is_few = (F.col("others") <= SMALL) | ((F.col("others") <= 4 * SMALL) & (4 * F.col("others") <= F.col("n")))
         few = judged.where(is_few)
         places = F.when(F.col("root") != F.col("top"), all_blocks).otherwise(F.array(block))
-        found = few.select("node", "cls", "sig", F.explode(places).alias("x")).select(F.xxhash64("node", "x").alias("node"), "cls", "sig")
+        found = few.select("node", "cls", "sig", "root", F.explode(places).alias("x")).select(F.xxhash64("node", "x").alias("node"), "cls", "sig", "root")
         out = found if out is None else out.union(found)
-        rest = judged.where(~is_few).select("node", "cls", "sig", "n")
+        rest = judged.where(~is_few).select("node", "cls", "sig", "n", "root")
         if level == LEVELS:
-            pair = rest.select("node", "cls", "sig", block.alias("x"), F.explode(all_blocks).alias("y"))
-            return out.union(pair.select(F.xxhash64("node", F.least("x", "y"), F.greatest("x", "y"), F.lit(2)).alias("node"), "cls", "sig"))
+            pair = rest.select("node", "cls", "sig", "root", block.alias("x"), F.explode(all_blocks).alias("y"))
+            return out.union(pair.select(F.xxhash64("node", F.least("x", "y"), F.greatest("x", "y"), F.lit(2)).alias("node"), "cls", "sig", "root"))
         left = rest.count()
         if not left:
             return out
         children, n_large = _sized(common.cut(descend(gathered(rest, left, 20_000))))
-        out = out.union(children.where(F.col("n").isNull()).select("node", "cls", "sig"))
+        out = out.union(children.where(F.col("n").isNull()).select("node", "cls", "sig", "root"))
         if not n_large:
             return out
         rows = children.where(F.col("n").isNotNull())
@@ -503,11 +506,10 @@ def links(classes: DataFrame, docs: DataFrame, width: int, similarity: int) -> D
     first = common.cut(seen.where(F.col("b").isNotNull()).select("a", "b").distinct())
     found = common.cut(confirm(first, sets_of(first.select("a"), first.select("b")), similarity))
     root = components(found)
-    again = seen.where(F.col("b").isNull()).select("node", F.col("a").alias("cls"), "sig")
+    again = with_root(seen.where(F.col("b").isNull()).select("node", F.col("a").alias("cls"), "sig"), root).select("node", "cls", "sig", "root")
     if n_large:
-        again = again.union(reexamine(large, n_large, root))
-    named = again.join(root.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    left = common.cut(across(named, similarity))
+        again = again.union(reexamine(common.cut(with_root(large, root)), n_large))
+    left = common.cut(across(again, similarity))
     if left.isEmpty():
         return root
     pairs = common.cut(left.where(F.col("node").isNull()).select("a", "b").distinct().join(first, ["a", "b"], "left_anti"))
