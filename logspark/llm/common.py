@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,14 +24,18 @@ def ship(spark: SparkSession) -> None:
     root = Path(__file__).resolve().parents[2]
     known = {Path(p).resolve() for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()] if p}
     context = spark.sparkContext
-    local = context.master.startswith("local") and not context.master.startswith("local-cluster")
-    if (local and root in known) or getattr(context, "_logspark_shipped", False):
+    if (_local(context) and root in known) or getattr(context, "_logspark_shipped", False):
         return
     packed = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "logspark"), "zip", root, "logspark")
     context.addPyFile(packed)
     context._logspark_shipped = True
 
 
+def _local(context: SparkContext) -> bool:
+    """Whether tasks run in the driver's own machine and process."""
+    return context.master.startswith("local") and not context.master.startswith("local-cluster")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -70,11 +75,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df to the checkpoint folder that all executors share and read it from there.
 
     The folder is the session's spark.checkpoint.dir.  Only where that is
-    unset (tests on one machine) a temporary folder of its own is set.
+    unset on one machine (tests) a temporary folder of its own is set; on a
+    cluster that raises ValueError.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not _local(context):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint(eager=True)
 
