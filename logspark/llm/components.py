@@ -11,13 +11,13 @@ from logspark.llm.common import cut
 SPREAD, HUB = 64, 100_000
 
 
-def spread_join(rows: DataFrame, side: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+def spread_join(rows: DataFrame, side: DataFrame, key: str, by: str, how: str = "inner", spread: int = SPREAD) -> DataFrame:
     """rows beside the one row of side with the same key, where a key may have very many rows.
 
-    Each key's rows are cut into SPREAD parts by the hash of `by`; side goes to the parts that exist, so no part of
-    the work has more than a SPREADth of a key's rows.
+    Each key's rows are cut into `spread` parts by the hash of `by`; side goes to the parts that exist, so no part of
+    the work has much more than that share of a key's rows.
     """
-    cut_rows = rows.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(SPREAD)))
+    cut_rows = rows.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(spread)))
     parts = cut_rows.select(key, "_part").distinct().join(side, key)
     return cut_rows.join(parts, [key, "_part"], how).drop("_part")
 

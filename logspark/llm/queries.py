@@ -88,6 +88,30 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(common.documents(spark, sf_dir)).drop("spans")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logspark.llm import vector_codes
+
+    common.ship(spark)
+    coded = vector_codes.fit(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), label_col="label")
+    rows = vector_codes.with_label_error(coded.rows)
+    return rows.select(F.col("id").alias("vec_id"), vector_codes.code_text(F.col("codes")).alias("code"), "error", "label_error", F.lit(vector_codes.digest(coded.books)).alias("codebooks_sha256"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logspark.llm import positional_index as pi
+
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = pi.search(pi.build(common.documents(spark, sf_dir)), items)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.size("near_items").cast("long").alias("n_near_items"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logspark.llm import prefix_trie
+
+    common.ship(spark)
+    return prefix_trie.build(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -100,13 +124,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_license_scan": op9_license_scan,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_decontamination": op12_decontamination,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from logspark.llm import licenses, quality_rules
+    from logspark.llm import licenses, positional_index, prefix_trie, quality_rules, vector_codes
 
     return {
         "op1_quality_rules": quality_rules.ORACLE,
         "op9_license_scan": licenses.oracle(),
+        "op11_vector_codes": vector_codes.ORACLE,
+        "op12_decontamination": positional_index.ORACLE,
+        "op13_prefix_trie": prefix_trie.ORACLE,
     }

@@ -50,14 +50,14 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Words:
     """starts, ends: byte offsets in buf; doc: index of the text; first: each text's first word, and the end."""
 
-    def __init__(self, texts: list[bytes | None], lower: bool = False):
+    def __init__(self, texts: list[bytes | None], lower: bool = False, separators: np.ndarray = SPACE):
         raw = [t or b"" for t in texts]
         self.buf = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
         if lower:
             self.buf = LOWER[self.buf]
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         self.text_start = np.concatenate(([0], np.cumsum(sizes + 1)))
-        space = SPACE[self.buf]
+        space = separators[self.buf]  # \n, which stands between texts, must be one
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1
         if not space[0]:
             edge = np.concatenate(([0], edge))
