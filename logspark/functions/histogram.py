@@ -35,7 +35,7 @@ def quantile_bucket(histogram: Column, q: float) -> Column:
     """
     total = F.aggregate(histogram, F.lit(0).cast("long"), lambda s, h: s + h["n"])
     if q >= 1:
-        return F.element_at(histogram, -1)["bucket"]
+        return F.try_element_at(histogram, F.lit(-1))["bucket"]
     target = F.lit(float(max(q, 0.0))) * (total - 1)
     start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("at"), target.alias("target"))
 

@@ -20,6 +20,15 @@ def status_class(status: Column) -> Column:
     return F.when(status.between(200, 299), 200).when(status.between(300, 399), 300).when(status.between(400, 499), 400).when(status.isin(500, 502, 503, 504), status).otherwise(599)
 
 
+def status_group(status: Column) -> Column:
+    """The class, but 100 for statuses below 200: a group lies wholly inside or outside of each status family."""
+    return F.when(status < 200, 100).otherwise(status_class(status))
+
+
+def class_of_group(group: Column) -> Column:
+    return F.when(group == 100, 599).otherwise(group)
+
+
 def bucket_rows(requests: DataFrame, keys: tuple[str, ...] = ("norm_path", "method")) -> DataFrame:
     """Counts by keys and bucket: calls, errors, sum, least, largest, and each status class."""
     d = F.col("duration_ms")
@@ -77,7 +86,12 @@ def status_class_counts(requests: DataFrame) -> DataFrame:
 
 def overall_summary(requests: DataFrame) -> DataFrame:
     """One row over all requests, zeros if there are none."""
-    by_bucket = requests.groupBy(bucket(F.col("duration_ms")).alias("bucket")).agg(F.count("*").alias("calls"), F.count_if(F.col("status") >= 400).alias("errors"))
+    return overall_summary_of(requests.groupBy(bucket(F.col("duration_ms")).alias("bucket")).agg(F.count("*").alias("calls"), F.count_if(F.col("status") >= 400).alias("errors")))
+
+
+def overall_summary_of(counted: DataFrame) -> DataFrame:
+    """The same from rows (bucket, calls, errors), of which several may have one bucket."""
+    by_bucket = counted.groupBy("bucket").agg(F.sum("calls").alias("calls"), F.sum("errors").alias("errors"))
     cells = F.collect_list(F.when(F.col("bucket").isNotNull(), F.struct("bucket", F.col("calls").alias("n"))))
     one = by_bucket.agg(F.coalesce(F.sum("calls"), F.lit(0)).alias("total_requests"), F.coalesce(F.sum("errors"), F.lit(0)).alias("total_errors"), F.sort_array(cells).alias("histogram"))
     rate = F.coalesce(F.try_divide(100.0 * F.col("total_errors"), F.col("total_requests")), F.lit(0.0))

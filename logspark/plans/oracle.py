@@ -37,6 +37,22 @@ CTES = {
         coalesce(sum(cast(duration_ms as double)), 0.0) / count(*) as avg_duration_ms, cast(coalesce(min(duration_ms), 0) as float) as min_duration_ms, cast(coalesce(max(duration_ms), 0) as float) as max_duration_ms,
         coalesce(arg_max(case event when 'done' then 'success' when 'fail' then 'failed' end, line_no) filter (event <> 'start'), 'unknown') as last_status from crons group by name""",
 }
+#: Lines in a file of the rotated logs (queries.rotated_logs).
+ROTATED = 3_000
+_AT = r"case when regexp_matches(c, '\A[ \t]*" + P.STAMP + r"') then try_cast(replace(substr(ltrim(c, ' ' || chr(9)), 1, 19), 'T', ' ') as timestamp) end"
+CTES |= {
+    "heads": f"select line_no, line_no // {ROTATED} as rotated, {_AT} as own from stripped",
+    "stamped": """select line_no, rotated, coalesce(last_value(own ignore nulls) over (partition by rotated order by line_no rows unbounded preceding),
+        first_value(own ignore nulls) over (partition by rotated order by line_no rows between current row and unbounded following)) as stamp from heads""",
+    "timed": "select crons.*, stamp, rotated from crons join stamped using (line_no)",
+    "steps": """select *, sum(case event when 'start' then 1 else -1 end) over w as level, count(*) filter (event = 'start') over w as starts from timed
+        window w as (partition by name order by stamp, rotated desc, line_no rows unbounded preceding)""",
+    "lows": "select *, least(0, coalesce(min(level) over (partition by name order by stamp, rotated desc, line_no rows between unbounded preceding and 1 preceding), 0)) as low from steps",
+    "ended": """select *, event <> 'start' and level < low as lone, count(*) filter (event <> 'start' and level >= low) over (partition by name order by stamp, rotated desc, line_no rows unbounded preceding) as number from lows""",
+    "runs": """select s.name, s.stamp as start_at, e.stamp as end_at, case e.event when 'done' then 'success' when 'fail' then 'failed' else 'running' end as outcome, e.duration_ms, false as lone
+        from (select * from ended where event = 'start') s left join (select * from ended where event <> 'start' and not lone) e on s.name = e.name and s.starts = e.number
+        union all select name, null, stamp, case event when 'done' then 'success' else 'failed' end, duration_ms, true from ended where lone""",
+}
 ORDER = list(CTES)
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
@@ -11,11 +9,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspark.functions import histogram, paths, text
-from logspark.operators import classify, stats, views
+from logspark.functions import histogram, paths, sketch, text
+from logspark.operators import classify, stats, stored, views
 from logspark.operators import filters as fl
-from logspark.plans.oracle import quoted, stats_ctes, with_ctes
+from logspark.plans.oracle import ROTATED, quoted, stats_ctes, with_ctes
 from logspark.sources import derived, logs, parsed, sinks
+from logspark.sources.store import LogStore
+from logspark.sources.workspace import exists, workspace
+from logspark.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,12 +33,6 @@ def register(name: str, sql: str | None) -> Callable[[Query], Query]:
     return keep
 
 
-def workspace(spark: SparkSession) -> str:
-    """A new folder that all executors share: below the checkpoint folder, or a temporary one where that is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared or tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/logspark-{uuid.uuid4().hex}"
-
-
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.classify_lines(derived.lines(spark, sf_dir))
 
@@ -86,6 +81,28 @@ def lines_on_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.read_log_lines(spark, path)
 
 
+def rotated_logs(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of the derived lines as log files of ROTATED lines each, named so that a later file sorts first."""
+    path = workspace(spark)
+    number = F.floor(F.col("line_no") / ROTATED)
+    files = derived.lines(spark, sf_dir).select("line", "line_no", F.format_string("%012d", F.lit(10**12 - 1) - number).alias("rotated"))
+    files.repartition("rotated").sortWithinPartitions("rotated", "line_no").select("line", "rotated").write.mode("overwrite").partitionBy("rotated").option("lineSep", "\n").text(path)
+    return path
+
+
+_STORES: dict[tuple[str, str], str] = {}
+
+
+def store_of(spark: SparkSession, sf_dir: str) -> LogStore:
+    """The log store of the derived lines, parsed once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES or not exists(spark, _STORES[key]):
+        store = LogStore(spark, workspace(spark))
+        store.add_files(f"{rotated_logs(spark, sf_dir)}/*/*.txt")
+        _STORES[key] = store.path
+    return LogStore(spark, _STORES[key])
+
+
 @register("s1_read_log_lines", with_ctes("select count(*) as n_lines, cast(sum(length(line)) as bigint) as n_chars from lines"))
 def s1(spark, sf_dir):
     return lines_on_disk(spark, sf_dir).agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
@@ -282,16 +299,24 @@ FILTERS: dict[str, tuple[fl.FilterOptions, str]] = {
 
 
 def _filtered(options: fl.FilterOptions) -> Query:
-    return lambda spark, sf_dir: rounded(endpoints(spark, sf_dir, options))
+    """From stored requests: the filter reaches the scan, a search text the dictionary."""
+    return lambda spark, sf_dir: rounded(stored.endpoint_stats(store_of(spark, sf_dir), options, from_rows=True))
+
+
+def _from_cube(options: fl.FilterOptions) -> Query:
+    return lambda spark, sf_dir: rounded(stored.endpoint_stats(store_of(spark, sf_dir), options))
 
 
 for _name, (_options, _where) in FILTERS.items():
     register(_name, with_ctes(f"select {ENDPOINT} from endpoint", **stats_ctes(_where)))(_filtered(_options))
 
 
-@register("f9_filter_search_raw", with_ctes(f"select {ENDPOINT} from endpoint", **stats_ctes("contains(lower(path), 'ab-cd')", "path")))
-def f9_raw(spark, sf_dir):
-    return rounded(endpoints(spark, sf_dir, fl.FilterOptions(search="AB-cd", path_mode=paths.RAW)))
+for _name, (_options, _where) in FILTERS.items():
+    if _name.split("_")[0] in ("f1", "f4", "f5", "f9"):
+        register(f"{_name}_cube", with_ctes(f"select {ENDPOINT} from endpoint", **stats_ctes(_where)))(_from_cube(_options))
+
+register("f9_filter_search_raw", with_ctes(f"select {ENDPOINT} from endpoint", **stats_ctes("contains(lower(path), 'ab-cd')", "path")))(_filtered(fl.FilterOptions(search="AB-cd", path_mode=paths.RAW)))
+register("f9_filter_search_bare", with_ctes(f"select {ENDPOINT} from endpoint", **stats_ctes("contains(lower(bare_path), 'ab-cd')", "bare_path")))(_filtered(fl.FilterOptions(search="AB-cd", path_mode=paths.STRIP_QUERY)))
 
 
 # --- aggregates ----------------------------------------------------------------
@@ -368,6 +393,95 @@ def a11(spark, sf_dir):
     return jobs.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total_cron_events"), F.count("*").alias("active_cron_jobs")).crossJoin(pairs.agg(F.count("*").alias("unique_endpoints")))
 
 
+# --- the store: counts, days, order, runs ----------------------------------------
+
+
+@register("a1_stored_endpoint_stats", with_ctes(f"select {ENDPOINT} from endpoint", **stats_ctes()))
+def a1_stored(spark, sf_dir):
+    return rounded(stored.endpoint_stats(store_of(spark, sf_dir)))
+
+
+@register("a1_stored_raw", with_ctes(f"select {ENDPOINT} from endpoint", **stats_ctes(path="path")))
+def a1_stored_raw(spark, sf_dir):
+    return rounded(stored.endpoint_stats(store_of(spark, sf_dir), fl.FilterOptions(path_mode=paths.RAW)))
+
+
+@register("a7_stored_summary", with_ctes(f"select {OVERALL} from overall", **stats_ctes()))
+def a7_stored(spark, sf_dir):
+    return rounded(stored.overall_summary(store_of(spark, sf_dir)))
+
+
+@register("c15_stored_counts", with_ctes("select count(*) as total_lines, count(*) filter (kind in ('http_a', 'http_b')) as http_lines, count(*) filter (kind = 'cron') as cron_lines, count(*) filter (kind = 'unmatched') as unmatched_lines, count(*) filter (kind = 'empty') as empty_lines from kinds"))
+def c15_stored(spark, sf_dir):
+    return stored.line_kind_counts(store_of(spark, sf_dir))
+
+
+@register("a1_stored_day", with_ctes(f"select {ENDPOINT} from endpoint", **stats_ctes("line_no in (select line_no from stamped where cast(stamp as date) = (select min(cast(stamp as date)) from stamped))")))
+def a1_stored_day(spark, sf_dir):
+    """Statistics of the log's first day, from that day's folder."""
+    store = store_of(spark, sf_dir)
+    day = store.table("counts").agg(F.min("day")).first()[0]
+    return rounded(stored.endpoint_stats(store, days=(day, day)))
+
+
+@register("p9_stored_distinct", with_ctes("select count(distinct path) as raw_paths, count(distinct bare_path) as bare_paths, count(distinct norm_path) as norm_paths, count(distinct method || ' ' || norm_path) as endpoints, true as sketches_fit from normed"))
+def p9_stored(spark, sf_dir):
+    """Exact numbers, and whether those of the merged sketches are within 6 % of them."""
+    store, names = store_of(spark, sf_dir), ("raw_paths", "bare_paths", "norm_paths", "endpoints")
+    near = stored.estimated_counts(store).select(*(F.col(n).alias(f"near_{n}") for n in names))
+    fit = reduce(lambda a, b: a & b, [F.abs(F.col(f"near_{n}") - F.col(n)) <= 0.06 * F.col(n) for n in names])
+    return stored.distinct_counts(store).crossJoin(near).select(*names, fit.alias("sketches_fit"))
+
+
+@register("c14_stored_samples", with_ctes("select stamp, l as text from kinds join stamped using (line_no) where kind = 'unmatched' order by stamp nulls first, rotated desc, line_no limit 50"))
+def c14_stored(spark, sf_dir):
+    """The first unmatched lines by time, over rotated files."""
+    return stored.unmatched_samples(store_of(spark, sf_dir)).select(F.col("order_key.stamp").alias("stamp"), "text")
+
+
+@register("s2_stamp_order", with_ctes("select name, coalesce(arg_max(case event when 'done' then 'success' when 'fail' then 'failed' end, n) filter (event <> 'start'), 'unknown') as last_status from (select *, row_number() over (order by stamp, rotated desc, line_no) as n from timed) group by name"))
+def s2_stamps(spark, sf_dir):
+    """Each job's last outcome in the order of times: rotated files are read in the wrong order of their names."""
+    return stats.cron_stats(stored.crons(store_of(spark, sf_dir))).select("name", "last_status")
+
+
+@register("a8_job_runs", with_ctes("select name, start_at, end_at, outcome, round(cast(duration_ms as double), 3) as duration_ms from runs"))
+def a8_runs(spark, sf_dir):
+    """Starts paired with their ends."""
+    runs = stored.job_runs(stored.crons(store_of(spark, sf_dir)), workspace(spark))
+    return rounded(runs.select("name", F.col("start_key.stamp").alias("start_at"), F.col("end_key.stamp").alias("end_at"), "outcome", "duration_ms"))
+
+
+@register("a9_true_average", with_ctes("select name, count(*) as runs, count(*) filter (outcome <> 'running') as finished, count(*) filter (outcome = 'running') as running, count(*) filter (lone) as without_start, count(*) filter (outcome = 'failed') as failed, round(avg(cast(duration_ms as double)) filter (outcome <> 'running'), 3) as avg_finished_ms, any_value(diluted) as avg_duration_ms from runs join (select name, round(avg_duration_ms, 3) as diluted from cron_stats) using (name) group by name"))
+def a9_true(spark, sf_dir):
+    """The average over finished runs beside the one over all events."""
+    events = stored.crons(store_of(spark, sf_dir))
+    runs = stored.run_stats(stored.job_runs(events, workspace(spark)))
+    return rounded(runs.join(stats.cron_stats(events).select("name", "avg_duration_ms"), "name"))
+
+
+@register("h2_stored_merge", with_ctes("select method, bucket, count(*) as n from chosen where bucket is not null group by all", **stats_ctes()))
+def h2_stored(spark, sf_dir):
+    """Latency histograms of methods, merged from stored sketches of days and endpoints."""
+    merged = stored.latency(store_of(spark, sf_dir), ["method"])
+    return merged.select("method", F.explode(sketch.cells(F.col("sketch"))).alias("c")).select("method", "c.bucket", "c.n")
+
+
+@register("h3_stored_quantiles", with_ctes(f"select method, {R('p50', 'p90', 'p95', 'p99')} from hq", **stats_ctes() | {"chosen": stats_ctes()["chosen"].replace("norm_path as path", "'' as path")}))
+def h3_stored(spark, sf_dir):
+    merged = stored.latency(store_of(spark, sf_dir), ["method"])
+    return rounded(merged.select("method", *(sketch.quantile(F.col("sketch"), q).alias(f"p{round(q * 100)}") for q in histogram.QUANTILES)))
+
+
+@register("k6_stream_into_store", with_ctes(f"select {ENDPOINT} from endpoint", **stats_ctes()))
+def k6(spark, sf_dir):
+    """The log files as a stream, each micro-batch written exactly once."""
+    store = LogStore(spark, workspace(spark))
+    query = live.into_store(logs.stream_log_files(spark, f"{rotated_logs(spark, sf_dir)}/*"), store, workspace(spark), available_now=True)
+    query.awaitTermination()
+    return rounded(stored.endpoint_stats(store))
+
+
 # --- histogram -----------------------------------------------------------------
 
 EVENTS_HIST = {

@@ -7,7 +7,7 @@ from logspark.plans import queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("events", "documents", "pages")
-SOME = ("s1_read_log_lines", "s2_line_order", "s4_empty_input", "s5_utf8_lossy", "s6_parsed_table", "p7_is_pr_id", "k2_export_json_summary", "c9_cron", "c15_line_kind_counts", "p1_pages_raw", "p2_pages_strip_query", "p3_norm_collapse_ids", "f10_filter_compose", "a1_endpoint_stats", "a5_status_counts_map", "a7_overall_summary", "a8_cron_stats", "h3_hist_quantile", "h5_exact_quantile", "o5_sort_by_avg", "o12_kpi_cards", "o16_cron_view", "k1_export_csv", "k2_export_json", "k3_endpoint_report", "k4_cron_report")
+SOME = ("f1_filter_method", "f9_filter_search_raw", "f9_filter_search_cube", "a1_stored_day", "c14_stored_samples", "s2_stamp_order", "a8_job_runs", "a9_true_average", "p9_stored_distinct", "h2_stored_merge", "h3_stored_quantiles", "s1_read_log_lines", "s2_line_order", "s4_empty_input", "s5_utf8_lossy", "s6_parsed_table", "p7_is_pr_id", "k2_export_json_summary", "c9_cron", "c15_line_kind_counts", "p1_pages_raw", "p2_pages_strip_query", "p3_norm_collapse_ids", "f10_filter_compose", "a1_endpoint_stats", "a5_status_counts_map", "a7_overall_summary", "a8_cron_stats", "h3_hist_quantile", "h5_exact_quantile", "o5_sort_by_avg", "o12_kpi_cards", "o16_cron_view", "k1_export_csv", "k2_export_json", "k3_endpoint_report", "k4_cron_report")
 
 
 def test_every_query_has_sql():
