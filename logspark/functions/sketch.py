@@ -32,9 +32,9 @@ def checked(sketch: Column) -> Column:
 
 def of_cells(cells: Column) -> Column:
     """From a sorted array of struct(bucket, n), each bucket once."""
-    first, last = F.get(cells, 0)["bucket"], F.get(cells, F.size(cells) - 1)["bucket"]
-    number = F.map_from_entries(F.transform(cells, lambda c: F.struct(c["bucket"], c["n"].cast("bigint"))))
-    dense = F.transform(F.sequence(first, last), lambda b: F.coalesce(F.element_at(number, b), F.lit(0).cast("bigint")))
+    first, zero = F.get(cells, 0)["bucket"], F.lit(0).cast("bigint")
+    gap = lambda c, k: c["bucket"] - F.coalesce(F.get(cells, k - 1)["bucket"], first - 1) - 1
+    dense = F.flatten(F.transform(cells, lambda c, k: F.concat(F.array_repeat(zero, gap(c, k)), F.array(c["n"].cast("bigint")))))
     return F.when(F.size(cells) > 0, _made(first, dense)).otherwise(_made(F.lit(None), F.array()))
 
 

@@ -37,7 +37,10 @@ from p
 """
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(line_no, line), with order_key = line_no."""
+def lines(spark: SparkSession, sf_dir: str, times: int = 1) -> DataFrame:
+    """(line_no, line), with order_key = line_no; times: so many copies of the events behind one another, with ids that go on."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    if times > 1:
+        step = (events.agg({"event_id": "max"}).first()[0] or 0) + 1
+        events = events.crossJoin(spark.range(times).withColumnRenamed("id", "copy")).selectExpr("*", f"event_id + copy * {step} as shifted").drop("event_id").withColumnRenamed("shifted", "event_id")
     return spark.sql(LINES_SQL.replace("from events)", "from {events})"), events=events).selectExpr("line_no", "line", "line_no as order_key")

@@ -62,10 +62,23 @@ SCHEMAS = {
     "samples": f"order_key {_ORDER}, text string",
     "counts": "kind string, n bigint, day date",
     "files": "file_path string, file_size bigint",
-    "batches": "batch string, n_files bigint",
+    "batches": "batch string, n_files bigint, replaces array<string>",
 }
 #: Folders below a batch's.
-PARTITIONS = {"requests": ["day"], "forms": ["mode"], "grams": ["mode"], "cube": ["mode", "day"], "crons": ["day"], "unmatched": ["day"]}
+PARTITIONS = {"requests": ["day"], "cube": ["day"], "crons": ["day"], "unmatched": ["day"]}
+
+
+#: What requests are dealt out and sorted by, first of all.
+_CLUSTERED = ["day", "method", "family", "norm_id", "path_id"]
+_CUBE_KEYS = ["mode", "day", "id", "method", "status_group", "bucket"]
+
+
+def _cube_sums() -> list[Column]:
+    return [F.sum(c).alias(c) for c in ("calls", "errors", "total")] + [F.min("least").alias("least"), F.max("most").alias("most")]
+
+
+def _sorted_cube(rows: DataFrame) -> DataFrame:
+    return rows.repartitionByRange("day", "mode", "id", "method", "status_group", "bucket").sortWithinPartitions("day", "mode", "id", "method")
 
 
 def form_id(form: Column) -> Column:
@@ -87,9 +100,19 @@ class LogStore:
     # --- reading
 
     def batches(self) -> list[str]:
-        """Names of the batches that are wholly written: a folder each in `batches`."""
+        """Names of the batches that are wholly written, a folder each in `batches`, without those that were merged."""
+        found = self._written()
+        merged = self._merged(found)
+        return [b for b in found if b not in merged]
+
+    def _written(self) -> list[str]:
         return [n.removeprefix("batch=") for n in workspace.folders(self.spark, f"{self.path}/batches") if n.startswith("batch=") and workspace.exists(self.spark, f"{self.path}/batches/{n}/_SUCCESS")]
 
+    def _merged(self, written: list[str]) -> set[str]:
+        """Batches that others stand for."""
+        places = [f"{self.path}/batches/batch={b}" for b in written if b.startswith("merged-")]
+        return {r["b"] for r in self.spark.read.schema(SCHEMAS["batches"]).parquet(*places).select(F.explode("replaces").alias("b")).collect()} if places else set()
+
     def table(self, name: str) -> DataFrame:
         """A table over all whole batches; filters on day and mode leave out folders."""
         places = [f"{self.path}/{name}/batch={b}" for b in self.batches()]
@@ -119,7 +142,9 @@ class LogStore:
         return len(found)
 
     def add(self, lines: DataFrame, batch: str) -> None:
-        """Write lines (as of read_log_lines) as the batch of that name, in place of an earlier one."""
+        """Write lines (as of read_log_lines) as the batch of that name, in place of an earlier one; nothing if it was merged."""
+        if batch in self._merged(self._written()):
+            return
         workspace.remove(self.spark, f"{self.path}/batches/batch={batch}")
         stage = f"{self.path}/_stage/{batch}"
         self._parse(lines, stage)
@@ -128,7 +153,39 @@ class LogStore:
             self._write_all(logs.in_stamp_order(rows, logs.split_ends(rows)).withColumn("day", F.to_date("stamp")), batch)
         n_files = self.spark.read.schema(SCHEMAS["files"]).parquet(f"{self.path}/files/batch={batch}").count() if rows is not None else 0
         workspace.remove(self.spark, stage)
-        self.spark.createDataFrame([(batch, n_files)], SCHEMAS["batches"]).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batches/batch={batch}")
+        self._seen(batch, n_files, [])
+
+    def _seen(self, batch: str, n_files: int, replaces: list[str]) -> None:
+        self.spark.createDataFrame([(batch, n_files, replaces)], SCHEMAS["batches"]).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batches/batch={batch}")
+
+    def merge(self) -> None:
+        """All batches as one: rows clustered anew, counts added up, sketches merged; the old ones' files are removed.
+
+        Readers see the old batches until the new one is wholly written, and then that one alone.  A batch that was
+        merged stays known by its name, so adding it again changes nothing.
+        """
+        old = self.batches()
+        if len(old) < 2:
+            return
+        gone = sorted(set(old) | self._merged(self._written()))
+        batch = f"merged-{hashlib.sha256(' '.join(gone).encode()).hexdigest()[:16]}"
+        t = {name: self.table(name) for name in SCHEMAS if name != "batches"}
+        order = [*_CLUSTERED, "duration_ms", "stamp"]
+        self._write("requests", batch, t["requests"].repartitionByRange(*order).sortWithinPartitions(*order))
+        self._write("forms", batch, t["forms"].groupBy("mode", "id", "form").agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("bare_id", "norm_id"))))
+        self._write("grams", batch, t["grams"].distinct().repartitionByRange("mode", "gram", "id").sortWithinPartitions("mode", "gram", "id"))
+        self._write("cube", batch, _sorted_cube(t["cube"].groupBy(*_CUBE_KEYS).agg(*_cube_sums())))
+        self._write("latency", batch, sketch.merge_groups(t["latency"], ["day", "id", "method"]))
+        self._write("sketches", batch, t["sketches"].groupBy("day").agg(*(F.hll_union_agg(c).alias(c) for c in ("raw_paths", "bare_paths", "norm_paths", "endpoints"))))
+        self._write("crons", batch, t["crons"].repartitionByRange("day", "order_key"))
+        self._write("unmatched", batch, t["unmatched"].repartitionByRange("day", "order_key"))
+        self._write("samples", batch, t["samples"].orderBy("order_key").limit(SAMPLES))
+        self._write("counts", batch, t["counts"].groupBy("kind", "day").agg(F.sum("n").alias("n")))
+        n_files = self._write("files", batch, t["files"]).count()
+        self._seen(batch, n_files, gone)
+        for name in t:
+            for b in old:
+                workspace.remove(self.spark, f"{self.path}/{name}/batch={b}")
 
     def _staged(self, stage: str) -> bool:
         return any(n.startswith("kind=") for n in workspace.folders(self.spark, stage))
@@ -138,7 +195,8 @@ class LogStore:
         stamped = logs.carried_in_splits(lines.select("line", "order_key", "file_path", "file_size").withColumn("stamp", logs.line_stamp(F.col("line"))))
         found = classify.classify_lines(stamped)
         text = F.when(F.col("kind") == classify.UNMATCHED, F.col("text")).alias("text")
-        found.select("kind", "order_key", "stamp", "file_path", "file_size", "method", "path", "status", "duration_ms", "bytes", "cron_event", "cron_name", text).write.mode("overwrite").partitionBy("kind").parquet(stage)
+        ids = [F.when(F.col("path").isNotNull(), form_id(normalize_path(F.col("path"), m))).alias(c) for m, c in ID_OF.items()]
+        found.select("kind", "order_key", "stamp", "file_path", "file_size", "method", "path", *ids, "status", "duration_ms", "bytes", "cron_event", "cron_name", text).write.mode("overwrite").partitionBy("kind").parquet(stage)
 
     def _write(self, name: str, batch: str, rows: DataFrame) -> DataFrame:
         place = f"{self.path}/{name}/batch={batch}"
@@ -148,9 +206,8 @@ class LogStore:
 
     def _write_all(self, rows: DataFrame, batch: str) -> None:
         http = rows.where(F.col("kind").isin(classify.HTTP_A, classify.HTTP_B))
-        forms = {m: normalize_path(F.col("path"), m) for m in MODES}
-        named = http.select("day", "kind", "method", F.floor(F.col("status") / 100).cast("int").alias("family"), "status", "duration_ms", "bytes", "stamp", *(form_id(f).alias(ID_OF[m]) for m, f in forms.items()), F.col("order_key.row").alias("_row"))
-        order = ["day", "method", "family", "norm_id", "path_id", "duration_ms", "_row"]
+        named = http.select("day", "kind", "method", F.floor(F.col("status") / 100).cast("int").alias("family"), "status", "duration_ms", "bytes", "stamp", *ID_OF.values(), F.col("order_key.row").alias("_row"))
+        order = [*_CLUSTERED, "duration_ms", "_row"]
         requests = self._write("requests", batch, named.repartitionByRange(*order).sortWithinPartitions(*order))
         self._write_forms(http.select("path").distinct(), batch)
         self._write_cube(requests, batch)
@@ -179,10 +236,8 @@ class LogStore:
         place = f"{self.path}/_stage/{batch}/_cube"
         counted.write.mode("overwrite").parquet(place)
         fine = self.spark.read.parquet(place)
-        keys = ("day", "method", "status_group", "bucket")
-        sums = [F.sum(c).alias(c) for c in ("calls", "errors", "total")] + [F.min("least").alias("least"), F.max("most").alias("most")]
-        coarse = [fine.groupBy(F.col(c).alias("id"), *keys).agg(*sums).withColumn("mode", F.lit(m)) for m, c in ID_OF.items()]
-        self._write("cube", batch, reduce(DataFrame.unionByName, coarse).repartitionByRange("mode", "day", "id", "method", "status_group", "bucket").sortWithinPartitions("mode", "day", "id", "method"))
+        coarse = [fine.withColumn("mode", F.lit(m)).withColumn("id", F.col(c)).groupBy(*_CUBE_KEYS).agg(*_cube_sums()) for m, c in ID_OF.items()]
+        self._write("cube", batch, _sorted_cube(reduce(DataFrame.unionByName, coarse)))
         by_endpoint = fine.select("day", F.col("norm_id").alias("id"), "method", "bucket", F.col("calls").alias("n"))
         self._write("latency", batch, sketch.aggregate(by_endpoint, ["day", "id", "method"]))
         endpoint = F.concat_ws(" ", F.hex("norm_id"), "method")

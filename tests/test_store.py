@@ -97,7 +97,17 @@ def test_two_halves_are_the_whole_and_each_file_is_read_once(spark, whole, lines
     assert figures(stored.overall_summary(half)) == figures(stored.overall_summary(store))
     assert figures(stored.estimated_counts(half)) == figures(stored.estimated_counts(store))
     assert figures(stored.distinct_counts(half)) == figures(stored.distinct_counts(store))
-    assert len(half.batches()) == 2
+    old = half.batches()
+    assert len(old) == 2
+    half.merge()
+    assert len(half.batches()) == 1 and half.new_files(str(tmp_path / "logs")) == []
+    for options in (NONE, OPTIONS["bare"], OPTIONS["durations"]):
+        assert figures(stored.endpoint_stats(half, options)) == figures(stored.endpoint_stats(store, options))
+    assert figures(stored.estimated_counts(half)) == figures(stored.estimated_counts(store))
+    assert figures(stored.line_kind_counts(half)) == figures(stored.line_kind_counts(store))
+    assert figures(stored.latency(half, ["method"])) == figures(stored.latency(store, ["method"]))
+    half.add(logs.read_log_lines(spark, str(tmp_path / "logs" / "a.log")), old[0])  # known by its name
+    assert figures(stored.overall_summary(half)) == figures(stored.overall_summary(store))
 
 
 def test_a_batch_that_broke_off_is_not_seen_and_one_run_twice_counts_once(spark, lines, tmp_path):
@@ -166,7 +176,7 @@ def test_filters_reach_the_scan_and_files_are_skipped(spark, tmp_path):
     text, n = scanned(stored.requests(store, days=days).groupBy("method").count(), "method")
     assert "PartitionFilters" in text and "day" in text.split("PartitionFilters")[1].split("]")[0] and n == total // 3
     text, n = scanned(stored.endpoint_stats(store, days=days), "status_group")
-    assert n == store.table("cube").where("day = '2025-03-02' and mode = 'collapse_ids'").count()
+    assert n <= store.table("cube").where("day = '2025-03-02'").count() < store.table("cube").count() / 2
 
 
 def test_the_search_text_is_nowhere_above_the_rows(whole):
