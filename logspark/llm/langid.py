@@ -8,8 +8,8 @@ its texts together.  The out-of-place distance adds, over a text's n-grams,
 how far each lies from its rank in the language's profile, TOP if it is
 missing there.  The nearest language is predicted (ties: the first by name).
 
-Profiles are learned from about SAMPLE_PER_LANGUAGE rows of each language,
-chosen by hashed id; n-grams are counted by Spark, and only TOP n-grams of
+Profiles are learned from SAMPLE_PER_LANGUAGE rows of each language (all, where
+it has fewer), chosen by a hash of the id and the row's own number; n-grams are counted by Spark, and only TOP n-grams of
 each language come to the driver: 6 bytes each in the tasks, so 100,000
 languages would be 240 MB.  There is no limit to their number.
 
@@ -34,6 +34,8 @@ from logspark.llm import common
 
 TOP = 400
 SAMPLE_PER_LANGUAGE = 4000
+#: Languages up to which their counts (some 30 bytes each) are broadcast.
+FEW_LANGUAGES = 100_000
 UNKNOWN = "und"
 #: Characters of a text that are counted together.
 PIECE = 1 << 20
@@ -112,11 +114,27 @@ class Profiles:
         return self.languages[best], float(1 - distance[best] / (TOP * len(own)))
 
 
+def _sample(rows: DataFrame, per_language: int, text_col: str, lang_col: str) -> DataFrame:
+    """(lang, text) of exactly per_language rows of each language, or of all where it has fewer; texts aren't shuffled.
+
+    Each row has a hash of its id and its own number as read, so repeated and null ids are rows like any others.  A
+    threshold by a language's count leaves about twice as many as asked for; of these hashes, without texts, the last
+    one that belongs is found.
+    """
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("h"))
+    few = common.cut(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    small = few.count() <= FEW_LANGUAGES
+    least, span = -(2.0**63), 2.0**64
+    share = F.least(F.lit(1.0), (2 * per_language + 50) / F.col("n"))
+    likely = rows.select("lang", "h").join(F.broadcast(few) if small else few, "lang").where((F.col("h").cast("double") - least) / span <= share)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    last = common.cut(likely.withColumn("place", place).where(F.col("place") <= per_language).groupBy("lang").agg(F.max("h").alias("last")))
+    return rows.join(F.broadcast(last) if small else last, "lang").where(F.col("h") <= F.col("last")).select("lang", "text")
+
+
 def learn(docs: DataFrame, usable: Column, per_language: int = SAMPLE_PER_LANGUAGE, text_col: str = "text", lang_col: str = "lang") -> Profiles:
     """Profiles of the languages in the rows where `usable` holds."""
-    rows = docs.where(usable & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64("doc_id").alias("h"))
-    every = rows.groupBy("lang").agg(F.greatest(F.lit(1), F.floor(F.count("*") / per_language)).alias("every"))
-    sample = rows.join(every, "lang").where(F.pmod(F.col("h"), F.col("every")) == 0).select("lang", "text")
+    sample = _sample(docs.where(usable & F.col(lang_col).isNotNull()), per_language, text_col, lang_col)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

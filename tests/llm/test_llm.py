@@ -199,6 +199,41 @@ def test_six_hundred_languages(spark):
     assert sum(found[k]["lang_pred"] == lang for k, _, lang in rows) > 0.99 * len(rows)
 
 
+@pytest.mark.parametrize("per_language", [1, 3, 7, 20, 100])
+def test_no_language_is_lost(spark, per_language):
+    """Rows of one id, or of none, are rows like others; exactly as many teach as were asked for."""
+    rows = [(7, f"une phrase avec le numero {k}", "fr") for k in range(60)] + [(k, f"a sentence with the number {k}", "en") for k in range(60)] + [(None, f"ein satz mit der nummer {k}", "de") for k in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    assert langid.learn(docs, F.lit(True), per_language).languages == ["de", "en", "fr"]
+    counts = {r["lang"]: r["count"] for r in langid._sample(docs, per_language, "text", "lang").groupBy("lang").count().collect()}
+    assert counts == {"de": min(9, per_language), "en": min(60, per_language), "fr": min(60, per_language)}
+
+
+def test_no_text_is_shuffled_to_learn(spark):
+    docs = common.documents(spark, SF)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = langid._sample(docs, 5, "text", "lang")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_prediction_is_the_least_out_of_place_distance(spark):
+    """Against a plain loop over each language's whole profile."""
+    docs = common.documents(spark, SF)
+    learned = langid.learn(docs, F.lit(True), 20)
+    rank = [{} for _ in learned.languages]
+    for k, gram in enumerate(learned.grams.tolist()):
+        for at in range(learned.begin[k], learned.begin[k + 1]):
+            rank[learned.language[at]][gram] = int(learned.rank[at])
+    for text in [r["text"] for r in docs.where("doc_id % 5 = 0").collect()] + ["ab", "xyzzy", "é"]:
+        own = langid.profile(text or "").tolist()
+        want = min(((sum(abs(r[g] - k) if g in r else langid.TOP for k, g in enumerate(own)), lang) for r, lang in zip(rank, learned.languages, strict=True)), default=(0, "und"))
+        assert learned.predict(text) == ((want[1], pytest.approx(1 - want[0] / (langid.TOP * len(own)))) if own else ("und", 0.0))
+
+
 # --- 4 -----------------------------------------------------------------------
 
 
