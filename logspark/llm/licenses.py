@@ -34,7 +34,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logspark.llm.common import let
+from logspark.llm.common import let, unused
 
 # Identifiers of licence sentences, and the sentences in normal form.
 SENTENCES = {
@@ -163,10 +163,11 @@ def licences(ids: Column) -> Column:
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with sentence_ids array<string> (in order) and licences array<string>."""
+    """docs with sentence_ids array<string> (in order) and licences array<string>, in place of columns of these names."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     both = let(identifiers(text), lambda ids: F.struct(ids.alias("i"), licences(ids).alias("l")))
-    return docs.withColumn("_scan", both).withColumns({"sentence_ids": F.col("_scan.i"), "licences": F.col("_scan.l")}).drop("_scan")
+    made = unused(docs, "_scan")
+    return docs.withColumn(made, both).withColumns({"sentence_ids": F.col(f"{made}.i"), "licences": F.col(f"{made}.l")}).drop(made)
 
 
 def oracle() -> str:

@@ -598,6 +598,12 @@ def test_licences_odd(odd):
     assert licenses.scan(odd).count() == len(ODD)
 
 
+def test_licenses_keep_other_columns(spark):
+    docs = spark.createDataFrame([("All rights reserved.", 1, 2)], "text string, _scan int, licences int")
+    found = licenses.scan(docs)
+    assert found.columns == ["text", "_scan", "licences", "sentence_ids"] and found.first()["_scan"] == 1 and isinstance(found.first()["licences"], list)
+
+
 # --- 10 ----------------------------------------------------------------------
 
 
