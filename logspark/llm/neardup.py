@@ -22,18 +22,21 @@ is never grouped.
 What the first look left out (`reexamine`, `across`): in dense nodes, all
 candidates between different components.  In large nodes, classes outside the
 node's largest component are compared with all others if they are few; else
-the node branches again, row by row, by coordinates chosen from its own
-number, and its children are treated alike.  After LEVELS a node is compared
-block by block, exhaustively, whatever its size.  Where a node has few such
-candidates they are confirmed one by one; where it has many, its classes' sets
-are brought to it and compared there (`within`).  So every pair of classes that
-a tree brings together and whose signatures agree is either in one component
-or has been compared, and no step makes more rows than classes times trees,
-but for that last resort.
+the node branches on (`forest`): a path chooses one coordinate after another in
+an order of its own, and a class follows each path of its node down to the first
+branch that SMALL classes at most share.  All levels of a path come from one
+sort by the signature in the path's order, so a large node is settled in one
+step, whatever its size, and its paths grow with it: 1 + (n / SMALL) ** PATHS.
+Where a node has few such candidates they are confirmed one by one; where it
+has many, its classes' sets are brought to it and compared there (`within`).
 
 Recall: two classes at the threshold meet in a root with probability 0.8, and
 there are eight roots; signatures of pairs at the threshold fall below NEAR in
-about 1 of 500.  README.md has the measured recall.
+about 1 of 500.  In large nodes such a pair also has to share a path's branch
+of depth d, with 0.8 ** d for each of the paths; d is log(n / SMALL) over the
+log of one over the resemblance of what else is there, so that templates whose
+texts resemble each other by 0.75 and more lose pairs in very large nodes.
+README.md has the measured recall.
 
 Hot groups: equal sets collapse in a partial aggregate; no node, piece or
 component is gathered in one task, and joins on a class or component cut its
@@ -45,8 +48,8 @@ Classes are numbered by a 64-bit hash of the set.  A task holds the full sets
 of two documents at a time.  Null texts and texts without words are linked
 with nothing.  Rows with a null id join as any other, but give no component
 its number; a component without any id has a null number and its rows are
-kept, and classes of which no row has an id stay apart.  Repeated rows are in
-one class, all rows with the least id are kept.  Texts are read whole.
+kept.  Classes of which no row has an id are linked as others are; their sets
+are read from the rows without an id.  Repeated rows are in one class, all rows with the least id are kept.  Texts are read whole.
 """
 
 from __future__ import annotations
@@ -60,15 +63,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logspark.llm import common
-from logspark.llm.components import components, gathered, spread_join
+from logspark.llm.components import components, spread_join
 from logspark.llm.wordscan import Words, mix
 
 WIDTH = 5
 SIMILARITY = 80
 COORDS = 96
 TREES = 6
-LEVELS = 16
 SMALL = 128
+#: A large node of n classes has 1 + (n / SMALL) ** PATHS paths; parts of their sorted rows have about PART rows.
+PATHS, PART = 0.4, 20_000
 NEAR = 0.68
 HUB_ROWS = 16
 #: Bytes of sets that a node may bring together; candidates of one with more are confirmed pair by pair.
@@ -368,23 +372,98 @@ def within(rows: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return common.arrow(with_sets.repartition("node").sortWithinPartitions("node"), run, "a long, b long")
 
 
-def descend(nodes: DataFrame) -> DataFrame:
-    """(node, cls, sig, root) one level down.  A row goes to its children by itself, so large nodes aren't gathered."""
+def paths(rows: DataFrame) -> DataFrame:
+    """(key, cls, size, root): rows (node, cls, sig, root, n), once for each path of their node.
+
+    A path is the node's number and one order of all coordinates; the key is a path's hash and the signature in its order.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h = mix(batch.column(0).to_numpy().view(np.uint64))
+            node, n = batch.column(0).to_numpy().view(np.uint64), batch.column(4).to_numpy()
             sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, WIDE)
-            second = np.flatnonzero((h >> np.uint64(20)) % np.uint64(4) == 0)
-            for rows, shift in ((np.arange(len(h)), 0), (second, 8)):
-                c = ((h[rows] >> np.uint64(shift)) % np.uint64(COORDS)).astype(np.int64)
-                child = mix((h[rows] ^ (c + 1 + COORDS * shift).astype(np.uint64)) + sig[rows, c] * np.uint64(0x9E3779B97F4A7C15))
-                if len(rows):
-                    yield pa.RecordBatch.from_arrays([pa.array(child.astype(np.int64)), *(batch.column(k).take(pa.array(rows)) for k in (1, 2, 3))], names=["node", "cls", "sig", "root"])
+            many = np.ceil((n / SMALL) ** PATHS).astype(np.int64) + 1
+            for k in range(int(many.max())):
+                at = np.flatnonzero(many > k)
+                path = mix(node[at] + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+                key = np.concatenate([path.astype(">u8").view(np.uint8).reshape(-1, 8), np.take_along_axis(sig[at, :COORDS], _order(path), 1)], axis=1)
+                size = np.ascontiguousarray(sig[at, COORDS:]).view("<u4")[:, 0].astype(np.int64)
+                rows = pa.array(at)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in key], pa.binary()), batch.column(1).take(rows), pa.array(size), batch.column(3).take(rows)], names=["key", "cls", "size", "root"])
+
+    return common.arrow(rows.select("node", "cls", "sig", "root", "n"), run, "key binary, cls long, size long, root long")
+
+
+def _order(path: np.ndarray) -> np.ndarray:
+    """The order of the coordinates along each path, a row a path."""
+    each, which = np.unique(path, return_inverse=True)
+    return np.argsort(mix(each[:, None] ^ (np.arange(1, COORDS + 1, dtype=np.uint64) << np.uint64(40))[None, :]), axis=1)[which]
+
+
+def _shared(key: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """How many bytes at their beginning two keys share, row by row."""
+    differ = key != other
+    return np.where(differ.any(1), differ.argmax(1), key.shape[1])
+
+
+def leaves(key: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """(rows, depth) of sorted keys: rows of each leaf's prefix length.
+
+    A leaf is the shortest prefix that SMALL rows at most share.  Rows that share bytes with the first or the last key may
+    stand in a leaf that goes on in the part beside this one, where it may lie deeper: they are given at all depths from
+    their own leaf's to the last one that they share with that key.  Rows with equal keys in greater number are cut into runs.
+    """
+    n, width = key.shape
+    free, out = np.ones(n, bool), []
+    step = _shared(key[1:], key[:-1])
+    first, last = _shared(key, key[:1].repeat(n, 0)), _shared(key, key[-1:].repeat(n, 0))
+    edge = np.maximum(np.where(first >= 8, first, 0), np.where(last >= 8, last, 0))
+    for depth in range(8, width + 1):
+        begin = np.concatenate(([0], np.flatnonzero(step < depth) + 1, [n]))
+        size = np.repeat(np.diff(begin), np.diff(begin))
+        new = free & ((size <= SMALL) | (depth == width))
+        rows = np.flatnonzero(new | (~free & (edge >= depth)))
+        if len(rows):
+            out.append((rows, depth))
+        free &= ~new
+        if not (free.any() or (edge > depth).any()):
+            break
+    return out
+
+
+def forest(rows: DataFrame, n_rows: int) -> DataFrame:
+    """(node, cls, sig, root): the leaves of large nodes (node, cls, sig, root, n), all levels of a path from one sort.
+
+    Rows are dealt by ranges of their keys, so a node of any size is cut into parts of like numbers of rows; what stands
+    together under a prefix meets though a border may cut it (`leaves`).
+    """
 
-    return common.arrow(nodes.select("node", "cls", "sig", "root"), run, "node long, cls long, sig binary, root long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]  # a part of about PART rows
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        key = np.frombuffer(b"".join(table.column(0).to_pylist()), np.uint8).reshape(-1, 8 + COORDS)
+        cls, root = table.column(1).to_numpy(), table.column(3).to_numpy()
+        size = table.column(2).to_numpy().astype("<u4").view(np.uint8).reshape(-1, 4)
+        path = np.ascontiguousarray(key[:, :8]).view(">u8")[:, 0].astype(np.uint64)
+        plain = np.empty((len(key), COORDS), np.uint8)
+        np.put_along_axis(plain, _order(path), key[:, 8:], 1)
+        sig = np.concatenate([plain, size], axis=1)
+        for at, depth in leaves(key):
+            name = path[at].copy()
+            for k in range(8, depth):
+                name = mix(name + key[at, k].astype(np.uint64) + np.uint64(1))
+            if depth == key.shape[1]:  # equal signatures, too many for one node
+                _, first, which = np.unique(name, return_index=True, return_inverse=True)
+                name = mix(name + ((np.arange(len(at)) - first[which]) // SMALL).astype(np.uint64))
+            for k in range(0, len(at), 20_000):
+                part = slice(k, k + 20_000)
+                yield pa.RecordBatch.from_arrays([pa.array(name[part].astype(np.int64)), pa.array(cls[at[part]]), pa.array([x.tobytes() for x in sig[at[part]]], pa.binary()), pa.array(root[at[part]])], names=["node", "cls", "sig", "root"])
+
+    return common.arrow(paths(rows).repartitionByRange(max(1, n_rows // PART), "key").sortWithinPartitions("key", "cls"), run, "node long, cls long, sig binary, root long")
 
 
 def _sized(nodes: DataFrame) -> tuple[DataFrame, int]:
@@ -412,45 +491,37 @@ def with_root(rows: DataFrame, root: DataFrame) -> DataFrame:
 
 
 def reexamine(rows: DataFrame, n_large: int) -> DataFrame:
-    """(node, cls, sig, root): small nodes in which all pairs of large nodes (with n) that may matter stand together.
+    """(node, cls, sig, root): small nodes in which the pairs of large nodes (with n) that may matter stand together.
 
-    What is in one component (root) needs no comparison; rows take their root along down the tree.
+    What is in one component (root) needs no comparison.
     """
-    out: DataFrame | None = None
-    for level in range(LEVELS + 1):
-        by_root = rows.groupBy("node", "root").agg(F.count("*").alias("k"))
-        tops = by_root.groupBy("node").agg(F.max_by("root", F.struct("k", "root")).alias("top"), (F.sum("k") - F.max("k")).alias("others"))
-        tops = tops.where("others > 0")
-        judged = common.cut(rows.join(F.broadcast(tops), "node") if n_large <= BROADCAST_ROWS else spread_join(rows, tops, "node", "cls"))
-        block = F.pmod(F.xxhash64("node", "cls"), F.ceil(F.col("n") / SMALL)).cast("int")
-        all_blocks = F.sequence(F.lit(0), F.ceil(F.col("n") / SMALL).cast("int") - 1)
-        # Few outside the largest component: they go to every block, and no two of the others need to meet.  These are
-        # five times the node's rows at most; a node goes down the tree where that makes less of it.
-        is_few = (F.col("others") <= SMALL) | ((F.col("others") <= 4 * SMALL) & (4 * F.col("others") <= F.col("n")))
-        few = judged.where(is_few)
-        places = F.when(F.col("root") != F.col("top"), all_blocks).otherwise(F.array(block))
-        found = few.select("node", "cls", "sig", "root", F.explode(places).alias("x")).select(F.xxhash64("node", "x").alias("node"), "cls", "sig", "root")
-        out = found if out is None else out.union(found)
-        rest = judged.where(~is_few).select("node", "cls", "sig", "n", "root")
-        if level == LEVELS:
-            pair = rest.select("node", "cls", "sig", "root", block.alias("x"), F.explode(all_blocks).alias("y"))
-            return out.union(pair.select(F.xxhash64("node", F.least("x", "y"), F.greatest("x", "y"), F.lit(2)).alias("node"), "cls", "sig", "root"))
-        left = rest.count()
-        if not left:
-            return out
-        children, n_large = _sized(common.cut(descend(gathered(rest, left, 20_000))))
-        out = out.union(children.where(F.col("n").isNull()).select("node", "cls", "sig", "root"))
-        if not n_large:
-            return out
-        rows = children.where(F.col("n").isNotNull())
-    return out
+    by_root = rows.groupBy("node", "root").agg(F.count("*").alias("k"))
+    tops = by_root.groupBy("node").agg(F.max_by("root", F.struct("k", "root")).alias("top"), (F.sum("k") - F.max("k")).alias("others"))
+    tops = tops.where("others > 0")
+    judged = common.cut(rows.join(F.broadcast(tops), "node") if n_large <= BROADCAST_ROWS else spread_join(rows, tops, "node", "cls"))
+    block = F.pmod(F.xxhash64("node", "cls"), F.ceil(F.col("n") / SMALL)).cast("int")
+    all_blocks = F.sequence(F.lit(0), F.ceil(F.col("n") / SMALL).cast("int") - 1)
+    # Few outside the largest component: they go to every block, and no two of the others need to meet.  These are
+    # five times the node's rows at most; a node branches where that makes less of it.
+    is_few = (F.col("others") <= SMALL) | ((F.col("others") <= 4 * SMALL) & (4 * F.col("others") <= F.col("n")))
+    places = F.when(F.col("root") != F.col("top"), all_blocks).otherwise(F.array(block))
+    few = judged.where(is_few).select("node", "cls", "sig", "root", F.explode(places).alias("x"))
+    found = few.select(F.xxhash64("node", "x").alias("node"), "cls", "sig", "root")
+    rest = judged.where(~is_few).select("node", "cls", "sig", "root", "n")
+    many = rest.agg(F.sum(F.ceil(F.pow(F.col("n") / SMALL, F.lit(PATHS))) + 1)).first()[0]
+    return found.union(forest(rest, int(many))) if many else found
 
 
 def full_sets(members: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """(cls, items): the sets of the classes in members (cls, rep), read again from the document rep of each."""
-    ids = members.select(F.col("rep").alias("doc_id"), "cls")
+    """(cls, items): the sets of the classes in members (cls, rep), read again from the document rep of each.
+
+    Classes without a rep are sought in the rows without an id.
+    """
+    ids = members.where(F.col("rep").isNotNull()).select(F.col("rep").alias("doc_id"), "cls")
+    bare = members.where(F.col("rep").isNull()).select("cls")
     few = members.count() <= BROADCAST_ROWS
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids) if few else ids, "doc_id")
+    whole = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    texts = whole.join(F.broadcast(ids) if few else ids, "doc_id").select("text", "cls")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw in common.chunks(batches):
@@ -459,10 +530,15 @@ def full_sets(members: DataFrame, docs: DataFrame, width: int) -> DataFrame:
             cls = np.zeros(len(size), np.int64)
             if len(value):
                 cls[size > 0] = _class_of(value, at[:-1][size > 0], size[size > 0]).astype(np.int64)
-            ours = np.flatnonzero((cls == batch.column(1).to_numpy()) & (size > 0))  # an id may stand at several texts
+            asked = batch.column(1)  # null: any class
+            ours = np.flatnonzero((asked.is_null().to_numpy(zero_copy_only=False) | (cls == asked.fill_null(0).to_numpy())) & (size > 0))  # an id may stand at several texts
             yield pa.RecordBatch.from_arrays([pa.array(cls[ours]), pa.array([value[at[k] : at[k + 1]].tobytes() for k in ours], pa.binary())], names=["cls", "items"])
 
-    return common.arrow(texts.select("text", "cls"), sets, "cls long, items binary").dropDuplicates(["cls"])
+    found = common.arrow(texts, sets, "cls long, items binary")
+    if not bare.isEmpty():
+        unnamed = whole.where(F.col("doc_id").isNull()).select("text", F.lit(None).cast("long").alias("cls"))
+        found = found.union(common.arrow(unnamed, sets, "cls long, items binary").join(F.broadcast(bare) if few else bare, "cls", "left_semi"))
+    return found.dropDuplicates(["cls"])
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -494,9 +570,8 @@ def links(classes: DataFrame, docs: DataFrame, width: int, similarity: int) -> D
     """(node, root) of the classes that are linked with another; see the module's text."""
 
     def sets_of(*wanted: DataFrame) -> DataFrame:
-        # Classes whose rows all lack an id can't be read again by id.
         ids = reduce(DataFrame.union, wanted).toDF("cls").distinct()
-        members = common.cut(classes.select("cls", "rep").where(F.col("rep").isNotNull()).join(ids, "cls", "left_semi"))
+        members = common.cut(classes.select("cls", "rep").join(ids, "cls", "left_semi"))
         return common.cut(full_sets(members, docs, width))
 
     nodes, n_large = _sized(classes.select(F.explode("roots").alias("node"), "cls", "sig"))

@@ -391,8 +391,8 @@ def test_near_duplicates(spark, table, width):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in rows.values())
 
 
-@pytest.mark.parametrize("small, levels", [(32, 0), (24, 2), (128, 16)])
-def test_large_group_in_blocks(spark, monkeypatch, small, levels):
+@pytest.mark.parametrize("small, part", [(32, 20_000), (24, 50), (128, 20_000)])
+def test_large_group_in_paths(spark, monkeypatch, small, part):
     rng = random.Random(1)
     base = [f"w{k}" for k in range(120)]
     texts = {}
@@ -402,7 +402,7 @@ def test_large_group_in_blocks(spark, monkeypatch, small, levels):
             words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
         texts[d] = " ".join(words)
     monkeypatch.setattr(neardup, "SMALL", small)
-    monkeypatch.setattr(neardup, "LEVELS", levels)
+    monkeypatch.setattr(neardup, "PART", part)
     monkeypatch.setattr(neardup, "HUB_ROWS", 4)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     rows = rows_of(neardup.near_duplicates(docs, width=2))
@@ -411,6 +411,37 @@ def test_large_group_in_blocks(spark, monkeypatch, small, levels):
     assert {d: r["component_id"] for d, r in rows.items()} == want
 
 
+@pytest.mark.parametrize("parts", [1, 4, 13])
+def test_leaves_meet_over_borders(parts, monkeypatch):
+    monkeypatch.setattr(neardup, "SMALL", 6)
+    key = np.random.default_rng(5).integers(0, 3, (300, 8 + 7)).astype(np.uint8)
+    key[:, :8] = key[:, :1]
+    key = key[np.lexsort(key.T[::-1])]
+    met, n = collections.defaultdict(set), len(key)
+    for rows in np.array_split(np.arange(n), parts):
+        for at, depth in neardup.leaves(key[rows]):
+            for k in rows[at]:
+                met[key[k, :depth].tobytes()].add(int(k))
+    for depth in range(8, 16):  # all prefixes that few rows share stand together somewhere
+        share = collections.defaultdict(set)
+        for k in range(n):
+            share[key[k, :depth].tobytes()].add(k)
+        for name, rows in share.items():
+            if len(rows) <= 6:
+                assert any(rows <= met[name[:d]] for d in range(8, depth + 1)), name
+
+
+def test_classes_without_ids_are_linked(spark):
+    words = [f"w{k}" for k in range(60)]
+    chain = [" ".join(words[k:] + [f"y{j}" for j in range(k)]) for k in (0, 5, 10)]
+    rows = [(1, chain[0]), (None, chain[1]), (3, chain[2]), (4, "quite other words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want, _ = brute_components(dict(enumerate(chain)), 2)
+    assert set(want.values()) == {0}
+    found = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, width=2).collect()}
+    assert found == {1: 1, None: 1, 3: 1, 4: 4}
+
+
 def test_near_duplicates_odd(odd, none):
     rows = neardup.near_duplicates(odd, width=2).collect()
     assert len(rows) == len(ODD) and neardup.near_duplicates(none).count() == 0
