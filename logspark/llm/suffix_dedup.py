@@ -33,13 +33,17 @@ open runs; the same plan at every size.  The hash of a span has 64 bits and
 is compared only inside a bucket, with a span of the same length.
 
 Hot buckets (`hot_buckets`): filing hashes with more than HOT_RUNS different
-spans (or a 65,536th of all runs, if that is more: so they are 65,536 at
-most, half a megabyte) are found on a sixteenth of all pieces of text.  Their
-windows are dealt one by one, by two 64-bit hashes of their LENGTH bytes
+spans, found on a sixteenth of all pieces of text, whatever the size of the
+table.  They are marked in a filter of HOT_BITS bits, 2 MB; a bucket that falls
+on another's bit is dealt as a hot one, with the same results.  The windows of
+hot buckets are dealt one by one, by two 64-bit hashes of their LENGTH bytes
 together, after equal ones of one buffer are merged; so neither a passage in
 very many documents nor its surroundings meet in one task.  The sample
 decides how windows are dealt, never what is compared.
 
+Parts (`parts_of`): a task holds one part of the buckets at a time; there are
+as many as the texts' counted bytes ask for.
+
 Ids are integers (others raise TypeError).  Null texts are empty.  Rows with
 a null id come after all others.  Rows with equal id and text are one
 document, each gets its result; equal ids with different texts are ordered by
@@ -72,6 +76,8 @@ SEGMENT, RUN_MOST, BUFFER = 900_000, 1024, 12 << 20
 SORTED = 2 << 20
 #: A bucket of more different spans is dealt by window; one piece of text in SAMPLED is looked at to find them.
 HOT_RUNS, SAMPLED, PIECE = 5000, 16, 4096
+#: Bits of the filter of hot buckets, and bytes of text whose buckets make a part at most, on average.
+HOT_BITS, PART_BYTES = 1 << 24, 128 << 20
 _FACTOR = np.uint64(0xD6E8FEB86659FD93)
 _OTHER = np.random.default_rng(41).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LAST_ID = np.iinfo(np.int64).max
@@ -307,8 +313,8 @@ def _segments(batches: Iterator[pa.RecordBatch], length: int, with_crc: bool) ->
         yield given()
 
 
-def hot_buckets(docs: DataFrame, length: int, q: int, most: int = HOT_RUNS, sampled: int = SAMPLED) -> np.ndarray:
-    """Filing hashes of buckets with very many different spans, ascending; 65,536 at most, by the bound that they pass."""
+def hot_buckets(docs: DataFrame, length: int, q: int, most: int = HOT_RUNS, sampled: int = SAMPLED, n_bits: int = HOT_BITS) -> np.ndarray:
+    """The filter of buckets with more than `most` different spans, a bit for each of n_bits slots (`_slot`); empty if there are none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in common.chunks(batches):
@@ -324,12 +330,25 @@ def hot_buckets(docs: DataFrame, length: int, q: int, most: int = HOT_RUNS, samp
                 _, first, n, v, _ = found.runs(length, q)
                 pair = np.unique(np.stack([v, found.spans(first, first + n - 1 + length)], 1), axis=0)
                 v, count = np.unique(pair[:, 0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(count)], names=["v", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(_slot(v, n_bits).astype(np.int64)), pa.array(count)], names=["v", "slot", "n"])
+
+    counts = common.arrow(docs, run, "v long, slot long, n long").groupBy("v", "slot").agg(F.sum("n").alias("n"))
+    words = counts.where(F.col("n") > most // sampled).groupBy(F.expr("slot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits")).collect()
+    out = np.zeros(n_bits // 64 if words else 0, np.uint64)
+    for r in words:
+        out[r["word"]] = r["bits"] & 0xFFFFFFFFFFFFFFFF
+    return out
+
+
+def _slot(v: np.ndarray, n_bits: int) -> np.ndarray:
+    """Each filing hash's place in the filter of hot buckets."""
+    return mix(v) % np.uint64(n_bits)
+
 
-    counts = common.cut(common.arrow(docs, run, "v long, n long").groupBy("v").agg(F.sum("n").alias("n")))
-    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
-    found = counts.where(F.col("n") > max(most // sampled, total // 65536)).select("v").collect()
-    return np.sort(np.array([r["v"] for r in found], np.int64).view(np.uint64))
+def parts_of(docs: DataFrame) -> int:
+    """In how many parts the buckets of docs are dealt."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
 
 
 _PACKETS = "part int, kind int, packed binary"
@@ -403,7 +422,10 @@ def first_pass(docs: DataFrame, parts: int, length: int, q: int, with_crc: bool,
             rows = np.empty(len(first), RUN)
             rows["v"], rows["span"], rows["doc"], rows["crc"] = (v >> np.uint64(32)).astype(np.uint32), texts.spans(first, first + n - 1 + length), doc[text], crc[text]
             rows["at"], rows["n"], rows["twice"] = first - texts.start[text] + offset[text], n, twice
-            is_hot = hot[np.minimum(np.searchsorted(hot, v), len(hot) - 1)] == v if len(hot) else np.zeros(len(v), bool)
+            is_hot = np.zeros(len(v), bool)
+            if len(hot):
+                slot = _slot(v, 64 * len(hot))
+                is_hot = (hot[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
             windows = np.zeros(0, WINDOW)
             if is_hot.any():
                 at = _places(first[is_hot], n[is_hot])
@@ -543,9 +565,9 @@ class Keyed:
 
     def with_repeats(self, length: int, q: int) -> DataFrame:
         """docs beside the packed pairs (first window, end of windows) of their repeated windows, as `more`."""
-        parts = 8 * int(self.rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        parts = parts_of(self.rows)
         rows = self.rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        settled = common.cut(settle(first_pass(rows, parts, length, q, self.with_crc, hot_buckets(rows, length, q, HOT_RUNS, SAMPLED))))
+        settled = common.cut(settle(first_pass(rows, parts, length, q, self.with_crc, hot_buckets(rows, length, q, HOT_RUNS, SAMPLED, HOT_BITS))))
         # Equal rows come from repeated documents.
         runs = settled.where(F.col("v").isNotNull()).groupBy("doc", "crc").agg(F.collect_set(F.struct("at", "v")).alias("runs"))
         packets = open_runs(self.beside(runs, "inner"), [self.doc, self.crc, "text", self.more], parts, length)

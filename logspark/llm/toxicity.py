@@ -51,9 +51,8 @@ from logspark.llm import common
 from logspark.llm.quality_fm import labelled
 from logspark.llm.wordscan import Words
 
-#: Labelled rows used by a fit at most, and terms that it may learn.
+#: Labelled rows used by a fit at most; they bound the terms that it may learn.
 MAX_ROWS = 12000
-MAX_TERMS = 4000
 THRESHOLD = 0.5
 SCOPE = 3
 REPORTED, NEGATED, TARGETED = 0.5, 0.4, 1.5
@@ -250,8 +249,8 @@ def learn_terms(counts: DataFrame, toxic: int, clean: int) -> dict[str, float]:
         return {}
     rate = F.log(((F.col("toxic") + 0.2) / (toxic + 1)) / ((F.col("clean") + 0.5) / (clean + 1)))
     least = max(3, int(0.004 * toxic))
-    rows = counts.where(F.col("toxic") >= least).withColumn("weight", rate).where((F.col("weight") > 1.6) & (F.col("toxic") > 2 * F.col("clean"))).orderBy(F.desc("weight"), "term").limit(MAX_TERMS).collect()
-    found = {r["term"]: (r["toxic"], float(r["weight"])) for r in rows}
+    rows = counts.where(F.col("toxic") >= least).withColumn("weight", rate).where((F.col("weight") > 1.6) & (F.col("toxic") > 2 * F.col("clean"))).collect()
+    found = {r["term"]: (r["toxic"], float(r["weight"])) for r in sorted(rows, key=lambda r: (-r["weight"], r["term"]))}  # bounded by the sample
     longer: dict[str, int] = {}  # the most texts of a longer term, by its beginnings
     for term, (n, _) in found.items():
         for k in STEMS:

@@ -674,6 +674,16 @@ def test_suffix_dedup_hot_buckets_and_long_texts(spark, table, monkeypatch, hot)
     assert digests(suffix_dedup.digests(docs)) == brute_repeats(some)
 
 
+def test_suffix_dedup_small_filter_and_parts(spark, table, monkeypatch):
+    """Most buckets fall on a hot one's bit; parts by the bytes of the texts."""
+    for name, value in (("HOT_RUNS", 3), ("SAMPLED", 1), ("HOT_BITS", 128), ("PART_BYTES", 10_000)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    docs = common.documents(spark, SF)
+    assert suffix_dedup.parts_of(docs) == -(-sum(len((x or "").encode()) for x in table.values()) // 10_000)
+    assert len(suffix_dedup.hot_buckets(docs, 100, 32, 3, 1, 128)) == 2
+    assert digests(suffix_dedup.digests(docs)) == brute_repeats(table)
+
+
 def test_one_least_gram_everywhere(spark, monkeypatch):
     """One 32-byte string with other surroundings in every text: its bucket is hot and is dealt by window."""
     monkeypatch.setattr(suffix_dedup, "HOT_RUNS", 100)
