@@ -9,16 +9,24 @@ shingles.  A sketch with fewer than K hashes holds the whole set.
 
 From sketches: `resemblance` (Jaccard), `containment` and `shingle_count`.
 
-`with_next` puts every document beside the one after it by descending id.
-Ids are cut into ranges at approximate quantiles (at most MAX_RANGES, which
-come to the driver); each range is one group of a single shuffle, and the
+Sketches of parts (of a text, a source, the whole table) merge by `merged`, an
+aggregate: every task sends K hashes of a key at most.
+
+`with_next` puts every document beside the one after it by descending id.  The
+order is cut into ranges, each one group of a single shuffle of the texts; the
 document that ends a range is sent to the next range too, so no range needs
-another one's rows and no task gets all rows.
+another one's rows and no task gets all rows.  Their number follows the texts'
+bytes (RANGE_BYTES each) and the session's shuffle partitions; the borders, as
+many, come to the driver as two numbers each, as for any sort in Spark.
 
 Texts: null counts as empty; two empty sketches resemble each other fully,
-an empty and another not at all.  Texts are read whole.  Equal ids are
-ordered by the text's hash, null ids come last.  Of one row alone the next
-is itself.
+an empty and another not at all.  Texts are read whole.  Ids are integers.
+Equal ids are ordered by the text's hash, and borders may fall between them;
+null ids come last, as if they were the least number.  Rows of one id and text
+are all the same; from HOT of them on they are counted first, one goes the usual
+way, and the others, each followed by its like, are written out over all
+partitions.  Of one row alone the next is itself.  `fingerprint` replaces
+columns that are called sketch or n_shingles.
 """
 
 from __future__ import annotations
@@ -26,13 +34,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logspark.llm import common
 from logspark.llm.common import let
 from logspark.llm.quality_rules import words
 
 K = 128
 WORDS = 5
-MAX_RANGES = 2048
-ROWS_A_RANGE = 500
+#: A range of ids holds about so many bytes of text; on small tables there are so many ranges to a shuffle partition.
+RANGE_BYTES, RANGES_A_PARTITION = 256 << 20, 4
+#: Candidates for each border; the more, the more even the ranges.
+CANDIDATES = 4
+#: Rows of one id and text beyond which they are counted; copies written by one task at a time; keys to broadcast at most.
+HOT, COPIES, FEW = 1000, 1000, 100_000
+LEAST = -(2**63)
 
 
 def lower(text: Column) -> Column:
@@ -79,44 +93,100 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 16, "0")), "")
 
 
-def _ranges(docs: DataFrame, id_col: str, rows_a_range: int) -> tuple[list[int], int | None]:
-    """Ids that end the ranges, ascending, without the largest; the largest id."""
-    seen = docs.agg(F.count(id_col).alias("n"), F.max(id_col).alias("top")).first()
-    parts = min(MAX_RANGES, max(1, (seen["n"] or 0) // rows_a_range))
-    if parts < 2:
-        return [], seen["top"]
-    ends = docs.agg(F.percentile_approx(id_col, [k / parts for k in range(1, parts)], 20_000).alias("ends")).first()["ends"]
-    return sorted({e for e in ends if e < seen["top"]}), seen["top"]
+def merged(parts: DataFrame, *keys: str, sketch_col: str = "sketch", k: int = K) -> DataFrame:
+    """(keys, sketch) of all parts of a key together; a key whose sketches are empty or null has an empty one.
+
+    Equal hashes meet in a shuffle by key and hash, so a hot key is spread; then every task keeps a key's k smallest
+    before they are brought together by key.
+    """
+    hashes = parts.select(*keys, F.explode_outer(sketch_col).alias("_hash")).distinct()
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("_hash").asc_nulls_last()))
+    least = hashes.withColumn("_place", place).where(F.col("_place") <= k)
+    return least.groupBy(*keys).agg(F.sort_array(F.collect_list("_hash")).alias(sketch_col))
+
+
+def _longs(values: list[int]) -> Column:
+    """One array literal, made from one string."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def _borders(keys: DataFrame, n: int, ranges: int) -> list[tuple[int, int]]:
+    """About ranges - 1 of the n different keys (_k, _t), evenly spread, ascending."""
+    share = min(1.0, CANDIDATES * ranges / max(n, 1))
+    chosen = (F.xxhash64("_t", "_k").cast("double") + 2.0**63) / 2.0**64 < share
+    found = sorted((r["_k"], r["_t"]) for r in keys.where(chosen).select("_k", "_t").collect())
+    step = max(1, round(len(found) / ranges))
+    return found[step - 1 :: step] if ranges > 1 else []
+
+
+def _places(borders: list[tuple[int, int]], top: tuple[int, int]) -> Column:
+    """Ranges of a row as structs (range, extra): its own, and the one above if it ends its own; the first row ends the lowest."""
+    ends = [b for b in borders if b < top]
+    own_only = F.struct(F.lit(0).alias("range"), F.lit(False).alias("extra"))
+
+    def is_key(key: Column, k: Column, t: Column) -> Column:
+        return (key["_k"] == k) & (key["_t"] == t)
+
+    def extra(condition: Column, place: Column) -> Column:
+        return F.when(condition, F.struct(place.alias("range"), F.lit(True).alias("extra")))
+
+    def placed(key: Column) -> Column:
+        first = extra(is_key(key, F.lit(top[0]), F.lit(top[1])), F.lit(0))
+        if not ends:
+            return F.array_compact(F.array(own_only, first))
+        ks, ts = _longs([k for k, _ in ends]), _longs([t for _, t in ends])
+
+        def step(at: Column, s: Column) -> Column:
+            k, t = F.get(ks, at + s - 1), F.get(ts, at + s - 1)
+            return F.when((k < key["_k"]) | ((k == key["_k"]) & (t < key["_t"])), at + s).otherwise(at)
+
+        # How many ends are below the key: found by halving, the largest step first.
+        below = F.aggregate(F.array(*(F.lit(1 << b) for b in reversed(range(len(ends).bit_length())))), F.lit(0), step)
+
+        def with_own(own: Column) -> Column:
+            ended = is_key(key, F.get(ks, own), F.get(ts, own))
+            return F.array_compact(F.array(F.struct(own.alias("range"), F.lit(False).alias("extra")), extra(ended, own + 1), first))
+
+        return let(below, with_own)
 
+    return let(F.struct("_k", "_t"), placed)
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
-    """(id, text, sketch, next_text, next_sketch); next by descending id, after the last comes the first."""
-    ends, top = _ranges(docs, id_col, rows_a_range)
-    step = 32
-    last_of_step = ends[step - 1 :: step]
-    all_ends, coarse = F.lit(ends) if ends else None, F.lit(last_of_step) if last_of_step else None
-    key = F.col(id_col)
 
-    def below(bounds: Column) -> Column:
-        return F.size(F.filter(bounds, lambda e: e < key))
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_a_range: int | None = None, hot: int = HOT) -> DataFrame:
+    """(id, text, sketch, next_text, next_sketch); next by descending id, after the last comes the first.
 
-    if not ends:
-        own = F.lit(0)
-    elif not last_of_step:
-        own = below(all_ends)
+    rows_a_range, where given, sets the size of ranges by rows.
+    """
+    spark = docs.sparkSession
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("_id"), text.alias("text"))
+    rows = rows.withColumns({"_k": F.coalesce(F.col("_id").cast("long"), F.lit(LEAST)), "_t": F.xxhash64("text")})
+    keys = common.cut(rows.groupBy("_k", "_t").agg(F.count("*").alias("_n"), F.sum(F.octet_length("text")).alias("bytes")))
+    seen = keys.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("_k", "_t")).alias("top"), F.count_if(F.col("_n") > hot).alias("hot")).first()
+    if rows_a_range:
+        ranges = max(1, seen["n"] // rows_a_range)
     else:
-        own = let(below(coarse) * step, lambda k: k + below(F.slice(all_ends, k + 1, step)))
-    is_end = F.array_contains(F.slice(all_ends, F.greatest(own, F.lit(0)) + 1, 1), key) if ends else F.lit(False)
-    places = F.array(F.struct(F.coalesce(own, F.lit(0)).alias("range"), F.lit(False).alias("extra")))
-    places = F.when(is_end, F.concat(places, F.array(F.struct((own + 1).alias("range"), F.lit(True).alias("extra"))))).otherwise(places)
-    first = key.isNull() if top is None else key == top
-    places = F.when(first, F.concat(places, F.array(F.struct(F.lit(0).alias("range"), F.lit(True).alias("extra"))))).otherwise(places)
-    rows = docs.select(key.alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.explode(places).alias("_p"))
-    dealt = rows.select("_id", "text", F.col("_p.range").alias("_range"), F.col("_p.extra").alias("_extra")).repartition("_range")
-    order = Window.partitionBy("_range").orderBy("_extra", F.col("_id").desc_nulls_last(), F.col("_tie"))
-    sketched = dealt.withColumn("sketch", sketch(F.col("text"))).withColumn("_tie", F.xxhash64("text"))
+        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        ranges = max(RANGES_A_PARTITION * partitions, (seen["bytes"] or 0) // RANGE_BYTES)
+    top = tuple(seen["top"]) if seen["top"] else (LEAST, LEAST)
+    one = None
+    if seen["hot"]:
+        many = keys.where(F.col("_n") > hot).select("_k", "_t", F.lit(True).alias("_hot"))
+        marked = rows.join(F.broadcast(many) if seen["hot"] <= FEW else many, ["_k", "_t"], "left")
+        one = marked.where("_hot").groupBy("_id", "text", "_k", "_t").agg(F.count("*").alias("_n"))
+        rows = marked.where("_hot is null").select("_id", "text", "_k", "_t").unionByName(one.drop("_n"))
+    placed = rows.withColumn("_p", F.explode(_places(_borders(keys, seen["n"], ranges), top)))
+    dealt = placed.select("_id", "text", "_k", "_t", F.col("_p.range").alias("_range"), F.col("_p.extra").alias("_extra")).repartition("_range")
+    order = Window.partitionBy("_range").orderBy("_extra", F.desc("_k"), F.desc("_t"))
+    sketched = dealt.withColumn("sketch", sketch(F.col("text")))
     paired = sketched.withColumn("next_text", F.lead("text").over(order)).withColumn("next_sketch", F.lead("sketch").over(order))
-    return paired.where(~F.col("_extra")).select(F.col("_id").alias(id_col), "text", "sketch", "next_text", "next_sketch")
+    found = paired.where(~F.col("_extra")).select(F.col("_id").alias(id_col), "text", "sketch", "next_text", "next_sketch")
+    if one is None:
+        return found
+    chunk = F.explode(F.expr(f"sequence(0, (_n - 2) div {COPIES})"))
+    chunks = one.where("_n > 1").withColumn("_chunk", chunk).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_k", "_t", "_chunk")
+    copies = chunks.withColumn("sketch", sketch(F.col("text"))).withColumn("_copy", F.explode(F.expr(f"sequence(1, least({COPIES}, _n - 1 - _chunk * {COPIES}))")))
+    return found.unionByName(copies.select(F.col("_id").alias(id_col), "text", "sketch", F.col("text").alias("next_text"), F.col("sketch").alias("next_sketch")))
 
 
 def fingerprint(docs: DataFrame, text_col: str = "text", k: int = K, n: int = WORDS) -> DataFrame:

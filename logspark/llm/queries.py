@@ -28,7 +28,9 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = fp.edited(fp.with_next(common.documents(spark, sf_dir)))
     texts = {"fingerprint": fp.as_text(F.col("sketch")), "edited_fingerprint": fp.as_text(F.col("edited_sketch"))}
-    return rows.withColumns(texts).select("doc_id", "n_chars", "edited_sha256", *texts, "near_edited", "near_next", fp.shingle_count(F.col("sketch")).alias("n_shingles"))
+    contained = {f"in_{other}": fp.containment(F.col("sketch"), F.col(f"{other}_sketch")) for other in ("edited", "next")}
+    rows = rows.withColumns(texts | contained)
+    return rows.select("doc_id", "n_chars", "edited_sha256", *texts, "near_edited", "near_next", *contained, fp.shingle_count(F.col("sketch")).alias("n_shingles"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
