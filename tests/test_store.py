@@ -330,3 +330,21 @@ def test_parsed_table_still_reads(spark, tmp_path):
     found = classify.classify_lines(derived.lines(spark, SF))
     parsed.save_parsed(found, str(tmp_path / "parsed"))
     assert parsed.read_parsed(spark, str(tmp_path / "parsed")).where(F.col("kind") == "cron").count() == found.where("kind = 'cron'").count()
+
+
+def test_no_step_of_the_store_shuffles_more_than_its_lines(spark, tmp_path):
+    """Trigrams and counts of the three path modes stay in the tasks that make them: forms and requests are dealt out."""
+    written(spark, [f"2025-03-01T07:00:{k % 60:02d}: GET /shop/{k:05d}/a-long-name-with-many-trigrams?q={k * 7919 % 10007} 200 {k % 499 + 1}.5 ms - 1" for k in range(6_000)], tmp_path / "logs")
+    stages = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled():
+        found = stages.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._gateway.jvm.double, 0), None)
+        return {found.apply(k).stageId(): found.apply(k).shuffleWriteRecords() for k in range(found.size())}
+
+    before = shuffled()
+    store = LogStore(spark, str(tmp_path / "store"))
+    assert store.add_files(str(tmp_path / "logs")) == 1
+    new = {k: n for k, n in shuffled().items() if k not in before}
+    assert store.table("grams").count() > 100_000 and max(new.values()) <= 3 * 6_000  # forms of three modes at most
+    assert sum(new.values()) <= 15 * 6_000
+    assert store.table("cube").groupBy("mode").agg(F.sum("calls").alias("n")).where("n = 6000").count() == 3
