@@ -348,3 +348,12 @@ def test_no_step_of_the_store_shuffles_more_than_its_lines(spark, tmp_path):
     assert store.table("grams").count() > 100_000 and max(new.values()) <= 3 * 6_000  # forms of three modes at most
     assert sum(new.values()) <= 15 * 6_000
     assert store.table("cube").groupBy("mode").agg(F.sum("calls").alias("n")).where("n = 6000").count() == 3
+
+
+def test_search_for_more_trigrams_than_a_number_has_bits(spark, tmp_path):
+    long = "/".join(f"part{k}of" for k in range(20))
+    written(spark, [f"GET /{long}/{end} 200 1.5 ms - 1" for end in ("this", "that")] + [f"GET /{long[:90]} 200 1.5 ms - 1"], tmp_path / "logs")
+    store = LogStore(spark, str(tmp_path / "store"))
+    store.add_files(str(tmp_path / "logs"))
+    assert [r["form"] for r in stored.matching_forms(store, f"{long}/THIS".upper()).collect()] == [f"/{long}/this"]
+    assert stored.matching_forms(store, long).count() == 2
