@@ -510,6 +510,21 @@ def test_packing_odd(odd, none):
     assert packing.pack(none, queries.tokenizer_path()).count() == 0
 
 
+def test_ids_are_the_librarys_and_kept_in_few_bytes():
+    """Common ids take two bytes each before compression, larger ones four; both come back."""
+    from tokenizers import Tokenizer
+
+    whole, encode, rng = Tokenizer.from_file(queries.tokenizer_path()), packing.encoder(queries.tokenizer_path()), random.Random(3)
+    parts = ["it's", "'s", "''s", "don't", "I'LL", " ", "  ", "\n", "\r\n", "\t \n", "a_b", "_", "x1y22", "...", "#$%", "é", "Ñandú", "straße", "я", "“no", "-", "1,000.50", "w" * 300, "<|none|>"]
+    for text in ["".join(rng.choices(parts, k=rng.randrange(40))) for _ in range(500)] + ["", " ", "\n\n", "日本 text", "a\u00a0b", "<|endoftext|> a"]:
+        ids = encode(text)
+        assert ids.dtype == np.uint32 and ids.tolist() == whole.encode(text, add_special_tokens=False).ids
+        for some in (ids, ids + np.uint32(70_000)):
+            assert np.array_equal(packing._ids(packing._packed(some), len(some)), some)
+    noise = np.random.default_rng(0).integers(0, 50_000, 10_000).astype(np.uint32)
+    assert len(packing._packed(noise)) < 21_000
+
+
 def test_neighbours_are_related():
     rng = np.random.default_rng(0)
     docs = [rng.integers(1000 * (k % 5), 1000 * (k % 5) + 60, 300).astype(np.uint32) for k in range(50)]
