@@ -28,9 +28,7 @@ is dealt over as many partitions as its size asks for.  Texts are encoded
 once; the ids are kept compressed in the checkpoint folder.  A sequence's
 number holds its partition's.
 
-Tokens are those of the tokenizers library.  Plain texts are encoded by the
-same vocabulary and pattern in tiktoken, which gives equal ids; texts with
-unusual characters or special tokens go to the tokenizers library itself.
+Tokens are those of the tokenizers library (batch_bpe.py encodes).
 
 Texts: null or empty ones have the end id only.  Texts are read whole.
 Repeated rows are packed each, rows with a null id too.  An empty table
@@ -39,11 +37,9 @@ gives no piece.
 
 from __future__ import annotations
 
-import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logspark.llm import common
-from logspark.llm.bpe import _PLAIN, printable_bytes
+from logspark.llm.batch_bpe import LONG, encoder
 
 WINDOW = 2048
 END = 1
@@ -60,36 +56,8 @@ SHARD_TOKENS = 1_500_000
 K1, B = 1.2, 0.75
 #: Min-hashes by which documents are brought together.
 KEYS = 4
-_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
-@lru_cache(maxsize=2)
-def encoder(path: str):
-    """text -> ids, by the tokenizer file at path."""
-    import tiktoken
-    from tokenizers import Tokenizer
-
-    whole = Tokenizer.from_file(path)
-    whole.no_truncation()
-    whole.no_padding()
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    vocab, back = spec["model"]["vocab"], printable_bytes()
-    merged = [vocab[m.replace(" ", "") if isinstance(m, str) else m[0] + m[1]] for m in spec["model"]["merges"]]
-    special = [t["content"] for t in spec.get("added_tokens", [])]
-    if merged != sorted(merged):  # then ids are no ranks
-        return lambda text: np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
-    ranks = {bytes(back[c] for c in token): k for token, k in vocab.items() if token not in special}
-    # A mark that no text given to it holds; without any, the encoder would look for one at every character.
-    marks = {special[0] if special else "<|none|>": max(vocab.values()) + 1}
-    fast = tiktoken.Encoding("plain", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens=marks)
-
-    def encode(text: str) -> np.ndarray:
-        if _PLAIN.fullmatch(text) and not any(s in text for s in (*special, *marks)):
-            return fast.encode_to_numpy(text, disallowed_special=())
-        return np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
-
-    return encode
+#: Scores by tokens of at least this share of a shard's documents come from products of matrices, BLOCK tokens at a time.
+COMMON, BLOCK = 1 / 16, 2048
 
 
 @dataclass
@@ -102,7 +70,7 @@ class Corpus:
 
     @classmethod
     def of(cls, docs: list[np.ndarray]) -> Corpus:
-        df = np.bincount(np.concatenate([np.unique(ids) for ids in docs]))
+        df = _frequencies(docs)
         return cls(len(docs), sum(map(len, docs)) / len(docs), df)
 
     def idf(self) -> np.ndarray:
@@ -117,34 +85,63 @@ class Corpus:
         return draws.argsort(1, kind="stable").argsort(1, kind="stable").astype(np.int32)
 
 
+def _frequencies(docs: list[np.ndarray], size: int = 0) -> np.ndarray:
+    """In how many documents each token is, for `size` tokens at least: of a token's places in a document one is kept."""
+    place = np.zeros(max(size, 1 + max((int(ids.max()) for ids in docs if len(ids)), default=-1)), np.int64)
+    kept = []
+    for ids in docs:
+        own = np.arange(len(ids))
+        place[ids] = own
+        kept.append(ids[place[ids] == own])
+    return np.bincount(np.concatenate(kept), minlength=len(place))
+
+
+def _postings(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token, document, times) for each pair of them, by token, then document: one sort of all ids."""
+    n, sizes = len(docs), list(map(len, docs))
+    flat = np.concatenate(docs)
+    small = not len(flat) or (int(flat.max()) + 1) * n < 1 << 32
+    keys = flat.astype(np.uint32 if small else np.uint64) * n + np.repeat(np.arange(n, dtype=np.uint32), sizes)
+    keys.sort()
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    term, owner = np.divmod(keys[at], n)
+    return term.astype(np.int64), owner.astype(np.int64), np.diff(at, append=len(keys))
+
+
 class Index:
     """BM25 weights of a shard's documents by token; df, idf and mean length are the corpus's (by default the shard is all)."""
 
     def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None):
         corpus = corpus or Corpus.of(docs)
-        n = len(docs)
-        self.n = n
-        self.terms: list[np.ndarray] = []
-        counts = []
-        for ids in docs:
-            t, c = np.unique(ids, return_counts=True)
-            self.terms.append(t)
-            counts.append(c)
-        sizes = np.fromiter(map(len, self.terms), np.int64, n)
-        owner, term = np.repeat(np.arange(n), sizes), np.concatenate(self.terms).astype(np.int64)
-        tf = np.concatenate(counts).astype(float)
+        self.n = n = len(docs)
+        term, owner, tf = _postings(docs)
         length = np.fromiter(map(len, docs), float, n)
         norm = K1 * (1 - B + B * length / corpus.mean)
         weight = corpus.idf()[term] * tf * (K1 + 1) / (tf + norm[owner])
-        order = np.argsort(term, kind="stable")
-        self.owner, self.weight = owner[order].astype(np.int32), weight[order]
-        self.begin = np.concatenate(([0], np.cumsum(np.bincount(term))))
+        size = np.bincount(term)
+        often = size >= max(2, n * COMMON)
+        #: Scores of each document (column) for each seed (row) by the common tokens.
+        self.common = np.zeros((n, n))
+        place = np.cumsum(often)[term] - 1
+        shared, last = often[term], int(often.sum())
+        for a in range(0, last, BLOCK):
+            some = np.flatnonzero(shared & (place >= a) & (place < a + BLOCK))
+            has, weighs = np.zeros((2, n, min(BLOCK, last - a)))
+            has[owner[some], place[some] - a] = 1
+            weighs[owner[some], place[some] - a] = weight[some]
+            self.common += has @ weighs.T
+        # The others have short lists of documents, and every document a list of them.
+        self.owner, self.weight = owner[~shared], weight[~shared]
+        size = np.where(often, 0, size)
+        self.begin = np.concatenate(([0], np.cumsum(size)))
+        self.terms = np.split(term[~shared][np.argsort(self.owner, kind="stable")], np.cumsum(np.bincount(self.owner, minlength=n))[:-1])
 
     def scores(self, seed: int) -> np.ndarray:
-        a = self.begin[self.terms[seed]]
-        size = self.begin[self.terms[seed].astype(np.int64) + 1] - a
-        at = np.repeat(a - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-        return np.bincount(self.owner[at], weights=self.weight[at], minlength=self.n)
+        terms = self.terms[seed]
+        a = self.begin[terms]
+        size = self.begin[terms + 1] - a
+        at = np.repeat(a - np.concatenate(([0], np.cumsum(size)))[:-1], size) + np.arange(size.sum())
+        return self.common[seed] + np.bincount(self.owner[at], weights=self.weight[at], minlength=self.n)
 
 
 class Packer:
@@ -236,14 +233,14 @@ def encoded(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     """(doc_id, n, packed): each row's number of tokens and its ids, compressed; encoded once and kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
-        for batch in batches:
+        encode = encoder(path).many
+        for rows, texts in common.chunks(batches, limit=LONG):
             n, packed = [], []
-            for text in batch.column(1).to_pylist():
-                ids = np.append(encode(text or ""), np.uint32(end))
+            for ids in encode([text or b"" for text in texts]):
+                ids = np.append(ids, np.uint32(end))
                 n.append(len(ids))
                 packed.append(_packed(ids))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "n", "packed"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "n", "packed"])
 
     kind_of_id = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -256,12 +253,12 @@ def corpus_of(rows: DataFrame) -> Corpus:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, docs, length = np.zeros(0, np.int64), 0, 0
         for batch in batches:
-            for n, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                terms = np.unique(_ids(packed, n))
-                if terms[-1] >= len(df):
-                    df = np.concatenate([df, np.zeros(int(terms[-1]) + 1 - len(df), np.int64)])
-                df[terms] += 1
-                docs, length = docs + 1, length + n
+            if not batch.num_rows:
+                continue
+            some = [_ids(packed, n) for n, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            found = _frequencies(some, len(df))
+            found[: len(df)] += df
+            df, docs, length = found, docs + len(some), length + sum(map(len, some))
         terms = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(terms, [-1, -2])), pa.array(np.append(df[terms], [docs, length]))], names=["term", "n"])
 

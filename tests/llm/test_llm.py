@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-from logspark.llm import bpe, common, components, fingerprints, langid, licenses, neardup, packing, quality_fm, quality_rules, queries, suffix_dedup, toxicity
+from logspark.llm import batch_bpe, bpe, common, components, fingerprints, langid, licenses, neardup, packing, quality_fm, quality_rules, queries, suffix_dedup, toxicity
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -525,6 +525,56 @@ def test_ids_are_the_librarys_and_kept_in_few_bytes():
     assert len(packing._packed(noise)) < 21_000
 
 
+def test_texts_of_a_batch_are_encoded_as_the_library_does(monkeypatch):
+    """Words are cut in one array of all texts: no word crosses two of them, and every plain character has the pattern's class."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(batch_bpe, "REMEMBERED", 3_000)
+    whole, encoder, rng = Tokenizer.from_file(queries.tokenizer_path()), batch_bpe.Encoder(queries.tokenizer_path()), random.Random(5)
+    parts = ["it's", "'s", "''s", " 's", "\n't", "'", "'r", "'re", "'really", "'v", "'ve", "'l", "'ll", "'llx", "'d1", "'m's", "don't", "I'LL", "e", "l", " ", "  ", "\n", "\r\n", "\t \n", "a_b", "x1y22", "...", "#$%", "é", "Ñandú", "'é", "straße", "я", "“no", "—", "-", "1,000.50", "w" * 300, "<|", "endoftext", "|>"]
+    characters = [c for k in range(0x3000) if bpe._PLAIN.fullmatch(c := chr(k))]
+    odd = ["", "日本 text", "a\u00a0b", "½", "\x85", "\u2028", "e\u0301", "😀 it's", "<|endoftext|> a", "<|none|>", "\x00", "lone \u03a2 letter"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(3_000)] + ["".join(rng.choices(characters, k=30)) for _ in range(1_500)] + ["".join(rng.choices([*"abst'1 \n.", "é", "…"], k=12)) for _ in range(3_000)] + characters + odd * 3
+    rng.shuffle(texts)
+    for a in range(0, len(texts), 700):
+        some = texts[a : a + 700]
+        for text, ids in zip(some, encoder.many([t.encode() for t in some]), strict=True):
+            assert ids.dtype == np.uint32 and ids.tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+    monkeypatch.setattr(batch_bpe, "LONG", 10)
+    assert [x.tolist() for x in encoder.many([b"more than that, it's", b""])] == [whole.encode("more than that, it's").ids, []]
+    assert encoder.many([]) == [] and [len(x) for x in encoder.many([b"", b""])] == [0, 0]
+
+
+def test_a_word_is_encoded_once():
+    encoder = batch_bpe.Encoder(queries.tokenizer_path())
+    given, encode = [], encoder.words.encode
+    encoder.words.encode = lambda text: given.append(text) or encode(text)
+    texts = [(" ".join(f"worden{k % 7}{'xyz'[k % 3]}" for k in range(2_000)) + "\n\n").encode()] * 5
+    first = encoder.many(texts)
+    assert sum(map(len, given)) < 300
+    given.clear()
+    assert all(np.array_equal(a, b) for a, b in zip(encoder.many(texts), first)) and not given
+
+
+@pytest.mark.parametrize("n", [1, 2, 30, 100])
+def test_scores_are_plain_bm25(monkeypatch, n):
+    """Common tokens are scored by products of matrices, rare ones by short lists; together they are BM25 over the corpus's statistics."""
+    monkeypatch.setattr(packing, "BLOCK", 7)
+    rng = np.random.default_rng(n)
+    docs = [np.append((300 * rng.random(rng.integers(0, 80)) ** 3).astype(np.uint32) + 5, np.uint32(1)) for _ in range(n)]
+    corpus = packing.Corpus.of([*docs, *docs[: n // 2]])
+    index, counts = packing.Index(docs, corpus), [collections.Counter(d.tolist()) for d in docs]
+    assert np.diff(index.begin).max() < max(2, n / 16)
+    for seed in range(n):
+        for k in range(n):
+            want = 0.0
+            for t in counts[seed]:
+                if tf := counts[k][t]:
+                    idf = np.log(1 + (corpus.n - corpus.df[t] + 0.5) / (corpus.df[t] + 0.5))
+                    want += idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(docs[k]) / corpus.mean))
+            assert index.scores(seed)[k] == pytest.approx(want, rel=1e-9, abs=1e-12)
+
+
 def test_neighbours_are_related():
     rng = np.random.default_rng(0)
     docs = [rng.integers(1000 * (k % 5), 1000 * (k % 5) + 60, 300).astype(np.uint32) for k in range(50)]
