@@ -26,7 +26,7 @@ import pyarrow as pa
 from logspark.llm import common
 from logspark.llm.bpe import _PLAIN, printable_bytes
 
-#: Words that one worker remembers, and their bytes; the memory is emptied when full.
+#: Words that one task remembers, and their bytes; the memory is emptied when full.
 REMEMBERED, REMEMBERED_BYTES = 500_000, 16 << 20
 LONG = common.SENT_BYTES
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -166,6 +166,11 @@ class Encoder:
             return self.fast.encode_to_numpy(text, disallowed_special=())
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
 
+    def forget(self) -> None:
+        """Give up the words that are remembered: the worker process may outlive its task by many stages."""
+        if self.plain:
+            self.words.forget()
+
     def many(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text (UTF-8)."""
         if not self.plain or sum(map(len, texts)) > LONG:

@@ -241,6 +241,7 @@ def encoded(docs: DataFrame, path: str, end: int = END) -> DataFrame:
                 n.append(len(ids))
                 packed.append(_packed(ids))
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "n", "packed"])
+        encoder(path).forget()
 
     kind_of_id = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))

@@ -554,6 +554,8 @@ def test_a_word_is_encoded_once():
     assert sum(map(len, given)) < 300
     given.clear()
     assert all(np.array_equal(a, b) for a, b in zip(encoder.many(texts), first)) and not given
+    encoder.forget()
+    assert not encoder.words and np.array_equal(encoder.many(texts)[0], first[0])
 
 
 @pytest.mark.parametrize("n", [1, 2, 30, 100])
